@@ -44,7 +44,8 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 LEET = str.maketrans("4@301!5$7+*", "aaeoiisstti")
 FEATURES = ("density", "hits", "weight", "top_weight", "distinct", "near_you", "near_rate", "capitals", "punctuation", "exclaims", "obfuscated", "disguised", "log_words")
 _WORD = re.compile(r"[^\W_]+")
-_RAW = re.compile(r"\S*[^\W\d_][0-9@$!+*]\S*")
+_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
+_MARK = re.compile(r"[^\W\d_][0-9@$!+*]+[^\W\d_]")  # a sign or digit between letters
 
 
 class Lexicon:
@@ -85,8 +86,8 @@ def features_of(text: str, lexicon: Lexicon) -> tuple[float, ...]:
             nearest, near = 1.0 / (1.0 + float(gaps.min())), float((gaps <= 5).mean())
     size = max(len(text), 1)
     letters = sum(map(len, words))
-    upper = len(text) - sum(map(len, re.findall(r"[^A-ZÀ-ÖØ-Þ]+", text)))
-    marked = _RAW.findall(text)
+    upper = sum(map(len, _UPPER.findall(text)))
+    marked = [raw for raw in text.split() if _MARK.search(raw)] if _MARK.search(text) else []
     disguised = 0
     for raw in marked:
         plain = "".join(_WORD.findall(raw.lower().translate(LEET)))
