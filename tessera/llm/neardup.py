@@ -10,13 +10,14 @@ Copies with the same words collapse to one representative first. Buckets never g
 all their pairs. In each round every representative is compared with a hub of its
 buckets (in the first round with the one that shares most of them, then with the
 others), comparisons are exact on the full shingle sets, and confirmed links
-contract components. Buckets that still hold several components elect further hubs,
-more each round, until every candidate pair is confirmed, refuted, or inside one
-component; nothing is capped.
+contract components. Texts in buckets that still hold several components are dealt
+anew by an exact prefix filter over their shingles, rarest first; those buckets elect
+hubs, more each round, until every candidate pair is confirmed, refuted, or inside
+one component. Nothing is capped.
 
 Edge cases: texts with fewer than five words have their whole word sequence as one
 shingle; texts without words (null, empty) have none and are linked with nothing;
-rows that repeat a doc_id share its component; a null doc_id is its own component;
+rows that repeat a doc_id count as one document and share its component; a null doc_id is its own component;
 an empty table gives no rows. Other columns are ignored.
 """
 
@@ -129,23 +130,20 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", run("text").alias("__s")).select("doc_id", "__s.*")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (u, v), those with an exact Jaccard of at least PERCENT / 100.
 
-    Texts travel, not shingle sets: they are smaller once compressed. Each side is
-    joined by its own key, so adaptive execution may split a popular hub.
+    Texts (id, text) travel, not shingle sets: they are smaller once compressed. Each
+    side is joined by its own key, so adaptive execution may split a popular hub.
     """
-    texts = docs.select("doc_id", "text")
-    needed = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    small = cut(texts.join(needed, texts["doc_id"] == needed["id"], "left_semi").dropDuplicates(["doc_id"]), "texts")
-    left = small.select(F.col("doc_id").alias("u"), F.col("text").alias("__a"))
-    right = small.select(F.col("doc_id").alias("v"), F.col("text").alias("__b"))
+    left = texts.select(F.col("id").alias("u"), F.col("text").alias("__a"))
+    right = texts.select(F.col("id").alias("v"), F.col("text").alias("__b"))
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         out, known, last = [], None, None
         for x, y in zip(a, b):
-            if y is not last:
+            if last is None or y != last:
                 known, last = shingle_hashes(normal_words(y)), y
             own = shingle_hashes(normal_words(x))
             both = len(np.intersect1d(own, known, assume_unique=True))
@@ -155,6 +153,29 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").filter(linked("__a", "__b")).select("u", "v")
 
 
+def prefix_buckets(texts: DataFrame) -> DataFrame:
+    """(key, id): buckets by the prefix filter, for texts (id, text).
+
+    With any one order of all shingles, two sets with a Jaccard of at least t share a
+    shingle among the first n - ceil(t * n) + 1 of each. In order of rising frequency
+    those are the texts' own words, so a passage that many texts quote brings no two
+    of them together unless they agree beyond it. The filter is exact.
+    """
+
+    @F.pandas_udf("array<long>")
+    def hashes(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: shingle_hashes(normal_words(x)).view(np.int64))
+
+    sets = texts.select("id", F.explode(hashes("text")).alias("s"))
+    sets = cut(sets, "shingles")
+    shared = cut(sets.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"), "frequent")
+    joined = sets.join(shared, "s", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    per_text = Window.partitionBy("id")
+    ranked = joined.withColumn("r", F.row_number().over(per_text.orderBy("df", "s"))).withColumn("n", F.count("*").over(per_text))
+    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    return ranked.filter((F.col("r") <= first) & (F.col("df") > 1)).select(F.col("s").alias("key"), "id")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of every id on an edge (u, v): the smallest id reachable.
 
@@ -193,32 +214,39 @@ def link(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     shared = cut(buckets.join(cut(hubs, "hubs"), "key"), "buckets")  # only buckets of several rows
     if shared.isEmpty():
         return None
+    needed = shared.select(F.col("id").alias("__id")).distinct()
+    own = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = cut(own.join(needed, own["id"] == needed["__id"], "left_semi").dropDuplicates(["id"]), "texts")
+
     star = shared.filter("id != hub").groupBy(F.col("id").alias("u"), F.col("hub").alias("v")).agg(F.count("*").alias("w"))
     star = cut(star, "star")
-    best = star.groupBy("u").agg(F.max(F.struct("w", (-F.col("v")).alias("v"))).alias("b")).select("u", (-F.col("b.v")).alias("v"))
-    links = cut(confirm(cut(best, "best"), docs), "links")
+    best = cut(star.groupBy("u").agg(F.max_by("v", F.struct("w", -F.col("v"))).alias("v")), "best")
+    links = cut(confirm(best, texts), "links")
     labels = None if links.isEmpty() else components(links)
-
-    rest = star.select("u", "v").join(best, ["u", "v"], "left_anti")
-    links, labels = _compare(rest, links, labels, docs)
+    links, labels = _compare(star.select("u", "v").join(best, ["u", "v"], "left_anti"), links, labels, texts)
 
     several = _mixed(shared, labels)
-    h = FIRST_HUBS
-    done = 1
+    if several.isEmpty():
+        return labels
+    members = several.select(F.col("id").alias("__id")).distinct()
+    shared = cut(prefix_buckets(texts.join(members, texts["id"] == members["__id"], "left_semi").select("id", "text")), "prefixes")
+    several, done, h = _mixed(shared, labels), 0, FIRST_HUBS
     while not several.isEmpty():
         ranked = cut(_ranked(several), "ranked")
         chosen = ranked.filter((F.col("r") > done) & (F.col("r") <= done + h)).select("key", F.col("id").alias("v"), F.col("comp").alias("__hub_comp"))
-        if chosen.isEmpty():
-            break
         pairs = ranked.join(cut(chosen, "chosen"), "key").filter("comp != __hub_comp").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
-        links, labels = _compare(pairs, links, labels, docs)
+        links, labels = _compare(pairs, links, labels, texts)
         done, h = done + h, h * 4
+        most = ranked.agg(F.max("r")).first()[0]
+        if most <= done:
+            break
         several = _mixed(shared, labels)
     return labels
 
 
 def _ranked(several: DataFrame) -> DataFrame:
-    """Rank of each id in its bucket, by id."""
+    """Rank of each id in its bucket, by id. Buckets that become one component leave;
+    in the others the ranks stay, so every pair meets when its lower rank is a hub."""
     return several.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id")))
 
 
@@ -229,13 +257,13 @@ def _mixed(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     return cut(own.join(cut(mixed, "mixed"), "key", "left_semi"), "several")
 
 
-def _compare(pairs: DataFrame, links: DataFrame, labels: DataFrame | None, docs: DataFrame):
+def _compare(pairs: DataFrame, links: DataFrame, labels: DataFrame | None, texts: DataFrame):
     """Confirm the pairs between different components; returns new links and labels."""
     pairs = _with_comp(_with_comp(pairs, labels, "u", "__cu"), labels, "v", "__cv").filter("__cu != __cv").select("u", "v")
     pairs = cut(pairs, "pairs")
     if pairs.isEmpty():
         return links, labels
-    more = cut(confirm(pairs, docs), "links")
+    more = cut(confirm(pairs, texts), "links")
     if more.isEmpty():
         return links, labels
     links = links.union(more)
