@@ -123,6 +123,9 @@ def fences(sketches: DataFrame) -> DataFrame:
         q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.75)))
         return q[1] + FENCE * F.greatest(q[1] - q[0], F.lit(floor))
 
+    if sketches.isEmpty():  # an empty sketch has no quantiles
+        none = [F.lit(None).cast("double").alias(f"__max_{r}") for r in RATES]
+        return sketches.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *none)
     whole = sketches.agg(*[F.kll_merge_agg_double(f"__{r}").alias(f"__{r}") for r in RATES])
     whole = whole.select(*[limit(f"__{r}", floor).alias(f"__all_{r}") for r, (_, floor) in RATES.items()]).first()
     return sketches.select(
