@@ -44,7 +44,7 @@ SHARD_BYTES = 32 << 20
 MAGIC = b"MPHTOK1\n"
 GAMMA = 2.0
 MAX_LEVELS = 48
-CACHE = 400_000
+CACHE = 1_000_000
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -61,31 +61,51 @@ def load_tokenizer(path: str):
     return t
 
 
+_known: dict[str, dict[str, bytes]] = {}
+
+
 class PieceEncoder:
-    """Encodes texts to bytes of ids; remembers up to CACHE different pieces."""
+    """Encodes texts to bytes of ids; remembers up to CACHE different pieces, also
+    for later tasks of the same Python worker.
+
+    Unknown pieces go to the library joined by the spaces they were cut at. In the
+    ids, a piece begins where a token begins with a space: pieces that hold further
+    spaces are encoded one by one.
+    """
 
     def __init__(self, path: str):
         self.tok = load_tokenizer(path)
-        self.width = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _bytes(self, ids) -> bytes:
-        return np.array(ids, self.width).tobytes()
+        size = self.tok.get_vocab_size()
+        self.width = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.known = _known.setdefault(path, {})
+        self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
+
+    def _learn(self, pieces: list[str]) -> None:
+        plain = [p for p in pieces if " " not in p]
+        for lo in range(0, len(plain), 8192):
+            some = plain[lo:lo + 8192]
+            ids = self._ids(" " + " ".join(some))
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(some):
+                self.known.update((p, self._ids(" " + p).tobytes()) for p in some)
+                continue
+            data, at = ids.tobytes(), (starts * self.width.itemsize).tolist()
+            self.known.update(zip(some, map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))))
+        self.known.update((p, self._ids(" " + p).tobytes()) for p in pieces if " " in p)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            first, *pieces = _CUT.split(text)
-            new = list({p for p in pieces if p not in self.known}) if pieces else []
-            if len(self.known) + len(new) > CACHE:
-                self.known = {}
-                new = list(set(pieces))
-            if new:
-                done = self.tok.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-                self.known.update((p, self._bytes(e.ids)) for p, e in zip(new, done))
-            head = self._bytes(self.tok.encode(first, add_special_tokens=False).ids) if first else b""
-            out.append(head + b"".join(map(self.known.__getitem__, pieces)))
-        return out
+        cut = [_CUT.split(text) for text in texts]
+        need = set().union(*(c[1:] for c in cut))
+        new = need.difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = need
+        self._learn(list(new))
+        get = self.known.__getitem__
+        return [(self._ids(c[0]).tobytes() if c[0] else b"") + b"".join(map(get, c[1:])) for c in cut]
 
 
 # ---- minimal perfect hash -----------------------------------------------
