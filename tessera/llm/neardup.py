@@ -34,7 +34,7 @@ SHINGLE = 5
 COORDS, ROWS = 128, 4
 BANDS = COORDS // ROWS
 PERCENT = 75
-FIRST_HUBS = 4
+FIRST_HUBS, HUB_GROWTH = 8, 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -150,7 +150,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out.append(100 * both >= PERCENT * (len(own) + len(known) - both) and both > 0)
         return pd.Series(out, dtype=bool)
 
-    return pairs.join(left, "u").join(right, "v").filter(linked("__a", "__b")).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").filter(linked("__a", "__b")).select(*pairs.columns)
 
 
 def prefix_buckets(texts: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def link(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     best = cut(star.groupBy("u").agg(F.max_by("v", F.struct("w", -F.col("v"))).alias("v")), "best")
     links = cut(confirm(best, texts), "links")
     labels = None if links.isEmpty() else components(links)
-    links, labels = _compare(star.select("u", "v").join(best, ["u", "v"], "left_anti"), links, labels, texts)
+    labels = _compare(star.select("u", "v").join(best, ["u", "v"], "left_anti"), labels, texts)
 
     several = _mixed(shared, labels)
     if several.isEmpty():
@@ -235,8 +235,8 @@ def link(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
         ranked = cut(_ranked(several), "ranked")
         chosen = ranked.filter((F.col("r") > done) & (F.col("r") <= done + h)).select("key", F.col("id").alias("v"), F.col("comp").alias("__hub_comp"))
         pairs = ranked.join(cut(chosen, "chosen"), "key").filter("comp != __hub_comp").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
-        links, labels = _compare(pairs, links, labels, texts)
-        done, h = done + h, h * 4
+        labels = _compare(pairs, labels, texts)
+        done, h = done + h, h * HUB_GROWTH
         most = ranked.agg(F.max("r")).first()[0]
         if most <= done:
             break
@@ -257,17 +257,24 @@ def _mixed(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     return cut(own.join(cut(mixed, "mixed"), "key", "left_semi"), "several")
 
 
-def _compare(pairs: DataFrame, links: DataFrame, labels: DataFrame | None, texts: DataFrame):
-    """Confirm the pairs between different components; returns new links and labels."""
-    pairs = _with_comp(_with_comp(pairs, labels, "u", "__cu"), labels, "v", "__cv").filter("__cu != __cv").select("u", "v")
+def _compare(pairs: DataFrame, labels: DataFrame | None, texts: DataFrame) -> DataFrame | None:
+    """The labels after the confirmed ones of the pairs (u, v) between different
+    components. Only those components that the new links touch are joined anew."""
+    pairs = _with_comp(_with_comp(pairs, labels, "u", "__cu"), labels, "v", "__cv").filter("__cu != __cv")
     pairs = cut(pairs, "pairs")
     if pairs.isEmpty():
-        return links, labels
-    more = cut(confirm(pairs, texts), "links")
+        return labels
+    more = cut(confirm(pairs, texts).select(F.col("__cu").alias("u"), F.col("__cv").alias("v")), "links")
     if more.isEmpty():
-        return links, labels
-    links = links.union(more)
-    return links, components(links)
+        return labels
+    merged = components(more.distinct())
+    if labels is None:
+        return merged
+    old = merged.select(F.col("id").alias("__old"), F.col("comp").alias("__new"))
+    known = labels.select(F.col("id").alias("__known"))
+    moved = labels.join(old, labels["comp"] == old["__old"], "left").select("id", F.coalesce("__new", "comp").alias("comp"))
+    added = merged.join(known, merged["id"] == known["__known"], "left_anti")
+    return cut(moved.unionByName(added), "labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
