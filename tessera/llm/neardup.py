@@ -11,9 +11,9 @@ all their pairs. In each round every representative is compared with a hub of it
 buckets (in the first round with the one that shares most of them, then with the
 others), comparisons are exact on the full shingle sets, and confirmed links
 contract components. Texts in buckets that still hold several components are dealt
-anew by an exact prefix filter over their shingles, rarest first; those buckets elect
-hubs, more each round, until every candidate pair is confirmed, refuted, or inside
-one component. Nothing is capped.
+anew by an exact prefix filter over their shingles, rarest first. The rows of those
+buckets meet in pairs of blocks of bounded size: a bucket of n rows sends n rows for
+each BLOCK rows it holds, and only links leave a block. Nothing is capped.
 
 Edge cases: texts with fewer than five words have their whole word sequence as one
 shingle; texts without words (null, empty) have none and are linked with nothing;
@@ -34,7 +34,8 @@ SHINGLE = 5
 COORDS, ROWS = 128, 4
 BANDS = COORDS // ROWS
 PERCENT = 75
-FIRST_HUBS, HUB_GROWTH = 8, 8
+BLOCK = 512  # rows of a bucket that are compared in one go
+COLUMNS = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -230,24 +231,71 @@ def link(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
         return labels
     members = several.select(F.col("id").alias("__id")).distinct()
     shared = cut(prefix_buckets(texts.join(members, texts["id"] == members["__id"], "left_semi").select("id", "text")), "prefixes")
-    several, done, h = _mixed(shared, labels), 0, FIRST_HUBS
-    while not several.isEmpty():
-        ranked = cut(_ranked(several), "ranked")
-        chosen = ranked.filter((F.col("r") > done) & (F.col("r") <= done + h)).select("key", F.col("id").alias("v"), F.col("comp").alias("__hub_comp"))
-        pairs = ranked.join(cut(chosen, "chosen"), "key").filter("comp != __hub_comp").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
-        labels = _compare(pairs, labels, texts)
-        done, h = done + h, h * HUB_GROWTH
-        most = ranked.agg(F.max("r")).first()[0]
-        if most <= done:
-            break
-        several = _mixed(shared, labels)
-    return labels
+    several = _mixed(shared, labels)
+    if several.isEmpty():
+        return labels
+    return _merge(labels, cut(match_blocks(deal(several), texts), "links"))
 
 
-def _ranked(several: DataFrame) -> DataFrame:
-    """Rank of each id in its bucket, by id. Buckets that become one component leave;
-    in the others the ranks stay, so every pair meets when its lower rank is a hub."""
-    return several.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id")))
+def deal(several: DataFrame) -> DataFrame:
+    """(key, lo, hi, side, id, comp): the rows of each bucket (key, id, comp) dealt to
+    pairs of blocks, so that any two rows of a bucket meet in one pair of blocks.
+
+    A bucket of n rows has b = ceil(n / BLOCK) blocks and gives n * b rows, never its
+    pairs. Of buckets with the same members (equal counts and hashes) one is kept.
+    """
+    size = several.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
+    size = cut(size.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("b")), "sizes")
+    own = several.join(size, "key").withColumn("side", F.pmod(F.xxhash64("id", F.lit(2)), F.col("b")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    return met.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "id", "comp")
+
+
+def match_blocks(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): linked components, as a spanning forest for each pair of blocks, by
+    exact Jaccard of every two rows of different components."""
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingle_hashes(normal_words(t)) for t in rows["text"]]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, place, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.cumsum(df > 1) - 1  # columns of shingles that several rows hold
+        owner, column = owner[df[place] > 1], rank[place[df[place] > 1]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        whole = rows["lo"].iat[0] == rows["hi"].iat[0]
+        left = np.flatnonzero(rows["side"] == rows["lo"])
+        right = left if whole else np.flatnonzero(rows["side"] == rows["hi"])
+        both = np.zeros((len(left), len(right)), np.int64)
+        for start in range(0, int(rank[-1]) + 1, COLUMNS):
+            lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+            held = np.zeros((len(sets), COLUMNS), np.float32)
+            held[owner[lo:hi], column[lo:hi] - start] = 1
+            both += (held[left] @ held[right].T).astype(np.int64)
+        comp = rows["comp"].to_numpy()
+        linked = (100 * both >= PERCENT * (sizes[left][:, None] + sizes[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :])
+        a, b = np.nonzero(linked)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        out = []
+        for u, v in zip(comp[left[a]].tolist(), comp[right[b]].tolist()):
+            ru, rv = root(u), root(v)
+            if ru != rv:
+                parent[max(ru, rv)] = min(ru, rv)
+                out.append((u, v))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    kind = dict(dealt.dtypes)["comp"]
+    named = texts.select(F.col("id").alias("__id"), "text")
+    met = dealt.join(named, dealt["id"] == named["__id"]).drop("__id")
+    return met.groupBy("key", "lo", "hi").applyInPandas(match, f"u {kind}, v {kind}")
 
 
 def _mixed(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -259,12 +307,17 @@ def _mixed(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _compare(pairs: DataFrame, labels: DataFrame | None, texts: DataFrame) -> DataFrame | None:
     """The labels after the confirmed ones of the pairs (u, v) between different
-    components. Only those components that the new links touch are joined anew."""
+    components."""
     pairs = _with_comp(_with_comp(pairs, labels, "u", "__cu"), labels, "v", "__cv").filter("__cu != __cv")
     pairs = cut(pairs, "pairs")
     if pairs.isEmpty():
         return labels
     more = cut(confirm(pairs, texts).select(F.col("__cu").alias("u"), F.col("__cv").alias("v")), "links")
+    return _merge(labels, more)
+
+
+def _merge(labels: DataFrame | None, more: DataFrame) -> DataFrame | None:
+    """The labels after the components (u, v) are joined; only those are worked on."""
     if more.isEmpty():
         return labels
     merged = components(more.distinct())
