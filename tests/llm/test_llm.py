@@ -105,6 +105,22 @@ def test_prefix_filter_keeps_every_similar_pair(spark):
     assert all((i, j) in met for i, j in itertools.combinations(range(len(many)), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))
 
 
+def test_blocks_find_what_brute_force_finds(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    base = prose(5, 80).split()
+    many = [" ".join(base[:k] + [f"z{k}"] + base[k + 1:] + ([f"y{k}"] * (k % 7))) for k in range(0, 80, 8)]
+    texts = spark.createDataFrame(list(enumerate(many)), "id long, text string")
+    bucket = texts.select(F.lit(1).cast("long").alias("key"), "id", F.col("id").alias("comp"))
+    bucket = bucket.union(bucket.withColumn("key", F.lit(2).cast("long")))
+    dealt = neardup.deal(bucket)
+    assert dealt.select("key").distinct().count() == 1 and dealt.select("lo", "hi").distinct().count() > 1
+    comp = list(range(len(many)))
+    for u, v in neardup.match_blocks(dealt, texts).collect():
+        a, b = sorted((comp[u], comp[v]))
+        comp = [a if c == b else c for c in comp]
+    assert comp == [c for _, c in brute_components(many).values()]
+
+
 # ---- toxicity ----
 
 def test_toxicity_learns_and_holds_out(spark):
