@@ -26,7 +26,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import cut, table
 
@@ -63,6 +65,17 @@ def normal_words(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
+@F.pandas_udf(BinaryType())
+def packed(texts: pd.Series) -> pd.Series:
+    """The words of each text, compressed: what travels when texts are compared."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return texts.map(lambda text: squeeze(normal_words(text)))
+
+
+def unpack_hashes(words: bytes) -> np.ndarray:
+    return shingle_hashes(zstandard.decompress(words))
+
+
 def shingle_hashes(words: bytes) -> np.ndarray:
     """Distinct 64-bit hashes of the five-word shingles, sorted.
 
@@ -134,19 +147,19 @@ def sketch(docs: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (u, v), those with an exact Jaccard of at least PERCENT / 100.
 
-    Texts (id, text) travel, not shingle sets: they are smaller once compressed. Each
-    side is joined by its own key, so adaptive execution may split a popular hub.
+    Packed words (id, words) travel, not shingle sets: they are smaller. Each side is
+    joined by its own key, so adaptive execution may split a popular hub.
     """
-    left = texts.select(F.col("id").alias("u"), F.col("text").alias("__a"))
-    right = texts.select(F.col("id").alias("v"), F.col("text").alias("__b"))
+    left = texts.select(F.col("id").alias("u"), F.col("words").alias("__a"))
+    right = texts.select(F.col("id").alias("v"), F.col("words").alias("__b"))
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         out, known, last = [], None, None
         for x, y in zip(a, b):
             if last is None or y != last:
-                known, last = shingle_hashes(normal_words(y)), y
-            own = shingle_hashes(normal_words(x))
+                known, last = unpack_hashes(y), y
+            own = unpack_hashes(x)
             both = len(np.intersect1d(own, known, assume_unique=True))
             out.append(100 * both >= PERCENT * (len(own) + len(known) - both) and both > 0)
         return pd.Series(out, dtype=bool)
@@ -155,7 +168,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def prefix_buckets(texts: DataFrame) -> DataFrame:
-    """(key, id): buckets by the prefix filter, for texts (id, text).
+    """(key, id): buckets by the prefix filter, for texts (id, words).
 
     With any one order of all shingles, two sets with a Jaccard of at least t share a
     shingle among the first n - ceil(t * n) + 1 of each. In order of rising frequency
@@ -164,10 +177,10 @@ def prefix_buckets(texts: DataFrame) -> DataFrame:
     """
 
     @F.pandas_udf("array<long>")
-    def hashes(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: shingle_hashes(normal_words(x)).view(np.int64))
+    def hashes(words: pd.Series) -> pd.Series:
+        return words.map(lambda x: unpack_hashes(x).view(np.int64))
 
-    sets = texts.select("id", F.explode(hashes("text")).alias("s"))
+    sets = texts.select("id", F.explode(hashes("words")).alias("s"))
     sets = cut(sets, "shingles")
     shared = cut(sets.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"), "frequent")
     joined = sets.join(shared, "s", "left").withColumn("df", F.coalesce("df", F.lit(1)))
@@ -216,8 +229,9 @@ def link(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     if shared.isEmpty():
         return None
     needed = shared.select(F.col("id").alias("__id")).distinct()
-    own = docs.select(F.col("doc_id").alias("id"), "text")
-    texts = cut(own.join(needed, own["id"] == needed["__id"], "left_semi").dropDuplicates(["id"]), "texts")
+    # An inner join, as Spark would move a semi join below the packing.
+    own = docs.select(F.col("doc_id").alias("id"), packed("text").alias("words"))
+    texts = cut(own.join(needed, own["id"] == needed["__id"]).drop("__id").dropDuplicates(["id"]), "texts")
 
     star = shared.filter("id != hub").groupBy(F.col("id").alias("u"), F.col("hub").alias("v")).agg(F.count("*").alias("w"))
     star = cut(star, "star")
@@ -230,7 +244,7 @@ def link(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     if several.isEmpty():
         return labels
     members = several.select(F.col("id").alias("__id")).distinct()
-    shared = cut(prefix_buckets(texts.join(members, texts["id"] == members["__id"], "left_semi").select("id", "text")), "prefixes")
+    shared = cut(prefix_buckets(texts.join(members, texts["id"] == members["__id"], "left_semi").select("id", "words")), "prefixes")
     several = _mixed(shared, labels)
     if several.isEmpty():
         return labels
@@ -256,7 +270,7 @@ def match_blocks(dealt: DataFrame, texts: DataFrame) -> DataFrame:
     exact Jaccard of every two rows of different components."""
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingle_hashes(normal_words(t)) for t in rows["text"]]
+        sets = [unpack_hashes(w) for w in rows["words"]]
         sizes = np.array([len(x) for x in sets], np.int64)
         owner = np.repeat(np.arange(len(sets)), sizes)
         _, place, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -293,7 +307,7 @@ def match_blocks(dealt: DataFrame, texts: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     kind = dict(dealt.dtypes)["comp"]
-    named = texts.select(F.col("id").alias("__id"), "text")
+    named = texts.select(F.col("id").alias("__id"), "words")
     met = dealt.join(named, dealt["id"] == named["__id"]).drop("__id")
     return met.groupBy("key", "lo", "hi").applyInPandas(match, f"u {kind}, v {kind}")
 

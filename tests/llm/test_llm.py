@@ -97,7 +97,7 @@ def test_near_duplicates_with_a_shared_passage(spark):
 def test_prefix_filter_keeps_every_similar_pair(spark):
     base = prose(5, 80).split()
     many = [" ".join(base[:k] + [f"z{k}"] + base[k + 1:]) for k in range(0, 80, 4)]
-    t = spark.createDataFrame(list(enumerate(many)), "id long, text string")
+    t = spark.createDataFrame(list(enumerate(many)), "id long, text string").select("id", neardup.packed("text").alias("words"))
     b = neardup.prefix_buckets(t)
     other = b.select("key", F.col("id").alias("j"))
     met = {(r[0], r[1]) for r in b.join(other, "key").select("id", "j").distinct().collect()}
@@ -109,7 +109,7 @@ def test_blocks_find_what_brute_force_finds(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 3)
     base = prose(5, 80).split()
     many = [" ".join(base[:k] + [f"z{k}"] + base[k + 1:] + ([f"y{k}"] * (k % 7))) for k in range(0, 80, 8)]
-    texts = spark.createDataFrame(list(enumerate(many)), "id long, text string")
+    texts = spark.createDataFrame(list(enumerate(many)), "id long, text string").select("id", neardup.packed("text").alias("words"))
     bucket = texts.select(F.lit(1).cast("long").alias("key"), "id", F.col("id").alias("comp"))
     bucket = bucket.union(bucket.withColumn("key", F.lit(2).cast("long")))
     dealt = neardup.deal(bucket)
