@@ -346,6 +346,26 @@ def stack(px: DataFrame, dims: DataFrame, rows: int, cols: int, gap: int, colour
     return top.select("x", "y", *[F.col(f"s.{c}").alias(c) for c in (*CH, "a")])
 
 
+def stack_sheets(px: DataFrame, dims: DataFrame, rows: int, cols: int, gap: int, colour: tuple[int, int, int]) -> DataFrame:
+    """``stack`` over any number of images: column pos of dims runs over all sheets,
+    each of which takes rows * cols images and has cells of its own largest width
+    and height. Adds the column sheet."""
+    per = rows * cols
+    dims = dims.select("img_id", "w", "h", F.expr(f"pos div {per}").alias("sheet"), (F.col("pos") % per).alias("pos"))
+    cell = dims.groupBy("sheet").agg(F.max("w").alias("cw"), F.max("h").alias("ch"))
+    placed = px.join(dims, "img_id").join(cell, "sheet")
+    ox = F.expr(f"(pos % {cols}) * (cw + {gap}) + {gap} + (cw - w) div 2")
+    oy = F.expr(f"(pos div {cols}) * (ch + {gap}) + {gap} + (ch - h) div 2")
+    images = placed.select("sheet", (F.col("x") + ox).cast("int").alias("x"), (F.col("y") + oy).cast("int").alias("y"), *CH, "a", F.lit(1).alias("layer"))
+    sized = cell.withColumns({"width": cols * F.col("cw") + (cols + 1) * gap, "height": rows * F.col("ch") + (rows + 1) * gap})
+    lines = sized.withColumn("y", F.explode(F.sequence(F.lit(0), (F.col("height") - 1).cast("int"))))
+    canvas = lines.withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("width") - 1).cast("int"))))
+    gutter = (F.col("x") % (F.col("cw") + gap) < gap) | (F.col("y") % (F.col("ch") + gap) < gap)
+    ground = canvas.select("sheet", "x", "y", *[F.when(gutter, v).otherwise(0).alias(c) for c, v in zip((*CH, "a"), (*colour, 255))], F.lit(0).alias("layer"))
+    top = ground.unionByName(images).groupBy("sheet", "x", "y").agg(F.max(F.struct("layer", *CH, "a")).alias("s"))
+    return top.select("sheet", "x", "y", *[F.col(f"s.{c}").alias(c) for c in (*CH, "a")])
+
+
 def pad_dims(dims: DataFrame, w: int, h: int) -> DataFrame:
     """Size and offsets of images scaled to fit and centred in w x h."""
     ratio = F.least(F.lit(float(w)) / F.col("w"), F.lit(float(h)) / F.col("h"))

@@ -53,6 +53,11 @@ def _stack(p):
     return P.stack(p.filter("img_id < 4"), _dims(p), 2, 2, 3, (9, 8, 7))
 
 
+def _sheets(p):
+    dims = p.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).withColumn("pos", F.col("img_id"))
+    return P.stack_sheets(p, dims, 2, 2, 3, (9, 8, 7))
+
+
 def _pad(s, d):
     dims = read(s, d, "orders").select(F.col("o_orderkey").alias("img_id"), (1 + F.col("o_orderkey") % 97).cast("int").alias("w"), (1 + F.col("o_custkey") % 89).cast("int").alias("h"))
     return P.pad_dims(dims, 60, 40)
@@ -106,18 +111,21 @@ QUERIES = {
     "minmax_norm": lambda s, d: P.min_max(patches(s, d)).withColumn("v", F.round("v", 6)),
     "nearest_centroid": on(_kmeans),
     "clut_identity": lambda s, d: P.identity_cube(s, 4),
+    "clut_identity_8": lambda s, d: P.identity_cube(s, 8),
     "clut_index": on(lambda p: P.cube_index(p).select(*KEY, "r6", "g6", "b6")),
     "clut_apply": on(lambda p: P.recolour(p, NORD)),
     "gradient_rgb": lambda s, d: P.gradient(s, 192, 10, [(0, 0, 0), (255, 128, 0), (255, 255, 255)]),
     "stack_pixels": on(_stack),
+    "stack_sheets": on(_sheets),
     "pad_dims": _pad,
     "palette_swatch": _swatch,
+    "palette_swatch_nord": lambda s, d: P.palette_swatch(s, NORD, 10, 5),
     # sequential within an image: no SQL form
     "median_cut": on(lambda p: R.extract_palette(P.histogram(p))),
     "kmeans_background": on(lambda p: P.kmeans_background(p, (60, 60, 60), (200, 200, 200)).select(*KEY, "cluster", "a")),
     "gif_dither": on(R.dither),
     "rotate_bilinear": on(lambda p: P.bilinear_rotate(p, W, H, 30.0)),
-    "tilt": on(lambda p: R.tilt(p.filter("img_id < 4"), 5.0, 5.0)),
+    "tilt": on(lambda p: R.tilt(p, 5.0, 5.0)),
     "resize_lanczos": on(lambda p: R.resize(p, 25, 0)),
     "png_round_trip": on(lambda p: R.decode_png(R.encode_png(p))),
 }
@@ -183,6 +191,7 @@ s AS (SELECT img_id, min(v) AS lo, max(v) AS hi FROM p GROUP BY img_id) SELECT i
 k AS (SELECT count(*) FILTER (cluster = 1) > count(*) FILTER (cluster = 0) AS one FROM c)
 SELECT img_id, x, y, cluster, CASE WHEN (cluster = 1) = one THEN 0 ELSE 255 END AS a FROM c, k""",
     "clut_identity": "SELECT i, cast(i % 64 AS INT) AS x, cast(i // 64 AS INT) AS y, cast((i % 16) * 255 // 15 AS INT) AS r, cast(((i // 16) % 16) * 255 // 15 AS INT) AS g, cast((i // 256) * 255 // 15 AS INT) AS b FROM generate_series(0, 4095) t(i)",
+    "clut_identity_8": "SELECT i, cast(i % 512 AS INT) AS x, cast(i // 512 AS INT) AS y, cast((i % 64) * 255 // 63 AS INT) AS r, cast(((i // 64) % 64) * 255 // 63 AS INT) AS g, cast((i // 4096) * 255 // 63 AS INT) AS b FROM generate_series(0, 262143) t(i)",
     "clut_index": BASE + "SELECT img_id, x, y, cast(r*63//255 AS INT) AS r6, cast(g*63//255 AS INT) AS g6, cast(b*63//255 AS INT) AS b6 FROM px",
     "clut_apply": _rbf_sql(),
     "gradient_rgb": """WITH p AS (SELECT cast(i % 192 AS INT) AS x, cast(i // 192 AS INT) AS y FROM generate_series(0, 1919) t(i)),
@@ -194,8 +203,15 @@ i AS (SELECT cast(x + (img_id%2)*(cw+3)+3+(cw-w)//2 AS INT) AS x, cast(y + (img_
 c AS (SELECT cast(xs.x AS INT) AS x, cast(ys.y AS INT) AS y, cw, ch FROM m, range(0, (SELECT 2*cw+9 FROM m)) xs(x), range(0, (SELECT 2*ch+9 FROM m)) ys(y))
 SELECT c.x, c.y, coalesce(i.r, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 THEN 9 ELSE 0 END) AS r, coalesce(i.g, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 THEN 8 ELSE 0 END) AS g,
  coalesce(i.b, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 THEN 7 ELSE 0 END) AS b, coalesce(i.a, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 THEN 255 ELSE 0 END) AS a FROM c LEFT JOIN i ON c.x = i.x AND c.y = i.y""",
+    "stack_sheets": BASE.rstrip() + """, d AS (SELECT img_id, img_id // 4 AS sheet, img_id % 4 AS pos, max(x)+1 AS w, max(y)+1 AS h FROM px GROUP BY img_id), m AS (SELECT sheet, max(w) AS cw, max(h) AS ch FROM d GROUP BY sheet),
+i AS (SELECT sheet, cast(x + (pos%2)*(cw+3)+3+(cw-w)//2 AS INT) AS x, cast(y + (pos//2)*(ch+3)+3+(ch-h)//2 AS INT) AS y, r, g, b, a FROM px JOIN d USING (img_id) JOIN m USING (sheet)),
+k AS (SELECT sheet, cw, ch, unnest(range(0, (2*cw+9)*(2*ch+9))) AS k FROM m),
+c AS (SELECT sheet, cast(k % (2*cw+9) AS INT) AS x, cast(k // (2*cw+9) AS INT) AS y, cw, ch FROM k)
+SELECT c.sheet, c.x, c.y, coalesce(i.r, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 THEN 9 ELSE 0 END) AS r, coalesce(i.g, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 THEN 8 ELSE 0 END) AS g,
+ coalesce(i.b, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 THEN 7 ELSE 0 END) AS b, coalesce(i.a, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 THEN 255 ELSE 0 END) AS a FROM c LEFT JOIN i ON c.sheet = i.sheet AND c.x = i.x AND c.y = i.y""",
     "pad_dims": """WITH d AS (SELECT o_orderkey AS img_id, 1+o_orderkey%97 AS w, 1+o_custkey%89 AS h FROM orders),
 s AS (SELECT img_id, cast(floor(w*least(60.0::DOUBLE/w, 40.0::DOUBLE/h)) AS INT) AS nw, cast(floor(h*least(60.0::DOUBLE/w, 40.0::DOUBLE/h)) AS INT) AS nh FROM d)
 SELECT img_id, nw, nh, cast((60-nw)//2 AS INT) AS ox, cast((40-nh)//2 AS INT) AS oy FROM s""",
     "palette_swatch": f"WITH {_palette_sql()} SELECT cast(i % 40 AS INT) AS x, cast(i // 40 AS INT) AS y, pr AS r, pg AS g, pb AS b FROM generate_series(0, 199) t(i) JOIN pal ON idx = (i % 40) // 10",
+    "palette_swatch_nord": f"WITH {_palette_sql()} SELECT cast(i % 160 AS INT) AS x, cast(i // 160 AS INT) AS y, pr AS r, pg AS g, pb AS b FROM generate_series(0, 799) t(i) JOIN pal ON idx = (i % 160) // 10",
 }
