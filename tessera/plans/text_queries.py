@@ -79,6 +79,12 @@ def _options(s, d):
     return T.merge_options(o, {"max_tokens": 4096})
 
 
+def _base64(s, d):
+    lines = F.base64(F.encode("text", "UTF-8"))  # Spark breaks it after 76 characters
+    coded = read(s, d, "documents").select("doc_id", F.translate(lines, "\r\n", "").alias("b64"))
+    return coded.withColumn("text", F.decode(F.unbase64("b64"), "UTF-8"))
+
+
 def _ext(s, d):
     f = doc_files(s, d).withColumn("flag", F.when(F.col("doc_id") % 3 == 0, F.lit("webp"))).withColumn("output", F.when(F.col("doc_id") % 2 == 0, F.lit("out/x.JPG")))
     return f.select("doc_id", T.output_ext(F.col("flag"), F.col("output"), F.lit(None).cast("string")).alias("ext"), T.replace_ext(F.lit("a/b.c.png"), "avif").alias("replaced"))
@@ -106,6 +112,7 @@ QUERIES = {
     "option_merge": _options,
     "output_extension": _ext,
     "base64_round_trip": lambda s, d: read(s, d, "documents").select("doc_id", F.base64(F.encode(F.substring("text", 1, 40), "UTF-8")).alias("b64")),
+    "base64_round_trip_whole": _base64,
 }
 _HSL = """h AS (SELECT *, greatest(r,g,b) AS mx, least(r,g,b) AS mn FROM colours),
 q AS (SELECT colour_id, (mx+mn)/510.0::DOUBLE AS l, CASE WHEN mx=mn THEN 0.0::DOUBLE WHEN mx+mn<=255 THEN (mx-mn)::DOUBLE/(mx+mn) ELSE (mx-mn)::DOUBLE/(510-(mx+mn)) END AS s,
@@ -132,4 +139,5 @@ SQL = {
     "option_merge": "SELECT c_custkey, cast(CASE WHEN c_nationkey % 3 = 0 THEN 4096 ELSE c_nationkey % 3 END AS INT) AS max_tokens FROM customer",
     "output_extension": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'webp' WHEN doc_id % 2 = 0 THEN 'jpg' ELSE 'png' END AS ext, 'a/b.c.avif' AS replaced FROM documents",
     "base64_round_trip": "SELECT doc_id, to_base64(encode(substr(text, 1, 40))) AS b64 FROM documents",
+    "base64_round_trip_whole": "SELECT doc_id, to_base64(encode(text)) AS b64, text FROM documents",
 }

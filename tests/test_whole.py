@@ -1,5 +1,6 @@
 """The queries work on the whole of their tables."""
 
+import base64
 import glob
 import os
 
@@ -41,3 +42,10 @@ def test_whole_cube_and_whole_palette(spark, many):
     q = catalog.queries()
     assert q["clut_identity_8"](spark, many).count() == 64**3
     assert q["palette_swatch_nord"](spark, many).select("r", "g", "b").distinct().count() == 16
+
+
+def test_base64_round_trip_of_whole_texts(spark, tmp_path):
+    texts = [None, "", "a" * 41, "é漢😀\n" * 500, "x" * 100_000 + "\0end"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["b64"], r["text"]) for r in catalog.queries()["base64_round_trip_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: (t if t is None else base64.b64encode(t.encode()).decode(), t) for i, t in enumerate(texts)}
