@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CH = ("r", "g", "b")
@@ -244,30 +246,57 @@ def max_value(px: DataFrame) -> DataFrame:
     return px.groupBy("img_id").agg(F.greatest(F.max(F.greatest(*CH)) / F.lit(255.0), F.lit(1e-6)).alias("max_value"))
 
 
-def kmeans_background(px: DataFrame, first: tuple, second: tuple, rounds: int = 3) -> DataFrame:
-    """Two clusters over all pixels by a fixed number of Lloyd rounds from given
-    centres; the larger cluster is background and becomes transparent.
-
-    Each round is one aggregation to two rows; the centres are the only state.
-    """
-    centres = [tuple(map(float, first)), tuple(map(float, second))]
-
-    def far(c):
-        return sum((F.col(k) - F.lit(v)) * (F.col(k) - F.lit(v)) for k, v in zip(CH, c))
-
-    sizes = {}
-    for _ in range(rounds):
-        label = F.when(far(centres[1]) < far(centres[0]), 1).otherwise(0)
-        rows = px.groupBy(label.alias("k")).agg(*[F.sum(c).alias(c) for c in CH], F.count("*").alias("n")).collect()  # two rows
-        for row in rows:
-            centres[row["k"]] = tuple(row[c] / row["n"] for c in CH)
-    label = F.when(far(centres[1]) < far(centres[0]), 1).otherwise(0)
-    out = px.withColumn("cluster", label)
-    sizes = {r["cluster"]: r["count"] for r in out.groupBy("cluster").count().collect()}
+def nearest_centroid(px: DataFrame, first: tuple, second: tuple) -> DataFrame:
+    """The nearer of two given colours; the one that more pixels of the whole table
+    are nearer to is background and becomes transparent."""
+    out = px.withColumn("cluster", F.when(_far(map(F.lit, second)) < _far(map(F.lit, first)), 1).otherwise(0))
+    sizes = {r["cluster"]: r["count"] for r in out.groupBy("cluster").count().collect()}  # two rows
     background = 1 if sizes.get(1, 0) > sizes.get(0, 0) else 0
     return out.withColumn("a", F.when(F.col("cluster") == background, 0).otherwise(255))
 
 
+def _far(centre) -> Column:
+    return sum((F.col(k) - v) * (F.col(k) - v) for k, v in zip(CH, centre))
+
+
+def kmeans_background(px: DataFrame, first: tuple, second: tuple, rounds: int = 100, tolerance: float = 0.255) -> DataFrame:
+    """Two clusters over the pixels of each image by Lloyd rounds from given centres,
+    until no centre of the image moves by ``tolerance`` (0.001 of the channel range)
+    or for ``rounds`` rounds; the image's larger cluster is background and becomes
+    transparent. An empty cluster keeps its centre.
+
+    The rounds run per image over its distinct colours and their counts; only the
+    centres are joined back to the pixels.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        colours, n = pdf[list(CH)].to_numpy(float), pdf["n"].to_numpy(float)
+        centres = np.array([first, second], float)
+
+        def nearer() -> np.ndarray:
+            d = (colours[:, None, :] - centres[None, :, :]) ** 2
+            d = d[:, :, 0] + d[:, :, 1] + d[:, :, 2]
+            return d[:, 1] < d[:, 0]
+
+        for _ in range(rounds):
+            one, before = nearer(), centres.copy()
+            for k, own in enumerate((~one, one)):
+                if own.any():
+                    centres[k] = (colours[own] * n[own, None]).sum(axis=0) / n[own].sum()
+            if np.sqrt(((centres - before) ** 2).sum(axis=1)).max() < tolerance:
+                break
+        one = nearer()
+        return pd.DataFrame([(pdf["img_id"].iloc[0], *centres.ravel(), int(n[one].sum() > n[~one].sum()))], columns=names)
+
+    places = [f"__{k}{c}" for k in (0, 1) for c in CH]
+    names = ["__img", *places, "__background"]
+    counts = px.groupBy("img_id", *CH).agg(F.count("*").alias("n"))
+    schema = f"__img {dict(px.dtypes)['img_id']}, {', '.join(f'{c} double' for c in places)}, __background int"
+    joined = px.join(counts.groupBy("img_id").applyInPandas(run, schema), F.col("img_id").eqNullSafe(F.col("__img")))
+    out = joined.withColumn("cluster", F.when(_far(map(F.col, places[3:])) < _far(map(F.col, places[:3])), 1).otherwise(0))
+    return out.withColumn("a", F.when(F.col("cluster") == F.col("__background"), 0).otherwise(255)).drop(*names)
+
+
 # ---- lookup cubes -------------------------------------------------------
 
 def identity_cube(spark, level: int = 8) -> DataFrame:

@@ -63,7 +63,11 @@ def _pad(s, d):
     return P.pad_dims(dims, 60, 40)
 
 
-def _kmeans(p):
+def _centroid(p):
+    return P.nearest_centroid(p, (60, 60, 60), (200, 200, 200)).select(*KEY, "cluster", "a")
+
+
+def _centroid_per_image(p):
     return P.kmeans_background(p, (60, 60, 60), (200, 200, 200), 0).select(*KEY, "cluster", "a")
 
 
@@ -109,7 +113,8 @@ QUERIES = {
     "cube_stats": on(_hist_cubes),
     "max_value": on(P.max_value),
     "minmax_norm": lambda s, d: P.min_max(patches(s, d)).withColumn("v", F.round("v", 6)),
-    "nearest_centroid": on(_kmeans),
+    "nearest_centroid": on(_centroid),
+    "nearest_centroid_per_image": on(_centroid_per_image),
     "clut_identity": lambda s, d: P.identity_cube(s, 4),
     "clut_identity_8": lambda s, d: P.identity_cube(s, 8),
     "clut_index": on(lambda p: P.cube_index(p).select(*KEY, "r6", "g6", "b6")),
@@ -190,6 +195,9 @@ s AS (SELECT img_id, min(v) AS lo, max(v) AS hi FROM p GROUP BY img_id) SELECT i
     "nearest_centroid": BASE.rstrip() + """, c AS (SELECT img_id, x, y, CASE WHEN (r-200)*(r-200)+(g-200)*(g-200)+(b-200)*(b-200) < (r-60)*(r-60)+(g-60)*(g-60)+(b-60)*(b-60) THEN 1 ELSE 0 END AS cluster FROM px),
 k AS (SELECT count(*) FILTER (cluster = 1) > count(*) FILTER (cluster = 0) AS one FROM c)
 SELECT img_id, x, y, cluster, CASE WHEN (cluster = 1) = one THEN 0 ELSE 255 END AS a FROM c, k""",
+    "nearest_centroid_per_image": BASE.rstrip() + """, c AS (SELECT img_id, x, y, CASE WHEN (r-200)*(r-200)+(g-200)*(g-200)+(b-200)*(b-200) < (r-60)*(r-60)+(g-60)*(g-60)+(b-60)*(b-60) THEN 1 ELSE 0 END AS cluster FROM px),
+k AS (SELECT img_id, count(*) FILTER (cluster = 1) > count(*) FILTER (cluster = 0) AS one FROM c GROUP BY img_id)
+SELECT img_id, x, y, cluster, CASE WHEN (cluster = 1) = one THEN 0 ELSE 255 END AS a FROM c JOIN k USING (img_id)""",
     "clut_identity": "SELECT i, cast(i % 64 AS INT) AS x, cast(i // 64 AS INT) AS y, cast((i % 16) * 255 // 15 AS INT) AS r, cast(((i // 16) % 16) * 255 // 15 AS INT) AS g, cast((i // 256) * 255 // 15 AS INT) AS b FROM generate_series(0, 4095) t(i)",
     "clut_identity_8": "SELECT i, cast(i % 512 AS INT) AS x, cast(i // 512 AS INT) AS y, cast((i % 64) * 255 // 63 AS INT) AS r, cast(((i // 64) % 64) * 255 // 63 AS INT) AS g, cast((i // 4096) * 255 // 63 AS INT) AS b FROM generate_series(0, 262143) t(i)",
     "clut_index": BASE + "SELECT img_id, x, y, cast(r*63//255 AS INT) AS r6, cast(g*63//255 AS INT) AS g6, cast(b*63//255 AS INT) AS b6 FROM px",

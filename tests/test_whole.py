@@ -2,12 +2,15 @@
 
 import base64
 import glob
+import math
 import os
+import random
 
 import duckdb
 import pytest
 
 from tessera import catalog
+from tessera.operators import pixels as P
 
 from .test_queries import SF, canon
 
@@ -49,3 +52,37 @@ def test_base64_round_trip_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["b64"], r["text"]) for r in catalog.queries()["base64_round_trip_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: (t if t is None else base64.b64encode(t.encode()).decode(), t) for i, t in enumerate(texts)}
+
+
+def brute_background(pixels, first, second):
+    """k-means of one image, in plain Python: {(x, y): (cluster, a)}."""
+    centres = [first, second]
+    for _ in range(100):
+        near = lambda p: int(math.dist(p[2:], centres[1]) < math.dist(p[2:], centres[0]))
+        own = [[p for p in pixels if near(p) == k] for k in (0, 1)]
+        new = [tuple(sum(p[c] for p in o) / len(o) for c in (2, 3, 4)) if o else centres[k] for k, o in enumerate(own)]
+        moved, centres = max(map(math.dist, new, centres)), new
+        if moved < 0.255:
+            break
+    labels = {p[:2]: int(math.dist(p[2:], centres[1]) < math.dist(p[2:], centres[0])) for p in pixels}
+    background = int(sum(labels.values()) * 2 > len(labels))
+    return {at: (k, 0 if k == background else 255) for at, k in labels.items()}
+
+
+def test_kmeans_decides_for_each_image(spark):
+    rng = random.Random(0)
+    images = {
+        0: [(x, y, *[rng.randrange(60) if x < 8 else rng.randrange(180, 255) for _ in "rgb"]) for x in range(10) for y in range(10)],
+        1: [(x, y, *[rng.randrange(60) if x < 2 else rng.randrange(180, 255) for _ in "rgb"]) for x in range(10) for y in range(10)],
+        2: [(x, y, 3 * x * y % 256, 5 * x * x % 256, 10 * x + y) for x in range(20) for y in range(20)],
+        None: [(x, 0, 130 + x, 130 + x, 130 + x) for x in range(9)],
+    }
+    px = spark.createDataFrame([(i, *p, 255) for i, ps in images.items() for p in ps], "img_id long, x int, y int, r int, g int, b int, a int")
+    got = {}
+    for r in P.kmeans_background(px, (60, 60, 60), (200, 200, 200)).collect():
+        got.setdefault(r["img_id"], {})[r["x"], r["y"]] = (r["cluster"], r["a"])
+    assert got == {i: brute_background(ps, (60, 60, 60), (200, 200, 200)) for i, ps in images.items()}
+
+
+def test_nearest_centroid_per_image(spark, many):
+    assert canon(catalog.queries()["nearest_centroid_per_image"](spark, many).toPandas()) == oracle(many, "nearest_centroid_per_image")
