@@ -360,14 +360,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all columns."""
-    result = cut(near_duplicates(docs), "verdicts")
-    dropped = result.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(dropped, docs["doc_id"] == dropped["__gone"], "left_anti")
-    named = result.filter("kept and doc_id is not null")
-    if named.count() > named.select("doc_id").distinct().count():
-        left = left.filter("doc_id is null").unionByName(left.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return left
+    """One document of each group, the one with the smallest id, with all columns.
+
+    Rows of one id and one text are one document; different texts under one id are
+    different documents, compared and kept by numbers of their own in order of the
+    ids. Rows without an id stay.
+    """
+    ids = docs.select("doc_id").filter("doc_id is not null")
+    if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _keep_one(docs, "doc_id")
+    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    ordered = named.orderBy("doc_id", F.xxhash64("text")).withColumn("__key", F.monotonically_increasing_id())
+    kept = _keep_one(cut(ordered, "keyed"), "__key").drop("__key")
+    return docs.filter("doc_id is null").unionByName(kept)
+
+
+def _keep_one(docs: DataFrame, key: str) -> DataFrame:
+    """Like keep_one, by a column that is null or different in each row."""
+    result = near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"))
+    dropped = cut(result.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")), "dropped")
+    return docs.join(dropped, docs[key] == dropped["__gone"], "left_anti")
 
 
 def op2_neardup(spark, sf_dir: str) -> DataFrame:

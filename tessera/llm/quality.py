@@ -77,12 +77,14 @@ def _covered() -> Column:
     return pairs, positions, total
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """The base columns of every document, beside doc_id, lang and source."""
+def measure(docs: DataFrame, *carried: str) -> DataFrame:
+    """The base columns of every document, beside doc_id, lang, source and the
+    ``carried`` columns."""
     has = set(docs.columns)
     own = docs.select(
         "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__t"),
         *[(F.col(c) if c in has else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")],
+        *carried,
     )
     split = own.withColumn("__words", F.filter(F.split("__t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     lines = F.filter(F.split("__t", "\n"), lambda x: F.translate(x, WS, "") != "")
@@ -105,7 +107,7 @@ def measure(docs: DataFrame) -> DataFrame:
         .withColumn("__q", F.when(F.col("__w").isNotNull(), positions))
         .withColumn("n_repeat_words", F.coalesce(F.when(F.col("__w").isNotNull(), total), F.lit(0)).cast("long"))
     )
-    return repeated.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines")
+    return repeated.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", *carried)
 
 
 def group_sketches(measured: DataFrame) -> DataFrame:
@@ -134,9 +136,9 @@ def fences(sketches: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base columns, base_failed, the rates' verdicts and kept."""
-    measured = cut(measure(docs), "measured")
+def judge(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the base columns, base_failed, kept and the ``carried`` columns."""
+    measured = cut(measure(docs, *carried), "measured")
     limits = cut(fences(cut(group_sketches(measured), "sketches")), "limits")
     if limits.count() <= BROADCAST_ROWS:
         limits = F.broadcast(limits)
@@ -146,15 +148,14 @@ def judge(docs: DataFrame) -> DataFrame:
     bad = over[0] | over[1] | over[2]
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~bad).alias("kept"),
+        failed.alias("base_failed"), (~failed & ~bad).alias("kept"), *carried,
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    rejected = judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__bad")).distinct()
-    rejected = cut(rejected, "rejected")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__bad"]), "left_anti")
+    """The documents that pass, with all their columns. Each row carries its own
+    verdict: ids may be null or repeat."""
+    return judge(docs.withColumn("__row", F.struct("*")), "__row").filter("kept").select("__row.*")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
