@@ -69,20 +69,18 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, bytes used) of the record that ``data`` starts with.
+    """(headers, block, bytes used) of the record that ``data`` starts with. Headers
+    may have any length.
 
     Raises EOFError if more bytes are needed, ValueError if it is not a record.
     """
-    if not data.startswith(VERSION[: len(data)]):
+    opening = data[: len(VERSION) + 2]
+    if not any(line.startswith(opening) for line in (b"WARC/1.0\r\n", VERSION + b"\r\n")):
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n", 0, 1 << 16)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
-        if len(data) >= 1 << 16:
-            raise ValueError("header too long")
         raise EOFError
     lines = data[:end].split(b"\r\n")
-    if lines[0] not in (b"WARC/1.0", VERSION):
-        raise ValueError("bad version line")
     headers: dict[str, str] = {}
     for line in lines[1:]:
         name, colon, value = line.partition(b":")
@@ -250,30 +248,35 @@ def write_archives(pages: DataFrame, folder: str, max_bytes: int = 256 << 20, le
     return cut(plan_revisits(pages).mapInArrow(write, ARCHIVES), "archives")
 
 
-def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records and gaps of all archives in the column ``path`` (RECORDS)."""
+def read_archives(archives: DataFrame, with_payload: bool = True, whole: bool = False) -> DataFrame:
+    """Records and gaps of all archives in the column ``path`` (RECORDS). With
+    ``whole``, an archive that gives another number of records than its n_records
+    fails the query."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RECORDS.split(", ")]
         for batch in batches:
-            for path in batch["path"]:
+            for path, n_records in zip(batch["path"], batch["n_records"] if whole else [None] * len(batch)):
                 fs, inner = open_fs(path)
-                rows, held = [], 0
+                rows, held, found = [], 0, 0
                 with fs.open_input_stream(inner, compression=None) as stream:
                     for item in SalvageReader(stream):
                         if item[0] == "gap":
                             rows.append(("gap", path, *item[1:], *[None] * 7))
                         else:
                             rows.append(_record_row(path, item, with_payload))
+                            found += 1
                             held += len(item[3]) * with_payload + 200
                         if held > 16 << 20:
                             yield _frame(rows, names)
                             rows, held = [], 0
+                if whole and found != n_records:
+                    raise ValueError(f"{path} holds {n_records} records, but {found} were read")
                 if rows:
                     yield _frame(rows, names)
 
     n = max(1, min(archives.count(), 100_000))
-    return archives.select("path").repartition(n).mapInPandas(read, RECORDS)
+    return archives.select("path", *["n_records"] * whole).repartition(n).mapInPandas(read, RECORDS)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
@@ -298,7 +301,7 @@ def _record_row(path: str, item: tuple, with_payload: bool) -> tuple:
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     archives = write_archives(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
-    records = read_archives(archives, with_payload=False).filter("kind = 'record'")
+    records = read_archives(archives, with_payload=False, whole=True).filter("kind = 'record'")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
