@@ -13,6 +13,7 @@ reads one slice of the payload: constant time, whatever the shard's size.
 Encoding uses the tokenizers library. A space before a non-space character always
 starts a new pre-token of the byte-level splitter, so a text is cut there, each
 different piece is encoded by the library once per cache, and the ids are joined.
+Texts that hold an added token, such as <|endoftext|>, are encoded whole.
 
 Edge cases: null texts are empty (their ids are the end id alone); null keys sort
 first; rows that repeat a key are kept, told apart by their occurrence number within
@@ -56,9 +57,7 @@ def load_tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 _known: dict[str, dict[str, bytes]] = {}
@@ -78,6 +77,7 @@ class PieceEncoder:
         size = self.tok.get_vocab_size()
         self.width = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.known = _known.setdefault(path, {})
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
 
     def _ids(self, text: str) -> np.ndarray:
@@ -97,6 +97,10 @@ class PieceEncoder:
         self.known.update((p, self._ids(" " + p).tobytes()) for p in pieces if " " in p)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = {i: self._ids(text).tobytes() for i, text in enumerate(texts) if any(a in text for a in self.added)}
+        if whole:
+            rest = iter(self.encode([text for i, text in enumerate(texts) if i not in whole]))
+            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
         cut = [_CUT.split(text) for text in texts]
         need = set().union(*(c[1:] for c in cut))
         new = need.difference(self.known)
