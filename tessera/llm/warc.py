@@ -10,10 +10,10 @@ version line, wrong length, wrong digest) the reader searches for the next gzip
 member or version line that starts a valid record, goes on from there, and logs
 the skipped bytes as a quarantined gap.
 
-Edge cases: a null html is an empty payload; pages that repeat the smallest
-page_id with the same payload are all responses; where every page_id of a payload
-is null, all its records are responses; an empty table writes no archive and gives
-no rows. Other columns are ignored.
+Edge cases: a null html is an empty payload; urls and payloads may have any length;
+pages that repeat the smallest page_id with the same payload are all responses; where
+every page_id of a payload is null, all its records are responses; an empty table
+writes no archive and gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,130 +68,143 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, bytes used) of the record that ``data`` starts with. Headers
-    may have any length.
-
-    Raises EOFError if more bytes are needed, ValueError if it is not a record.
-    """
-    opening = data[: len(VERSION) + 2]
-    if not any(line.startswith(opening) for line in (b"WARC/1.0\r\n", VERSION + b"\r\n")):
+def parse_header(lines: bytes) -> dict[str, str]:
+    """The fields of a record header without its closing blank line, by lower-case
+    name. Raises ValueError if it is not one."""
+    first, *fields = lines.split(b"\r\n")
+    if first not in (b"WARC/1.0", VERSION):
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
-        raise EOFError
-    lines = data[:end].split(b"\r\n")
     headers: dict[str, str] = {}
-    for line in lines[1:]:
+    for line in fields:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("bad header line")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    size = headers.get("content-length", "")
-    if not size.isdigit():
+    if not headers.get("content-length", "").isdigit():
         raise ValueError("bad content length")
-    stop = end + 4 + int(size)
-    if len(data) < stop + 4:
-        if VERSION[:5] in data[end + 4:]:  # a record starts where this one's block should be
-            inner = data.find(b"\r\n\r\n" + VERSION[:5], end)
-            if inner >= 0:
-                raise ValueError("block overlaps the next record")
-        raise EOFError
-    if data[stop:stop + 4] != b"\r\n\r\n":
-        raise ValueError("wrong record end")
-    block = data[end + 4:stop]
+    return headers
+
+
+def check_digest(headers: dict[str, str], block: bytes) -> None:
     named = headers.get("warc-block-digest", "")
     if named.startswith("sha256:") and hashlib.sha256(block).hexdigest() != named[7:]:
         raise ValueError("wrong block digest")
-    return headers, block, stop + 4
 
 
 # ---- salvaging reader ---------------------------------------------------
 
 class SalvageReader:
     """Iterates ("record", offset, headers, block) and ("gap", start, end, reason)
-    over a binary stream. Holds one record and one read buffer at a time, unless a
-    damaged length makes it look further, up to ``max_record`` bytes."""
-
-    def __init__(self, stream, max_record: int = 1 << 28):
-        self.stream, self.max_record = stream, max_record
-        self.buf, self.base, self.done = b"", 0, False
-
-    def _fill(self) -> bool:
-        more = b"" if self.done else self.stream.read(READ)
-        self.done = not more
-        self.buf += more
-        return bool(more)
-
-    def _try(self, at: int, quick: bool = False) -> tuple[dict[str, str], bytes, int]:
-        """The record at ``at`` and its stored size; fills the buffer as needed."""
-        while len(self.buf) - at < 8 and self._fill():
-            pass
-        if self.buf[at:at + 3] == GZIP_MAGIC:
+    over a seekable binary stream.
+
+    Headers and blocks may have any length. Memory holds one record and one read
+    buffer: a plain record's end is looked at before its block is read, a gzip member
+    that doesn't open with a version line is left at once, and a gap is only a pair of
+    offsets. The search remembers the next place of each opening, so that a stretch
+    without records is read once.
+    """
+
+    def __init__(self, stream):
+        self.stream = stream
+        self.size = stream.seek(0, 2)
+        self.at, self.buf = 0, b""  # what is buffered, and from where
+        openings = (GZIP_MAGIC, VERSION[:7], b"\r\n", b"\r\n\r\n")
+        self.since, self.next = dict.fromkeys(openings, 0), dict.fromkeys(openings, -1)
+
+    def _fill(self, at: int, n: int) -> None:
+        """Buffer n bytes from ``at`` on, as far as there are so many."""
+        have = self.at + len(self.buf)
+        if at < self.at or at > have or (at + n > have and have < self.size):
+            self.stream.seek(at)
+            self.at, self.buf = at, self.stream.read(max(n, READ))
+
+    def _read(self, at: int, n: int) -> bytes:
+        self._fill(at, n)
+        data = self.buf[at - self.at:at - self.at + n]
+        if len(self.buf) > READ:
+            self.at, self.buf = at + n, b""
+        return data
+
+    def _find(self, what: bytes, at: int) -> int:
+        """Where ``what`` stands next, at or after ``at``; the size if nowhere."""
+        if self.since[what] <= at <= self.next[what]:
+            return self.next[what]
+        place, hit = at, -1
+        while place + len(what) <= self.size and hit < 0:
+            self._fill(place, len(what))
+            hit = self.buf.find(what, place - self.at)
+            place = self.at + hit if hit >= 0 else self.at + len(self.buf) - len(what) + 1
+        self.since[what], self.next[what] = at, place if hit >= 0 else self.size
+        return self.next[what]
+
+    def _record(self, at: int) -> tuple[dict[str, str], bytes, int]:
+        """The record at ``at`` and its stored size."""
+        opening = self._read(at, len(VERSION) + 2)
+        if opening.startswith(GZIP_MAGIC):
             return self._member(at)
-        if len(self.buf) - at < len(VERSION):
-            raise ValueError("short rest")
-        while True:
-            try:
-                return parse_record(self.buf[at:])
-            except EOFError:
-                if len(self.buf) - at > self.max_record or not self._fill():
-                    raise ValueError("record is cut off") from None
+        if opening not in (b"WARC/1.0\r\n", VERSION + b"\r\n"):
+            raise ValueError("no version line" if len(opening) == len(VERSION) + 2 else "short rest")
+        line = self._read(at + len(opening), 256)  # leave what is no header before looking for its end
+        if b":" not in line.partition(b"\r\n")[0] or self._find(b"\r\n", at + len(opening)) == self.size:
+            raise ValueError("bad header line")
+        end = self._find(b"\r\n\r\n", at)
+        if end == self.size:
+            raise ValueError("record is cut off")
+        headers = parse_header(self._read(at, end - at))
+        start, stop = end + 4, end + 4 + int(headers["content-length"])
+        if stop + 4 > self.size:
+            raise ValueError("record is cut off")
+        if self._read(stop, 4) != b"\r\n\r\n":
+            raise ValueError("wrong record end")
+        block = self._read(start, stop - start)
+        check_digest(headers, block)
+        if "warc-block-digest" not in headers and stop + 4 < self.size and not self._read(stop + 4, 7).startswith((GZIP_MAGIC, VERSION[:7])):
+            if b"\r\n\r\n" + VERSION[:7] in block:
+                raise ValueError("block overlaps the next record")
+        return headers, block, stop + 4 - at
 
     def _member(self, at: int) -> tuple[dict[str, str], bytes, int]:
-        out, d, used = [], zlib.decompressobj(31), at
+        out, d, used, opened, step = [], zlib.decompressobj(31), at, b"", 2048
         while not d.eof:
-            if used >= len(self.buf) and not self._fill():
+            part, step = self._read(used, step), min(4 * step, READ)
+            if not part:
                 raise ValueError("gzip member is cut off")
-            part = self.buf[used:used + READ]
             used += len(part)
             try:
                 out.append(d.decompress(part))
             except zlib.error as e:
                 raise ValueError(f"bad gzip member: {e}") from None
-            if used - at > self.max_record:
-                raise ValueError("gzip member too long")
+            if len(opened) < 7:
+                opened += out[-1][:7]
+                if not opened.startswith(VERSION[:7][:len(opened)]):
+                    raise ValueError("no version line")
         data = b"".join(out)
-        try:
-            headers, block, n = parse_record(data)
-        except EOFError:
-            raise ValueError("member ends inside a record") from None
-        if n != len(data):
-            raise ValueError("bytes after the record")
-        return headers, block, used - len(d.unused_data) - at
-
-    def _next_start(self, at: int) -> int:
-        """Where the next candidate start is, at or after ``at``; -1 if none."""
-        while True:
-            hits = [h for h in (self.buf.find(GZIP_MAGIC, at), self.buf.find(b"WARC/1.", at)) if h >= 0]
-            if hits:
-                return min(hits)
-            at = max(at, len(self.buf) - 7)
-            if not self._fill():
-                return -1
+        head, blank, rest = data.partition(b"\r\n\r\n")
+        if not blank:
+            raise ValueError("member ends inside a record")
+        headers = parse_header(head)
+        n = int(headers["content-length"])
+        if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
+            raise ValueError("member ends inside a record" if len(rest) < n + 4 else "bytes after the record")
+        check_digest(headers, rest[:n])
+        return headers, rest[:n], used - len(d.unused_data) - at
 
     def __iter__(self) -> Iterator[tuple]:
-        while True:
-            if not self.buf and not self._fill():
-                return
-            try:
-                headers, block, n = self._try(0)
-            except ValueError as e:
-                reason, at, found = str(e), 1, None
-                while (at := self._next_start(at)) >= 0:
-                    try:
-                        found = self._try(at)
-                        break
-                    except ValueError:
-                        at += 1
-                end = at if found else len(self.buf)
-                yield "gap", self.base, self.base + end, reason
-                self.buf, self.base = self.buf[end:], self.base + end
-                if not found:
-                    return
-                headers, block, n = found
-            yield "record", self.base, headers, block
-            self.buf, self.base = self.buf[n:], self.base + n
+        at = 0
+        while at < self.size:
+            gap, reason = at, ""
+            while at < self.size:
+                try:
+                    headers, block, n = self._record(at)
+                    break
+                except ValueError as e:
+                    reason = reason or str(e)
+                    at = min(self._find(GZIP_MAGIC, at + 1), self._find(VERSION[:7], at + 1))
+            if at > gap:
+                yield "gap", gap, at, reason
+            if at < self.size:
+                yield "record", at, headers, block
+                at += n
 
 
 # ---- Spark --------------------------------------------------------------
@@ -259,7 +272,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True, whole: bool =
             for path, n_records in zip(batch["path"], batch["n_records"] if whole else [None] * len(batch)):
                 fs, inner = open_fs(path)
                 rows, held, found = [], 0, 0
-                with fs.open_input_stream(inner, compression=None) as stream:
+                with fs.open_input_file(inner) as stream:
                     for item in SalvageReader(stream):
                         if item[0] == "gap":
                             rows.append(("gap", path, *item[1:], *[None] * 7))
