@@ -1,8 +1,8 @@
 """Helpers shared by the training-data operators.
 
-Tables that cut lineage go to the folder named in ``spark.checkpoint.dir``,
-which driver and executors share; a private folder is used only where that
-setting is absent (single-machine tests).
+Tables that cut lineage go to the folder named in ``spark.checkpoint.dir``, which
+driver and executors share. A private folder is used only where that setting is
+absent and the session runs on one machine.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tessera-"))
     return _own_dir[0]
@@ -66,7 +68,11 @@ def dense_slots(df: DataFrame, group: str, order: list[str], out: str = "slot")
     earlier tasks. Nothing larger than one task's share is ever sorted
     together, however large a group is.
     """
-    rows = cut(df.withColumn("__pid", F.spark_partition_id()), "slots")
+    return slots_within(cut(df.withColumn("__pid", F.spark_partition_id()), "slots"), group, order, out)
+
+
+def slots_within(rows: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """``dense_slots`` of written rows whose column __pid names the task that wrote them."""
     counts = rows.groupBy(group, "__pid").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(group, "__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

@@ -4,10 +4,13 @@ Texts become token counts; a text longer than ``max_len`` becomes consecutive
 pieces, so nothing is cut away. The global histogram of piece lengths (at most
 ``max_len`` counts) is summed over all data, and dynamic programming picks the
 bucket bounds with the least padding. In each bucket every piece is padded to the
-bound, and a batch holds as many pieces as the token budget allows.
+bound, and a batch holds as many pieces as the token budget allows. The rows carry the
+ids of their piece, so a trainer reads batches without encoding anything again.
 
 Edge cases: null texts are empty and have the end token alone; equal lengths share
-a bucket; an empty table gives no rows. Other columns are ignored.
+a bucket; rows that repeat a doc_id or have none are packed like any others; texts of
+any length are packed whole, in pieces; an empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -15,12 +18,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
 from .bpe import tokenizer_path
-from .common import cut, dense_slots, table
-from .token_store import PieceEncoder
+from .common import cut, slots_within, table
+from .token_store import END_ID, binary_rows, by_bytes, load_encoder
 
 MAX_LEN = 2048
 N_BUCKETS = 16
@@ -61,30 +65,33 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> l
     return bounds[::-1]
 
 
-def piece_lengths(docs: DataFrame, path: str, max_len: int = MAX_LEN) -> DataFrame:
-    """One row per piece: doc_id, piece, start and n_tokens; the end token counts."""
+def pieces_of(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
+    """One row per piece: doc_id, piece, start, n_tokens and ids (little-endian, of two
+    bytes each, four for vocabularies over 65,536); the end token counts."""
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = PieceEncoder(path)
-        for texts in batches:
-            texts = texts.fillna("").tolist()
-            sizes = [len(x) // enc.width.itemsize + 1 for lo in range(0, len(texts), 256) for x in enc.encode(texts[lo:lo + 256])]
-            yield pd.Series(sizes, dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = load_encoder(path)
+        for batch in batches:
+            for some in by_bytes(batch):
+                ids, sizes = enc.encode_batch(some.column("text"), end_id)
+                n = -(-sizes // max_len)
+                row = np.repeat(np.arange(len(sizes)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * max_len
+                n_tokens = np.minimum(max_len, sizes[row] - start)
+                columns = [some.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(n_tokens, pa.int32()), binary_rows(ids, n_tokens)]
+                yield pa.record_batch(columns, schema.names)
 
-    counted = docs.select("doc_id", count("text").alias("__n"))
-    last = F.floor((F.col("__n") - 1) / max_len).cast("int")
-    pieces = counted.select("doc_id", "__n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    start = F.col("piece").cast("long") * max_len
-    return pieces.select("doc_id", "piece", start.alias("start"), F.least(F.lit(max_len), F.col("__n") - start).cast("int").alias("n_tokens"))
+    schema = StructType().add("doc_id", docs.schema["doc_id"].dataType).add("piece", IntegerType()).add("start", LongType()).add("n_tokens", IntegerType()).add("ids", BinaryType())
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """One row per piece: doc_id, piece, start, n_tokens, bucket, padded_len,
-    batch (within the bucket) and slot (within the batch)."""
+    batch (within the bucket), slot (within the batch) and ids."""
     if batch_tokens < max_len:
         raise ValueError("batch_tokens must be at least max_len")
-    pieces = cut(piece_lengths(docs, path, max_len), "pieces")
+    pieces = cut(pieces_of(docs, path, max_len).withColumn("__pid", F.spark_partition_id()), "pieces")
     histogram = pieces.groupBy("n_tokens").count().collect()  # at most max_len rows
     bounds = optimal_bounds(np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64), n_buckets)
     bucket, padded, per_batch = F.lit(0), F.lit(0), F.lit(1)
@@ -94,11 +101,11 @@ def pack(docs: DataFrame, path: str, max_len: int = MAX_LEN, n_buckets: int = N_
         padded = F.when(fits, F.lit(bound)).otherwise(padded)
         per_batch = F.when(fits, F.lit(batch_tokens // bound)).otherwise(per_batch)
     placed = pieces.withColumns({"bucket": bucket, "padded_len": padded, "__per": per_batch})
-    slotted = dense_slots(placed, "bucket", ["doc_id", "piece"], "__at")
+    slotted = slots_within(placed, "bucket", ["doc_id", "piece"], "__at")
     return slotted.select(
         "doc_id", "piece", "start", "n_tokens", "bucket", "padded_len",
         F.floor(F.col("__at") / F.col("__per")).cast("long").alias("batch"),
-        (F.col("__at") % F.col("__per")).cast("int").alias("slot"),
+        (F.col("__at") % F.col("__per")).cast("int").alias("slot"), "ids",
     )
 
 

@@ -10,15 +10,16 @@ A store is a set of shards in ascending key order. Each shard has two files:
 A lookup hashes the key, finds its level and rank, compares the fingerprint and
 reads one slice of the payload: constant time, whatever the shard's size.
 
-Encoding uses the tokenizers library. A space before a non-space character always
-starts a new pre-token of the byte-level splitter, so a text is cut there, each
-different piece is encoded by the library once per cache, and the ids are joined.
-Texts that hold an added token, such as <|endoftext|>, are encoded whole.
+Encoding uses the tokenizers library. Texts are cut where the byte-level splitter
+always starts a new pre-token (see ``_CUTS``), each different piece is encoded by the
+library once per cache, and the ids are joined. Texts that hold an added token, such
+as <|endoftext|>, are encoded whole.
 
 Edge cases: null texts are empty (their ids are the end id alone); null keys sort
 first; rows that repeat a key are kept, told apart by their occurrence number within
 the shard, and may be spread over neighbouring shards; an empty table has no shard
-and gives no rows. Other columns are ignored.
+and gives no rows; a text of any length is one document of one shard; ``lookup`` of an
+absent key gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import tokenizer_path
@@ -42,11 +44,24 @@ from .common import cut, new_path, open_fs, table
 
 END_ID = 2
 SHARD_BYTES = 32 << 20
+MAX_SHARDS = 1 << 15  # bounds what driver and tasks know of the shards; larger inputs have larger ones
 MAGIC = b"MPHTOK1\n"
 GAMMA = 2.0
 MAX_LEVELS = 48
-CACHE = 1_000_000
-_CUT = re.compile(r" (?=\S)")
+MANIFEST = "shard int, path string, n_docs long, n_tokens long, first_key long, last_key long, has_null boolean"
+CACHE = 2_000_000
+# The splitter's letters and digits up to U+024F, ASCII marks, and white space.
+_WORD, _MARK, _SPACE = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-/:-@\\[-`{-~", r"\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}"
+_CUT = "\x01"
+#: Where texts are cut: no pre-token runs from anything into a space with text behind
+#: it, from a word into a mark, or over either end of a single line break between texts.
+_CUTS = (
+    (f" ([^{_SPACE}{_CUT}])", f"{_CUT} \\1"),
+    (f"([{_WORD}])([{_MARK}])", f"\\1{_CUT}\\2"),
+    (f"([^{_SPACE}{_CUT}])\\n([{_WORD}])", f"\\1\n{_CUT}\\2"),
+)
+_SPACED = f"^ [^{_SPACE}](\\n|[^{_SPACE}])*$"  # its only space comes first
+_BARE = f"^[^{_SPACE}]+$"
 
 
 # ---- encoding -----------------------------------------------------------
@@ -60,56 +75,129 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_known: dict[str, dict[str, bytes]] = {}
+@functools.lru_cache(maxsize=2)
+def load_encoder(path: str) -> "PieceEncoder":
+    """The encoder of this Python worker, which keeps what it knows for later tasks."""
+    return PieceEncoder(path)
 
 
 class PieceEncoder:
-    """Encodes texts to bytes of ids; remembers up to CACHE different pieces, also
-    for later tasks of the same Python worker.
+    """Encodes batches of texts and remembers up to CACHE different pieces.
 
-    Unknown pieces go to the library joined by the spaces they were cut at. In the
-    ids, a piece begins where a token begins with a space: pieces that hold further
-    spaces are encoded one by one.
+    Arrow cuts the texts into pieces, numbers the different ones and looks them up
+    among those known; only unknown pieces reach the library, many at a time: those
+    whose only space comes first one after the other, as a piece begins where a token
+    begins with a space; those without white space in lines of their own; others one by
+    one. The ids of the texts are gathered by number.
     """
 
     def __init__(self, path: str):
         self.tok = load_tokenizer(path)
         size = self.tok.get_vocab_size()
         self.width = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.known = _known.setdefault(path, {})
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.whole = "|".join(map(re.escape, [_CUT, *added]))  # texts with one of these are encoded whole
         self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.line = self._ids("\n")[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.names = pa.array([], pa.string())
+        self.flat = np.empty(0, self.width)
+        self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int32)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
 
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if " " not in p]
-        for lo in range(0, len(plain), 8192):
-            some = plain[lo:lo + 8192]
-            ids = self._ids(" " + " ".join(some))
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(some):
-                self.known.update((p, self._ids(" " + p).tobytes()) for p in some)
-                continue
-            data, at = ids.tobytes(), (starts * self.width.itemsize).tolist()
-            self.known.update(zip(some, map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))))
-        self.known.update((p, self._ids(" " + p).tobytes()) for p in pieces if " " in p)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = {i: self._ids(text).tobytes() for i, text in enumerate(texts) if any(a in text for a in self.added)}
-        if whole:
-            rest = iter(self.encode([text for i, text in enumerate(texts) if i not in whole]))
-            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
-        cut = [_CUT.split(text) for text in texts]
-        need = set().union(*(c[1:] for c in cut))
-        new = need.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = need
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [(self._ids(c[0]).tobytes() if c[0] else b"") + b"".join(map(get, c[1:])) for c in cut]
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Add unknown pieces; returns their places among the known ones."""
+        kind = np.where(pc.match_substring_regex(new, _SPACED).to_numpy(zero_copy_only=False), 0, np.where(pc.match_substring_regex(new, _BARE).to_numpy(zero_copy_only=False), 1, 2))
+        order = np.argsort(kind, kind="stable")
+        flat, starts, sizes, used = [self.flat], [self.starts], [self.sizes], len(self.flat)
+        for k, apart in enumerate(("", "\n", None)):
+            some = new.take(pa.array(order[kind[order] == k])).to_pylist()
+            for lo in range(0, len(some), 4096):
+                part = some[lo:lo + 4096]
+                if apart is not None:
+                    ids = self._ids(apart.join(part))
+                    if apart:
+                        last = np.append(np.flatnonzero(ids == self.line), len(ids))
+                        first = np.append(0, last[:-1] + 1)
+                    else:
+                        first = np.flatnonzero(self.opens[ids])
+                        last = np.append(first[1:], len(ids))
+                if apart is None or len(first) != len(part):
+                    each = [self._ids(p) for p in part]
+                    ids = np.concatenate(each)
+                    last = np.cumsum([len(x) for x in each])
+                    first = last - [len(x) for x in each]
+                flat.append(ids)
+                starts.append((first + used).astype(np.int32))
+                sizes.append((last - first).astype(np.int32))
+                used += len(ids)
+        places = np.empty(len(new), np.int64)
+        places[order] = len(self.names) + np.arange(len(new))
+        self.names = pa.concat_arrays([self.names, new.take(pa.array(order))])
+        self.flat, self.starts, self.sizes = map(np.concatenate, (flat, starts, sizes))
+        return places
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        if len(self.names) > CACHE:
+            self._forget()
+        found = pc.index_in(pieces, self.names)
+        at = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        if found.null_count:
+            at[at < 0] = self._learn(pieces.filter(pc.is_null(found)))
+        return at
+
+    def encode_batch(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each text), each text closed by end_id."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = pc.match_substring_regex(texts, self.whole)
+        marked = pc.if_else(whole, "", texts)
+        runs = pc.match_substring_regex(marked, f" [{_SPACE}{_CUT}]")
+        cut = pc.replace_substring(marked, " ", f"{_CUT} ")  # the first cut, where white space never follows a space
+        if pc.any(runs).as_py():
+            cut = pc.if_else(runs, pc.replace_substring_regex(pc.if_else(runs, marked, ""), *_CUTS[0]), cut)
+        marked = cut
+        for what, by in _CUTS[1:]:
+            marked = pc.replace_substring_regex(marked, what, by)
+        split = pc.split_pattern(marked, _CUT)
+        coded = split.flatten().dictionary_encode()
+        codes = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        taken = self.sizes[codes]
+        upto = np.append(0, np.cumsum(taken, dtype=np.int64))
+        ids = self.flat[np.repeat(self.starts[codes] - upto[:-1].astype(np.int32), taken) + np.arange(upto[-1], dtype=np.int32)]
+        upto = upto[ends]
+        sizes = np.diff(upto)
+        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        if odd:
+            parts, at = [], 0
+            for i in odd:
+                own = self._ids(texts[i].as_py())
+                parts += [ids[at:upto[i]], own]
+                at, sizes[i] = upto[i], len(own)
+            ids = np.concatenate([*parts, ids[at:]])
+        if end_id is not None:
+            ids = np.insert(ids, np.cumsum(sizes), end_id)
+            sizes = sizes + 1
+        return ids, sizes
+
+
+def binary_rows(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One binary value for each stretch of ``sizes`` ids."""
+    ends = np.append(0, np.cumsum(sizes)) * ids.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+
+
+def by_bytes(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` bytes of the column text, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+    part = (np.cumsum(sizes) - sizes) // most
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for lo, hi in zip(starts, [*starts[1:], len(part)]):
+        yield batch.slice(int(lo), int(hi - lo))
 
 
 # ---- minimal perfect hash -----------------------------------------------
@@ -243,10 +331,20 @@ class Shard:
 # ---- Spark --------------------------------------------------------------
 
 def _key_bounds(docs: DataFrame, n_shards: int) -> list[int]:
+    """Keys that cut the table into shards of about equal bytes.
+
+    Only the balance hangs on them: they are quantiles of a sample in which a document
+    stands once for each 256th of a shard's bytes, long ones several times.
+    """
     if n_shards < 2:
         return []
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    unit = max(1.0, total / n_shards / 256)
+    share = F.coalesce(F.octet_length("text"), F.lit(0)) / F.lit(unit)
+    chance = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = docs.select(F.col("doc_id").cast("long").alias("k"), F.floor(share + chance).cast("int").alias("n")).filter("n > 0")
     probs = [i / n_shards for i in range(1, n_shards)]
-    got = docs.select(F.col("doc_id").cast("long").alias("k")).agg(F.percentile_approx("k", probs, max(10_000, 20 * n_shards))).first()[0]
+    got = drawn.select("k", F.explode(F.sequence(F.lit(1), F.col("n")))).agg(F.percentile_approx("k", probs, max(10_000, 4 * n_shards))).first()[0]
     return list(got or [])
 
 
@@ -255,38 +353,36 @@ def encode_documents(docs: DataFrame, path: str, bounds: list[int] | None = None
     bounds = bounds or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = PieceEncoder(path)
-        end = b"" if end_id is None else np.array([end_id], enc.width).tobytes()
+        enc = load_encoder(path)
         seen = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                ids = [x + end for x in enc.encode([t or "" for t in some.column("text").to_pylist()])]
+            for some in by_bytes(batch):
+                ids, sizes = enc.encode_batch(some.column("text"), end_id)
                 keys, shard = some.column("doc_id").to_pylist(), []
                 for k in keys:
                     left = 0 if k is None else bisect.bisect_left(bounds, k)
                     right = left if k is None else bisect.bisect_right(bounds, k)
                     shard.append(left + seen % (right - left + 1))
                     seen += 1
-                sizes = [len(x) // enc.width.itemsize for x in ids]
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(shard, pa.int32()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "shard", "n_tokens", "ids"])
+                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(shard, pa.int32()), pa.array(sizes), binary_rows(ids, sizes)], ["doc_id", "shard", "n_tokens", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, shard int, n_tokens long, ids binary")
 
 
 def write_store(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> DataFrame:
-    """Write the store; returns its manifest: shard, path, n_docs, n_tokens, start
-    (ids in earlier shards). Names carry a fresh id and the manifest names only what
-    finished tasks wrote, so retried tasks leave at most unused files."""
+    """Write the store; returns its manifest: shard, path, n_docs, n_tokens, first_key
+    and last_key (both null for null keys alone), has_null, start (ids in earlier
+    shards). Names carry a fresh id and the manifest names only what finished tasks
+    wrote, so retried tasks leave at most unused files."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = max(1, -(-int(total) // SHARD_BYTES))
+    n_shards = max(1, min(MAX_SHARDS, -(-int(total) // SHARD_BYTES)))
     encoded = encode_documents(docs, path, _key_bounds(docs, n_shards), end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
-        width = PieceEncoder(path).width.itemsize
+        width = load_encoder(path).width.itemsize
         made, now, out = [], None, None
         keys: list = []
         lengths: list[int] = []
@@ -298,7 +394,7 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -
             sizes = np.array(lengths, np.int64)
             with fs.open_output_stream(f"{root}/{made[-1][1]}.mph") as f:
                 f.write(index_bytes(ids, present, sizes, width))
-            made[-1][2:] = [len(ids), int(sizes.sum())]
+            made[-1][2:] = [len(ids), int(sizes.sum()), *((int(ids[present].min()), int(ids[present].max())) if present.any() else (None, None)), not present.all()]
 
         for batch in batches:
             for shard, doc_id, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n_tokens", "ids"))):
@@ -306,23 +402,66 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -
                     if out is not None:
                         close()
                     now, keys, lengths = shard, [], []
-                    made.append([shard, f"shard-{shard:06d}-{uuid.uuid4().hex}", 0, 0])
+                    made.append([shard, f"shard-{shard:06d}-{uuid.uuid4().hex}"])
                     out = fs.open_output_stream(f"{root}/{made[-1][1]}.ids")
                 keys.append(doc_id)
                 lengths.append(n)
                 out.write(data)
         if out is not None:
             close()
-        columns = zip(*[(s, f"{folder}/{name}", n, t) for s, name, n, t in made]) if made else [[]] * 4
-        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "path", "n_docs", "n_tokens"])
+        columns = zip(*[(s, f"{folder}/{name}", *rest) for s, name, *rest in made]) if made else [[]] * 7
+        kinds = (pa.int32(), pa.string(), *[pa.int64()] * 4, pa.bool_())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in MANIFEST.split(", ")])
 
     placed = encoded.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"))
-    manifest = cut(placed.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "manifest")
+    manifest = cut(placed.mapInArrow(write, MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
 
 
+def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, path, offset, n_tokens and ids of the documents with the keys asked for
+    (column doc_id of ``keys``; repeated and null ones count once). Only shards whose key
+    range holds a key are opened, and each key is found through the shard's index. A key
+    that several documents have gives all of them; an absent key gives no row.
+
+    The manifest has at most MAX_SHARDS rows, so tasks hold it whole.
+    """
+    shards = manifest.select("path", "first_key", "last_key", "has_null").collect()
+    ranges = [(r["first_key"], r["last_key"], i) for i, r in enumerate(shards) if r["first_key"] is not None]
+    ranges.sort()
+    lows, highs = [r[0] for r in ranges], [r[1] for r in ranges]
+    nulls, paths = [i for i, r in enumerate(shards) if r["has_null"]], [r["path"] for r in shards]
+
+    @F.pandas_udf("array<int>")
+    def held(asked: pd.Series) -> pd.Series:
+        # shards follow each other in key order, so both bounds rise
+        return asked.map(lambda k: [ranges[i][2] for i in range(bisect.bisect_left(highs, k), bisect.bisect_right(lows, k))])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, now = None, None
+        for batch in batches:
+            for place, some in batch.groupby("shard", sort=False):
+                if place != now:
+                    fs, inner = open_fs(paths[place])
+                    shard, now = Shard(fs, inner), place
+                left, nth = some["doc_id"], 0
+                while len(left):
+                    present = left.notna().to_numpy()
+                    ids = left.fillna(0).to_numpy(np.int64)
+                    offsets, lengths = shard.find(ids, present, np.full(len(ids), nth))
+                    hit = lengths >= 0
+                    rows = [(k if p else None, paths[place], int(o), int(n), shard.read(o, n).tolist()) for k, p, o, n in zip(ids[hit].tolist(), present[hit], offsets[hit], lengths[hit])]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["doc_id", "path", "offset", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
+                    left, nth = left[hit], nth + 1
+
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    where = F.when(F.col("doc_id").isNull(), F.lit(nulls).cast("array<int>")).otherwise(held(F.coalesce("doc_id", F.lit(0))))
+    placed = asked.select("doc_id", F.explode(where).alias("shard"))
+    return placed.repartition("shard").sortWithinPartitions("shard").mapInPandas(read, "doc_id long, path string, offset long, n_tokens long, ids array<int>")
+
+
 def read_store(manifest: DataFrame) -> DataFrame:
     """Every document of the store, found through the index: doc_id, start,
     n_tokens, ids_crc32 (of the ids as 32-bit little-endian integers), ids."""
