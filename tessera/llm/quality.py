@@ -2,17 +2,27 @@
 
 Per document: words, their characters, symbols, duplicate lines and words inside
 repeated five-word windows. Two fixed base rules fail a document (few words, many
-repeated words). The adaptive rules replace fixed cutoffs: for each (language,
-source) group, mergeable KLL sketches give the quartiles of each rate, and a
-document fails where a rate lies beyond the upper quartile by more than ``FENCE``
-times the group's spread. The spread has a floor, so that groups whose rate hardly
-varies don't reject ordinary documents; groups of fewer than ``MIN_GROUP`` documents
-use the sketches of the whole table. The thresholds are joined to the documents by
-group, and the verdicts filter.
+repeated words). The adaptive rules replace fixed cutoffs. For each (language, source)
+group, mergeable KLL sketches of the documents that pass the base rules give quantiles
+of each rate:
+
+* shares (symbols, duplicate lines, repeated words) may lie above the group's 0.9
+  quantile by FENCE times its distance from the median;
+* the mean word length may lie outside the quartiles by FENCE times their distance,
+  and by more in texts of fewer than REFERENCE words, whose mean scatters more.
+
+A group's quantiles are drawn towards those of its language, and these towards those
+of the whole table, as if SHRINK documents of the larger set (or all, of a smaller table) belonged to the
+smaller one; sketches of groups merge into those of languages and of the table. A distance has
+a floor, which only matters where a rate hardly varies (most often because it is 0 in
+nearly all documents). The thresholds are joined to the documents by group, and the
+verdicts filter.
 
 Edge cases: a null text has no words and fails by the base rule; null languages and
-sources form groups of their own; an empty table gives no rows. Columns of the input
-other than doc_id, text, lang and source are ignored.
+sources form groups of their own; a group without passing documents has its language's
+thresholds, a language without any those of the table; rows that repeat count and are
+judged each; texts of any length are measured whole; an empty table gives no rows.
+Columns of the input other than doc_id, text, lang and source are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +33,17 @@ from .common import WS, cut, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-FENCE = 6.0
-MIN_GROUP = 50
-#: rate -> (expression over the base columns, least spread)
+FENCE = 3.0
+SHRINK = 50
+REFERENCE = 100
+#: rate -> (expression over the base columns, quantiles of the lower and upper end, least distance)
 RATES = {
-    "symbols": ("n_symbols / greatest(n_chars, 1)", 0.01),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.05),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.03),
+    "symbols": ("n_symbols / greatest(n_chars, 1)", (0.5, 0.9), 0.02),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", (0.5, 0.9), 0.1),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.5, 0.9), 0.03),
+    "word_length": ("word_chars / greatest(n_words, 1)", (0.25, 0.75), 0.2),
 }
+BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 BROADCAST_ROWS = 20_000
 
 
@@ -111,41 +124,63 @@ def measure(docs: DataFrame, *carried: str) -> DataFrame:
 
 
 def group_sketches(measured: DataFrame) -> DataFrame:
-    """A KLL sketch of each rate per (lang, source); sketches of parts merge."""
-    rated = measured.select("lang", "source", *[F.expr(e).cast("double").alias(r) for r, (e, _) in RATES.items()])
-    return rated.groupBy("lang", "source").agg(
-        F.count("*").alias("__n"), *[F.kll_sketch_agg_double(r).alias(f"__{r}") for r in RATES]
-    )
-
-
-def fences(sketches: DataFrame) -> DataFrame:
-    """Upper limit of each rate per (lang, source)."""
-
-    def limit(sketch: str, floor: float) -> Column:
-        q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.75)))
-        return q[1] + FENCE * F.greatest(q[1] - q[0], F.lit(floor))
-
-    if sketches.isEmpty():  # an empty sketch has no quantiles
-        none = [F.lit(None).cast("double").alias(f"__max_{r}") for r in RATES]
-        return sketches.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *none)
-    whole = sketches.agg(*[F.kll_merge_agg_double(f"__{r}").alias(f"__{r}") for r in RATES])
-    whole = whole.select(*[limit(f"__{r}", floor).alias(f"__all_{r}") for r, (_, floor) in RATES.items()]).first()
-    return sketches.select(
-        F.col("lang").alias("__lang"), F.col("source").alias("__source"),
-        *[F.when(F.col("__n") >= MIN_GROUP, limit(f"__{r}", floor)).otherwise(F.lit(whole[f"__all_{r}"])).alias(f"__max_{r}") for r, (_, floor) in RATES.items()],
-    )
+    """Per (lang, source) the number of documents that pass the base rules (__n) and a
+    KLL sketch of each of their rates; sketches of parts merge."""
+    passed = ~F.expr(BASE_FAILED)
+    rated = measured.select("lang", "source", passed.alias("__ok"), *[F.when(passed, F.expr(e).cast("double")).alias(r) for r, (e, _, _) in RATES.items()])
+    return rated.groupBy("lang", "source").agg(F.count_if("__ok").alias("__n"), *[F.kll_sketch_agg_double(r).alias(f"__{r}") for r in RATES])
+
+
+def _ends(n: Column, prefix: str) -> Column:
+    """Struct of the (lower, upper) quantiles of each rate; null without documents."""
+    parts = []
+    for r, (_, probs, _) in RATES.items():
+        q = F.kll_sketch_get_quantile_double(f"{prefix}{r}", F.array(*map(F.lit, probs)))
+        parts.append(F.when(n > 0, q).alias(r))
+    return F.struct(*parts)
+
+
+def _shrunk(n: Column, own: Column, wide: Column) -> Column:
+    """The quantiles ``own`` of n documents, drawn towards those of the wider set."""
+    weight = F.least(F.lit(float(SHRINK)), F.col("__all_n").cast("double"))
+    drawn = lambda r, i: (n * own[r][i] + weight * wide[r][i]) / (n + weight)
+    return F.struct(*[F.when(n == 0, wide[r]).otherwise(F.array(drawn(r, 0), drawn(r, 1))).alias(r) for r in RATES])
+
+
+def thresholds(sketches: DataFrame) -> DataFrame:
+    """Per (__lang, __source) the ends and the distance of each rate."""
+    merge = [F.sum("__n").alias("__n"), *[F.kll_merge_agg_double(f"__{r}").alias(f"__{r}") for r in RATES]]
+    own = sketches.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("__n").alias("__own_n"), _ends(F.col("__n"), "__").alias("__own"))
+    langs = sketches.groupBy("lang").agg(*merge)
+    # one row; a table without groups has no thresholds to join
+    whole = langs.agg(*merge).filter("__n is not null").select(F.col("__n").alias("__all_n"), _ends(F.col("__n"), "__").alias("__all"))
+    langs = langs.select(F.col("lang").alias("__of"), F.col("__n").alias("__lang_n"), _ends(F.col("__n"), "__").alias("__lang_q"))
+    joined = own.join(langs, own["__lang"].eqNullSafe(langs["__of"])).withColumn("__one", F.lit(1)).join(F.broadcast(whole.withColumn("__one", F.lit(1))), "__one")
+    wide = joined.withColumn("__wide", _shrunk(F.col("__lang_n"), F.col("__lang_q"), F.col("__all")))
+    ends = wide.withColumn("__ends", _shrunk(F.col("__own_n"), F.col("__own"), F.col("__wide")))
+    found = []
+    for r, (_, _, floor) in RATES.items():
+        low, high = F.col("__ends")[r][0], F.col("__ends")[r][1]
+        found += [low.alias(f"__low_{r}"), high.alias(f"__high_{r}"), F.greatest(high - low, F.lit(floor)).alias(f"__span_{r}")]
+    return ends.select("__lang", "__source", *found)
 
 
 def judge(docs: DataFrame, *carried: str) -> DataFrame:
     """doc_id, the base columns, base_failed, kept and the ``carried`` columns."""
     measured = cut(measure(docs, *carried), "measured")
-    limits = cut(fences(cut(group_sketches(measured), "sketches")), "limits")
+    limits = cut(thresholds(cut(group_sketches(measured), "sketches")), "limits")
     if limits.count() <= BROADCAST_ROWS:
         limits = F.broadcast(limits)
     joined = measured.join(limits, measured["lang"].eqNullSafe(F.col("__lang")) & measured["source"].eqNullSafe(F.col("__source")), "left")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    over = [F.coalesce(F.expr(e).cast("double") > F.col(f"__max_{r}"), F.lit(False)) for r, (e, _) in RATES.items()]
-    bad = over[0] | over[1] | over[2]
+    failed = F.expr(BASE_FAILED)
+    scatter = F.greatest(F.lit(1.0), F.sqrt(REFERENCE / F.greatest("n_words", F.lit(1))))
+    bad = F.lit(False)
+    for r, (e, _, _) in RATES.items():
+        rate, slack = F.expr(e).cast("double"), FENCE * F.col(f"__span_{r}")
+        if r == "word_length":
+            slack = slack * scatter
+            bad = bad | F.coalesce(rate < F.col(f"__low_{r}") - slack, F.lit(False))
+        bad = bad | F.coalesce(rate > F.col(f"__high_{r}") + slack, F.lit(False))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~bad).alias("kept"), *carried,
