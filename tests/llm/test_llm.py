@@ -48,7 +48,7 @@ def empty(spark):
 
 def test_secrets(docs, texts, empty):
     t = "password: hunter2 api_key=Zq8#vT!p2LmX0 token = \"0123456789abcdef0123\" AKIA" + "A1" * 8 + " secret: secret: abcdefghijkl"
-    base, every = secrets.find_secrets(t)
+    base, every, _ = secrets.find_secrets(t)
     kinds = [secrets.KINDS[k] for _, k, _ in base]
     assert kinds.count("assign") == 1 and kinds.count("access") == 1 and kinds.count("hex") == 1
     assert any(k == 3 and t[s:e].startswith("Zq8#") for s, k, e in every)
