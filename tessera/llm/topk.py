@@ -1,42 +1,44 @@
 """Exact top-k search by inner product with MaxScore pruning.
 
-Vector dimensions play the part of query terms: dimension d of a shard has the
-postings (vector, component), and the most it can add to a query's score is the
-larger of q_d * max_d and q_d * min_d. For each query and shard the dimensions are
-ordered by that bound. Those whose bounds together cannot lift a vector to the
-current k-th score are non-essential: the postings of the essential dimensions are
-traversed first, and the others are probed only for vectors that can still compete.
-Each shard gives its best k; a window over (query, shard) results merges them.
-
-Query blocks and candidate shards meet by an equi-join on (query block, shard
-group), so every task holds one block of queries and about one shard.
+Vector dimensions play the part of query terms: a dimension's postings are the
+components of all vectors of a block, and the most it can add to a query's score is the
+larger of q_d * max_d and q_d * min_d over the block. Blocks are taken by falling sum of
+these bounds, until no further block can reach the current k-th score. In a block the
+dimensions are ordered by their bounds; the last ones, whose bounds together stay below
+the k-th score, are non-essential. The postings of the essential dimensions are
+traversed for all vectors of the block, the others are probed, some at a time, only for
+vectors that can still compete. Each shard gives its best k; a window over the shards'
+results merges them.
+
+A query starts with the k-th best score among SAMPLE candidates, which are the only
+rows that the driver sees. Shards of candidates and blocks of queries meet in tiles,
+both of bounded size, so that candidates are sent once for each block of queries and
+queries once for each shard; within a tile, queries stream past the shard.
 
 Edge cases: null vectors, vectors with a null or non-finite component and null ids
 take no part; shorter vectors count as padded with zeros; candidates that share the
 query's vec_id are its own rows; rows that repeat an id are separate candidates, and
-each repeated query row gets a result; scores that leave the 64-bit range saturate.
-Other columns are ignored.
+each repeated query row gets a result; scores that leave the 64-bit range saturate; an
+empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut, table
 
 SCALE = 1024
-SHARD_ROWS = 4096
-QUERY_ROWS = 512
-CHUNK = 1024
+SHARD_ROWS = QUERY_ROWS = 1 << 16  # the most of a tile
+BLOCK_ROWS = 512
+SAMPLE = 1024
 STEP = 8
 EXACT = 2.0 ** 52
-BLOCK = "block string, n int, d int, ids binary, data binary"
 
 
 def _floor_scaled(x):
@@ -55,32 +57,6 @@ def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     )
 
 
-def pack(vectors: DataFrame, rows: int) -> DataFrame:
-    """Blocks of up to ``rows`` vectors, each a row with a matrix of doubles."""
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, made, ids, vecs = TaskContext.get().partitionId(), 0, [], []
-
-        def block() -> pd.DataFrame:
-            d = max(len(v) for v in vecs)
-            m = np.zeros((len(vecs), d))
-            for i, v in enumerate(vecs):
-                m[i, : len(v)] = v
-            return pd.DataFrame([(f"{part}-{made}", len(vecs), d, np.array(ids, np.int64).tobytes(), m.tobytes())], columns=["block", "n", "d", "ids", "data"])
-
-        for batch in batches:
-            for i, v in zip(batch["vec_id"], batch["v"]):
-                ids.append(i)
-                vecs.append(v)
-                if len(ids) == rows:
-                    yield block()
-                    made, ids, vecs = made + 1, [], []
-        if ids:
-            yield block()
-
-    return vectors.mapInPandas(build, BLOCK)
-
-
 def best_rows(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best, by falling score and then rising id."""
     if len(scores) > 4 * k:
@@ -91,83 +67,126 @@ def best_rows(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def maxscore(q: np.ndarray, q_id: int, ids: np.ndarray, m: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k rows of ``m`` with the highest inner product with q,
-    without the rows whose id is q_id. low and high: bounds of m's columns."""
-    bound = np.maximum(q * low, q * high)
-    order = np.argsort(-bound, kind="stable")
-    terms, q = m[:, order], q[order]
-    rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)  # rest[j]: most that terms j, j+1, ... add
-    top_ids, top = np.empty(0, np.int64), np.empty(0)
-    for at in range(0, len(ids), CHUNK):
-        rows = np.arange(at, min(at + CHUNK, len(ids)))
-        rows = rows[ids[rows] != q_id]
-        # essential: without one of these dimensions a row cannot reach the k-th score.
-        # A dense row has postings in all of them, so pruning may begin before the last.
-        j = len(q)
-        if len(top) == k:
-            below = np.flatnonzero(rest < top[-1])
-            j = min(int(below[0]) if len(below) else len(q), max(STEP, len(q) // 4))
-        score = terms[rows, :j] @ q[:j]
-        while len(top) == k and len(rows):
-            alive = score + rest[j] >= top[-1]
-            rows, score = rows[alive], score[alive]
-            if j >= len(q):
+class Shard:
+    """Candidates in blocks of rows that have the same largest component, so that the
+    bounds of a block are narrow."""
+
+    def __init__(self, ids: list[int], vectors: list):
+        self.d = max(map(len, vectors), default=0)
+        m = np.zeros((len(ids), self.d))
+        for i, v in enumerate(vectors):
+            m[i, : len(v)] = v
+        if self.d:
+            top = np.abs(m).argmax(1)
+            value = m[np.arange(len(m)), top]
+            order = np.lexsort((value, value > 0, top))
+        else:
+            order = np.arange(len(m))
+        self.ids, self.m = np.array(ids, np.int64)[order], m[order]
+        starts = range(0, len(m), BLOCK_ROWS)
+        self.low = np.array([self.m[i:i + BLOCK_ROWS].min(0) for i in starts]).reshape(len(starts), self.d)
+        self.high = np.array([self.m[i:i + BLOCK_ROWS].max(0) for i in starts]).reshape(len(starts), self.d)
+        self.largest = float(np.abs(m).max(initial=0.0))
+
+    def top(self, q: np.ndarray, q_id: int, k: int, least: float = -np.inf) -> tuple[np.ndarray, list]:
+        """(ids, scores) of the k rows with the highest inner product with q, without
+        the rows whose id is q_id and, where enough others have it, those below ``least``."""
+        q = q[: self.d]
+        if len(q) and np.abs(q).max() * max(self.largest, 1.0) * self.d >= EXACT:
+            return self._plain(q, q_id, k)
+        d = len(q)
+        bound = np.maximum(q * self.low[:, :d], q * self.high[:, :d])
+        upper = bound.sum(1)
+        top_ids, top = np.empty(0, np.int64), np.empty(0)
+        for b in np.argsort(-upper, kind="stable").tolist():
+            if upper[b] < least:
                 break
-            to = min(j + STEP, len(q))
-            score = score + terms[rows, j:to] @ q[j:to]
-            j = to
-        if len(rows):
-            all_ids, all_scores = np.concatenate([top_ids, ids[rows]]), np.concatenate([top, score])
-            best = best_rows(all_ids, all_scores, k)
-            top_ids, top = all_ids[best], all_scores[best]
-    return top_ids, top
-
+            at = b * BLOCK_ROWS
+            rows = at + np.flatnonzero(self.ids[at:at + BLOCK_ROWS] != q_id)
+            terms = np.argsort(-bound[b], kind="stable")
+            rest = np.append(np.cumsum(bound[b][terms][::-1])[::-1], 0.0)  # rest[j]: most that terms j, j+1, ... add
+            below = np.flatnonzero(rest < least)
+            j = int(below[0]) if len(below) else d  # terms[:j] are essential
+            score = self.m[rows[:, None], terms[:j]] @ q[terms[:j]]
+            while True:
+                alive = score + rest[j] >= least
+                rows, score = rows[alive], score[alive]
+                if j == d or not len(rows):
+                    break
+                probed = terms[j:j + STEP]
+                score = score + self.m[rows[:, None], probed] @ q[probed]
+                j = min(j + STEP, d)
+            if len(rows):
+                all_ids, all_scores = np.concatenate([top_ids, self.ids[rows]]), np.concatenate([top, score])
+                best = best_rows(all_ids, all_scores, k)
+                top_ids, top = all_ids[best], all_scores[best]
+                if len(top) == k:
+                    least = max(least, top[-1])
+        return top_ids, top.astype(np.int64).tolist()
+
+    def _plain(self, q: np.ndarray, q_id: int, k: int) -> tuple[np.ndarray, list]:
+        """For components too large for exact doubles: Python integers."""
+        qq = [int(x) for x in q]
+        scored = ((-max(min(sum(a * int(b) for a, b in zip(qq, row)), 2**63 - 1), -(2**63)), int(i)) for i, row in zip(self.ids, self.m) if i != q_id)
+        got = heapq.nsmallest(k, scored)
+        return np.array([i for _, i in got], np.int64), [-s for s, _ in got]
+
+
+def _seed(asked: DataFrame, shard: Shard, k: int) -> DataFrame:
+    """The queries with ``least``, the k-th best score among the sample; null if it has
+    not so many."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            least = []
+            for i, v in zip(batch["vec_id"], batch["v"]):
+                scores = shard.top(np.asarray(v, float), i, k)[1]
+                least.append(float(scores[-1]) if len(scores) == k and abs(scores[-1]) < EXACT else None)
+            yield batch.assign(least=pd.Series(least, index=batch.index, dtype=float))
 
-def _plain(q, q_id, ids, m, k):
-    """For components too large for exact doubles: Python integers."""
-    whole = [[int(x) for x in row] for row in m]
-    qq = [int(x) for x in q]
-    got = sorted((-max(min(sum(a * b for a, b in zip(qq, row)), 2**63 - 1), -(2**63)), int(i)) for i, row in zip(ids, whole) if i != q_id)[:k]
-    return np.array([i for _, i in got], np.int64), [-s for s, _ in got]
+    return asked.mapInPandas(run, "row long, vec_id long, v array<double>, least double")
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k best rows for each query: query_id, rank, vec_id, score."""
-    good = valid_vectors(vectors, id_col, vec_col)
-    shards = cut(pack(good, SHARD_ROWS), "shards")
+    spark = vectors.sparkSession
+    good = cut(valid_vectors(vectors, id_col, vec_col).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
+    n = good.count()
     asked = good.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    n_blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
-    blocks = cut(pack(asked.repartition(n_blocks), QUERY_ROWS), "queries")
-    groups = max(1, shards.count())
-    left = shards.select("*", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("grp"))
-    blocks_n = blocks.select("block").distinct().count()
-    names = blocks.select("block", F.row_number().over(Window.orderBy("block")).alias("qb"))
-    asked_blocks = blocks.join(names, "block").select((F.col("qb") - 1).alias("qb"), "n", "d", "ids", "data", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    left = left.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(blocks_n, 1) - 1))))
-
-    def score(cands: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for query in asked.itertuples():
-            qm, q_ids = np.frombuffer(query.data).reshape(query.n, query.d), np.frombuffer(query.ids, np.int64)
-            for c in cands.itertuples():
-                m, ids = np.frombuffer(c.data).reshape(c.n, c.d), np.frombuffer(c.ids, np.int64)
-                d = min(query.d, c.d)
-                m = np.ascontiguousarray(m[:, :d])
-                low, high = (m.min(0), m.max(0)) if d else (np.zeros(0), np.zeros(0))
-                safe = d == 0 or np.abs(qm[:, :d]).max() * max(np.abs(m).max(), 1) * d < EXACT
-                for pos in range(query.n):
-                    q = qm[pos, :d]
-                    got, s = maxscore(q, q_ids[pos], ids, m, low, high, k) if safe else _plain(q, q_ids[pos], ids, m, k)
-                    out += [(query.qb, pos, int(q_ids[pos]), int(i), int(x)) for i, x in zip(got, s)]
-        return pd.DataFrame(out, columns=["qb", "pos", "query_id", "vec_id", "score"])
-
-    found = (
-        left.groupBy("qb", "grp")
-        .cogroup(asked_blocks.groupBy("qb", "grp"))
-        .applyInPandas(score, "qb int, pos int, query_id long, vec_id long, score long")
-    )
-    by_query = Window.partitionBy("qb", "pos").orderBy(F.desc("score"), "vec_id")
+    sample = good.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("vec_id", "v").collect()
+    asked = cut(_seed(asked, Shard([r[0] for r in sample], [r[1] for r in sample]), k), "queries")
+    shards = max(1, -(-n // SHARD_ROWS), min(-(-n // BLOCK_ROWS), spark.sparkContext.defaultParallelism))
+    blocks = max(1, -(-asked.count() // QUERY_ROWS))
+
+    def spread(rows: DataFrame, own: int, other: int, tile: str) -> DataFrame:
+        """Each row with the tiles of its own shard or block and all others."""
+        placed = rows.withColumn("own", F.pmod(F.xxhash64("row"), F.lit(own))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        return placed.select(F.expr(tile).cast("int").alias("tile"), "row", "vec_id", "v", "least", "asked")
+
+    candidates = spread(good.select("*", F.lit(None).cast("double").alias("least"), F.lit(False).alias("asked")), shards, blocks, f"own * {blocks} + other")
+    queries = spread(asked.select("*", F.lit(True).alias("asked")), blocks, shards, f"other * {blocks} + own")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, shard, ids, vecs = None, None, [], []
+        for batch in batches:
+            for (place, is_query), rows in batch.groupby(["tile", "asked"], sort=False):
+                if place != tile:
+                    tile, shard, ids, vecs = place, None, [], []
+                if not is_query:
+                    ids += rows["vec_id"].tolist()
+                    vecs += rows["v"].tolist()
+                    continue
+                if shard is None:
+                    shard, ids, vecs = Shard(ids, vecs), [], []
+                out = []
+                for row, q_id, v, least in zip(rows["row"], rows["vec_id"], rows["v"], rows["least"]):
+                    got, scores = shard.top(np.asarray(v, float), q_id, k, -np.inf if np.isnan(least) else least)
+                    out += [(row, q_id, i, s) for i, s in zip(got.tolist(), scores)]
+                yield pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"], dtype="int64")
+
+    met = candidates.unionByName(queries).repartitionById(shards * blocks, F.col("tile")).sortWithinPartitions("tile", "asked")
+    found = met.mapInPandas(score, "row long, query_id long, vec_id long, score long")
+    by_query = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
