@@ -132,3 +132,127 @@ def parse_rgb(text: Column) -> Column:
 def palette_hash(colours: Column) -> Column:
     """First 16 hex digits of the MD5 of the joined ``#RRGGBB`` strings."""
     return F.substring(F.md5(F.array_join(colours, "")), 1, 16)
+
+
+# ---- colour text --------------------------------------------------------
+
+FORMATS = ("hex", "hsl", "lab", "rgb")
+
+
+def valid_formats() -> Column:
+    return F.array(*map(F.lit, FORMATS))
+
+
+def to_lower_hex(c: Column) -> Column:
+    """``#rrggbb`` of a struct r, g, b."""
+    return F.format_string("#%02x%02x%02x", c["r"], c["g"], c["b"])
+
+
+def rgb_of_lab(l: Column, a: Column, b: Column) -> Column:  # noqa: E741
+    """Struct r, g, b (0-255, clamped) of l (0-100), a, b under D65."""
+    fy = (l + 16) / 116
+    xyz = []
+    for f, white in ((fy + a / 500, 0.95047), (fy, 1.0), (fy - b / 200, 1.08883)):
+        xyz.append(F.when(f * f * f > 216 / 24389, f * f * f).otherwise((116 * f - 16) * F.lit(27 / 24389)) * white)
+    x, y, z = xyz
+    linear = (
+        3.2404542 * x - 1.5371385 * y - 0.4985314 * z,
+        -0.9692660 * x + 1.8760108 * y + 0.0415560 * z,
+        0.0556434 * x - 0.2040259 * y + 1.0572252 * z,
+    )
+
+    def channel(v: Column) -> Column:
+        s = F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
+        return F.least(F.greatest(F.floor(s * 255 + 0.5), F.lit(0)), F.lit(255)).cast("int")
+
+    return F.struct(*[channel(v).alias(c) for v, c in zip(linear, "rgb")])
+
+
+def _numbers(text: Column, name: str, number: str) -> list[Column]:
+    pattern = rf"^\s*{name}\s*\(\s*({number})\s*,\s*({number})\s*,\s*({number})\s*\)\s*$"
+    return [F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).try_cast("double") for i in (1, 2, 3)]
+
+
+def parse_hex(text: Column) -> Column:
+    """The trimmed text where it is ``#`` and six hex digits, else null."""
+    t = F.trim(text)
+    return F.when(t.rlike("^#[0-9A-Fa-f]{6}$"), t)
+
+
+def parse_hsl(text: Column) -> Column:
+    """Hex of ``hsl(h,s,l)`` with s and l in percent; null where malformed."""
+    h, s, l = _numbers(text, "hsl", r"[\d.]+")  # noqa: E741
+    c = rgb_of_hsl(h, s / 100, l / 100)
+    clamped = F.struct(*[F.least(F.greatest(c[k], F.lit(0)), F.lit(255)).alias(k) for k in "rgb"])
+    return F.when(h.isNotNull() & s.isNotNull() & l.isNotNull(), to_lower_hex(clamped))
+
+
+def parse_lab(text: Column) -> Column:
+    """Hex of ``lab(l,a,b)``; null where malformed."""
+    l, a, b = _numbers(text, "lab", r"[\d.-]+")  # noqa: E741
+    return F.when(l.isNotNull() & a.isNotNull() & b.isNotNull(), to_lower_hex(rgb_of_lab(l, a, b)))
+
+
+def parse_any(text: Column) -> Column:
+    """Hex of a colour in any of FORMATS; null where the format is unknown or malformed
+    (a caller that must fail uses ``require``)."""
+    kind = detect_format(text)
+    rgb = parse_rgb(F.regexp_replace(text, r"^\s*rgb\s+\(", "rgb("))
+    return F.when(kind == "hex", parse_hex(text)).when(kind == "rgb", rgb).when(kind == "hsl", parse_hsl(text)).when(kind == "lab", parse_lab(text))
+
+
+def require(value: Column, message: str, shown: Column) -> Column:
+    """``value``, or an error that shows what could not be read."""
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.coalesce(shown, F.lit("null")))))
+
+
+def hex_to_format(h: Column, fmt: str) -> Column:
+    """A hex colour as text of another format."""
+    c = from_hex(h)
+    r, g, b = c["r"], c["g"], c["b"]
+    fmt = fmt.lower()
+    if fmt == "hex":
+        return h
+    if fmt == "rgb":
+        return F.when(c.isNotNull(), F.format_string("rgb(%d,%d,%d)", r, g, b))
+    if fmt == "hsl":
+        v = hsl_of(r, g, b)
+        whole = [F.round(x).cast("int") for x in (v["h"], v["s"] * 100, v["l"] * 100)]
+        return F.when(c.isNotNull(), F.format_string("hsl(%d,%d,%d)", *whole))
+    if fmt == "lab":
+        v = lab_of(r, g, b)
+        return F.when(c.isNotNull(), F.format_string("lab(%.2f,%.2f,%.2f)", v["l"], v["a"], v["b"]))
+    raise ValueError(f"unknown format {fmt}")
+
+
+def hex_list_to_rgba(colours: Column) -> Column:
+    """Array of r, g, b, a of an array of hex colours; null if any is malformed."""
+    good = F.forall(colours, lambda h: F.coalesce(h.rlike("^#[0-9A-Fa-f]{6}$"), F.lit(False)))
+    return F.when(good, F.transform(colours, from_hex))
+
+
+def rgba_list_to_hex(colours: Column) -> Column:
+    """Array of ``#rrggbb`` of an array of structs r, g, b."""
+    return F.transform(colours, to_lower_hex)
+
+
+def blend(first: tuple[Column, Column, Column], second: tuple[Column, Column, Column], steps: int = 3) -> Column:
+    """``steps`` colours from one colour to another, both included, as hex."""
+    if steps < 2:
+        raise ValueError("steps must be at least 2")
+    shares = [k / (steps - 1) for k in range(steps)]
+    return F.array(*[to_hex(*[F.round(c + (v - c) * F.lit(f)) for c, v in zip(first, second)]) for f in shares])
+
+
+def monochromatic(r: Column, g: Column, b: Column, n: int = 5) -> Column:
+    """``n`` colours of the same hue and saturation, evenly spread in lightness."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    h = hsl_of(r, g, b)
+    made = [rgb_of_hsl(h["h"], h["s"], F.lit((k + 1) / (n + 1))) for k in range(n)]
+    return F.array(*[to_hex(c["r"], c["g"], c["b"]) for c in made])
+
+
+def contrast(r: Column, g: Column, b: Column) -> Column:
+    """Black on light colours and white on dark ones, as hex."""
+    return F.when(299 * r + 587 * g + 114 * b >= 128_000, "#000000").otherwise("#FFFFFF")

@@ -132,9 +132,11 @@ def _paint(px: DataFrame, where: Column, colour: tuple[int, int, int]) -> DataFr
     return px.withColumns({c: F.when(where, F.lit(v)).otherwise(F.col(c)) for c, v in zip((*CH, "a"), (*colour, 255))})
 
 
-def border(px: DataFrame, w: int, h: int, colour: tuple[int, int, int], thickness: int = 5) -> DataFrame:
+def border(px: DataFrame, w: int, h: int, colour: tuple[int, int, int], thickness: int = 5, radius: float = 0.0) -> DataFrame:
+    """A border along the edges; with a radius, corners are rounded along with it."""
     x, y, t = F.col("x"), F.col("y"), thickness
-    return _paint(px, (x < t) | (y < t) | (x >= w - t) | (y >= h - t), colour)
+    framed = _paint(px, (x < t) | (y < t) | (x >= w - t) | (y >= h - t), colour)
+    return round_corners(framed, w, h, radius, thickness, colour) if radius > 0 else framed
 
 
 def on_grid(size: int, thickness: int) -> Column:
@@ -152,24 +154,41 @@ def grid(px: DataFrame, colour: tuple[int, int, int] = (93, 63, 211), size: int
     return px.withColumns({c: F.when(see, layer[c]).otherwise(F.col(c)) for c in layer})
 
 
-def round_corners(px: DataFrame, w: int, h: int, radius: float) -> DataFrame:
+# Where the sub-samples of a pixel lie.
+OFFSETS = (-0.375, -0.125, 0.125, 0.375)
+
+
+def round_corners(px: DataFrame, w: int, h: int, radius: float, thickness: int = 0, colour: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
     """Transparent outside the corner discs; near the edge, alpha by 4 x 4 samples
-    of which 8 count as full cover."""
+    of which 8 count as full cover. With a thickness, a ring of the colour follows the
+    edge, and what a straight border of that colour left inside the ring is cleared."""
     x, y, rho = F.col("x").cast("double"), F.col("y").cast("double"), float(radius)
     left, right, top, bottom = x < rho, x > w - rho, y < rho, y > h - rho
     corner = (left | right) & (top | bottom)
-    dx = F.when(left, x - rho).otherwise(x - (w - rho))
+    # one column each, so that the samples don't repeat the choice of a corner
+    dx = F.when(top & left, x - rho).when(top & right, x - (w - rho)).when(left, x - rho).otherwise(x - (w - rho))
     dy = F.when(top, y - rho).otherwise(y - (h - rho))
-    dx, dy = F.when(top & left, x - rho).when(top & right, x - (w - rho)).when(bottom & left, x - rho).otherwise(dx), dy
-    offsets = (-0.375, -0.125, 0.125, 0.375)
-    inside = sum(F.when((dx + ox) * (dx + ox) + (dy + oy) * (dy + oy) <= rho * rho, 1).otherwise(0) for ox in offsets for oy in offsets)
-    d2 = dx * dx + dy * dy
-    out = px.withColumn("__d", F.when(corner, d2)).withColumn("__n", F.when(corner, inside))
-    near = F.col("__d") > (rho - 4) * (rho - 4) if rho > 4 else F.col("__d").isNotNull()
-    gone = (F.col("__d") > rho * rho) | (near & (F.col("__n") == 0))
-    partly = near & (F.col("__n") < 8)
-    alpha = F.when(gone, 0).when(partly, F.floor(F.col("a") * F.col("__n") / 8).cast("int")).otherwise(F.col("a"))
-    return out.withColumns({c: F.when(gone, 0).otherwise(F.col(c)) for c in CH} | {"a": alpha}).drop("__d", "__n")
+    out = px.withColumns({"__dx": F.when(corner, dx), "__dy": F.when(corner, dy)})
+    dx, dy = F.col("__dx"), F.col("__dy")
+    square = lambda ox, oy: (dx + ox) * (dx + ox) + (dy + oy) * (dy + oy)
+    inner = rho - thickness
+    counted = (lambda d: (d <= rho * rho) & ((d < inner * inner) if inner > 0 else F.lit(False))) if thickness else (lambda d: d <= rho * rho)
+    near = F.lit(True) if rho <= 4 else square(0.0, 0.0) > (rho - 4) * (rho - 4)
+    n = sum(F.when(counted(square(ox, oy)), 1).otherwise(0) for ox in OFFSETS for oy in OFFSETS)
+    out = out.withColumns({"__d": square(0.0, 0.0), "__n": F.when(dx.isNotNull() & near, n)})
+    ring = F.lit(False)
+    if thickness:
+        ring = (F.col("__d") > inner * inner) if inner > 0 else F.col("__d").isNotNull()
+        ring = ring & (F.col("__d") <= rho * rho)
+        same = (F.col("a") == 255) & (F.col("r") == colour[0]) & (F.col("g") == colour[1]) & (F.col("b") == colour[2])
+        left_over = F.col("__d").isNotNull() & F.col("__n").isNull() & same
+    else:
+        left_over = F.lit(False)
+    gone = (F.col("__d") > rho * rho) | (~ring & ((F.col("__n") == 0) | left_over))
+    partly = F.col("__n") < 8
+    alpha = F.when(gone, 0).when(ring, 255).when(partly, F.floor(F.col("a") * F.col("__n") / 8).cast("int")).otherwise(F.col("a"))
+    paint = {c: F.when(gone, 0).when(ring, v).otherwise(F.col(c)) for c, v in zip(CH, colour)}
+    return out.withColumns(paint | {"a": alpha}).drop("__dx", "__dy", "__d", "__n")
 
 
 # ---- coordinates --------------------------------------------------------
@@ -185,14 +204,27 @@ def mirror(px: DataFrame, w: int) -> DataFrame:
 
 
 def pixelate(px: DataFrame, w: int, h: int, percent: float = 15.0) -> DataFrame:
-    """Nearest-neighbour downscale and back: an equi-join on the source pixel."""
+    """Nearest-neighbour downscale and back. Each source pixel that is looked up goes to
+    the pixels that show it: their coordinates are known from the sizes alone, so there
+    is no join and no shuffle."""
     if not 1 <= percent <= 25:
         raise ValueError("percent must be in [1, 25]")
     k = percent / 100
-    dw, dh = round(w * k), round(h * k)
-    target = px.select("img_id", "x", "y", F.floor(F.expr(f"x * {dw} div {w}") / F.lit(k)).cast("int").alias("sx"), F.floor(F.expr(f"y * {dh} div {h}") / F.lit(k)).cast("int").alias("sy"))
-    source = px.select("img_id", F.col("x").alias("sx"), F.col("y").alias("sy"), *CH, "a")
-    return target.join(source, ["img_id", "sx", "sy"]).select("img_id", "x", "y", *CH, "a")
+
+    def shown(size: int) -> dict[int, list[int]]:
+        small, out = round(size * k), {}
+        for v in range(size):
+            out.setdefault(int(v * small // size / k), []).append(v)
+        return {s: v for s, v in out.items() if s < size}
+
+    def targets(c: str, size: int) -> Column:
+        places = shown(size)
+        first = F.create_map(*[F.lit(x) for s, v in places.items() for x in (s, v[0])])
+        last = F.create_map(*[F.lit(x) for s, v in places.items() for x in (s, v[-1])])
+        return F.when(F.col(c).isin(*places), F.sequence(first[F.col(c)], last[F.col(c)]))
+
+    wide = px.withColumns({"__xs": targets("x", w), "__ys": targets("y", h)}).filter("__xs is not null and __ys is not null")
+    return wide.withColumn("x", F.explode("__xs")).withColumn("y", F.explode("__ys")).select("img_id", "x", "y", *CH, "a")
 
 
 def bounding_box(px: DataFrame) -> DataFrame:
@@ -338,6 +370,43 @@ def recolour(px: DataFrame, palette: tuple) -> DataFrame:
     return joined.select("img_id", "x", "y", F.col("nr").alias("r"), F.col("ng").alias("g"), F.col("nb").alias("b"), F.when(F.col("a") == 0, 0).otherwise(255).alias("a"))
 
 
+def convert(px: DataFrame, palette: tuple, method: str = "clut") -> DataFrame:
+    """Recolour to a theme: by its interpolated cube, or to its nearest colours (nn)."""
+    if not palette:
+        raise ValueError("a theme needs colours")
+    if method == "nn":
+        return nearest(px, palette).drop("idx")
+    if method == "clut":
+        return recolour(px, palette)
+    raise ValueError(f"unknown method {method}")
+
+
+def remove_background(px: DataFrame, method: str = "kmeans", **options) -> DataFrame:
+    """Make the background transparent, by a registered strategy."""
+    if method not in BACKGROUND:
+        raise ValueError(f"unknown strategy {method}")
+    return BACKGROUND[method](px, **options)
+
+
+def no_op(px: DataFrame) -> DataFrame:
+    """What a change of format alone does to pixels."""
+    return px
+
+
+def replaced_gate(replaced: DataFrame) -> DataFrame:
+    """Per image, how many pixels ``replace_colour`` changed, and an error if none."""
+    n = replaced.groupBy("img_id").agg(F.count_if(F.col("w") > 0).alias("changed"))
+    return n.withColumn("error", F.when(F.col("changed") == 0, "no pixel has a similar colour"))
+
+
+#: strategies of background removal; a segmentation model joins as a function that
+#: gives (img_id, x, y, m), see apply_mask
+BACKGROUND = {
+    "kmeans": lambda px, first=(60, 60, 60), second=(200, 200, 200), **o: kmeans_background(px, first, second, **o).drop("cluster"),
+    "mask": lambda px, mask: apply_mask(px, mask),
+}
+
+
 def gradient(spark, w: int, h: int, colours: list[tuple[int, int, int]], degrees: float = 0.0) -> DataFrame:
     """A linear RGB gradient of evenly spaced colours."""
     if len(colours) < 2 or w < 1 or h < 1:
@@ -409,19 +478,23 @@ def palette_swatch(spark, palette: tuple, step: int = 100, height: int = 200) ->
     return base.select("x", "y", *[F.element_at(F.array(*[F.lit(p[k]) for p in palette]), idx).alias(c) for k, c in enumerate(CH)])
 
 
-def bilinear_rotate(px: DataFrame, w: int, h: int, degrees: float) -> DataFrame:
-    """Rotate clockwise about the centre into the bounding box of the rotated
-    corners; every target pixel joins its four source neighbours by equi-join."""
-    t = math.radians(degrees)
-    cos, sin = math.cos(t), math.sin(t)
-    nw, nh = math.ceil(abs(w * cos) + abs(h * sin) - 1e-9), math.ceil(abs(w * sin) + abs(h * cos) - 1e-9)
-    images = px.select("img_id").distinct()
-    grid_ = px.sparkSession.range(nw * nh).select((F.col("id") % nw).cast("int").alias("x"), F.expr(f"cast(id div {nw} as int)").alias("y"))
-    dx, dy = F.col("x") - nw / 2, F.col("y") - nh / 2
-    at = grid_.select("x", "y", (dx * cos + dy * sin + w / 2).alias("sx"), (-dx * sin + dy * cos + h / 2).alias("sy"))
-    at = at.withColumns({"x0": F.floor("sx").cast("int"), "y0": F.floor("sy").cast("int")}).withColumns({"fx": F.col("sx") - F.floor("sx"), "fy": F.col("sy") - F.floor("sy")})
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    taps = at.withColumn("c", corner).select("x", "y", (F.col("x0") + F.col("c.i")).alias("px_x"), (F.col("y0") + F.col("c.j")).alias("px_y"), (F.when(F.col("c.i") == 1, F.col("fx")).otherwise(1 - F.col("fx")) * F.when(F.col("c.j") == 1, F.col("fy")).otherwise(1 - F.col("fy"))).alias("wt"))
-    source = px.select("img_id", F.col("x").alias("px_x"), F.col("y").alias("px_y"), *CH, "a")
-    hit = taps.filter((F.col("px_x") >= 0) & (F.col("px_x") < w) & (F.col("px_y") >= 0) & (F.col("px_y") < h)).join(source, ["px_x", "px_y"])
-    return hit.groupBy("img_id", "x", "y").agg(*[F.floor(F.sum(F.col("wt") * F.col(c)) + 1e-6).cast("int").alias(c) for c in (*CH, "a")])
+def cell_size(dims: DataFrame, group: str, biggest: bool = False) -> DataFrame:
+    """Cell width and height of each sheet: of its largest images, or (mode "biggest",
+    which fits every image to the cell) of its smallest ones."""
+    f = F.min if biggest else F.max
+    return dims.groupBy(group).agg(f("w").alias("cw"), f("h").alias("ch"))
+
+
+def grid_of(layout: str, n: int, rows: int = 0, cols: int = 0) -> tuple[int, int]:
+    """(rows, cols) of a layout for n images."""
+    if layout == "horizontal":
+        return 1, n
+    if layout == "vertical":
+        return n, 1
+    if layout != "grid":
+        raise ValueError(f"unknown layout {layout}")
+    if rows < 1 or cols < 1:
+        raise ValueError("a grid needs positive rows and columns")
+    if n > rows * cols:
+        raise ValueError("more images than cells")
+    return rows, cols

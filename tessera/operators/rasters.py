@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -18,30 +19,42 @@ CH = ("r", "g", "b")
 
 
 def _box(bins: np.ndarray, counts: np.ndarray):
+    """(rank, edge lengths) of a box of colours."""
     edge = bins.max(0) - bins.min(0)
-    return int(counts.sum()) * int(np.prod(edge)), int(np.argmax(edge))
+    return int(counts.sum()) * int(np.prod(edge)), edge
 
 
 def median_cut(bins: np.ndarray, counts: np.ndarray, n: int) -> list[tuple[tuple[int, int, int], int]]:
-    """Up to n (colour, count), by falling count; ties go by colour."""
+    """Up to n (colour, count), by falling count; ties go by colour.
+
+    The box of the highest rank (count times volume; ties: larger count, then lower
+    colour) is sorted by its longest channel, then by bin, and split before the first
+    colour that has at least half of the count, rounded down, before it. A box of one
+    colour is never split: that would only add an empty box.
+    """
     if not len(bins):
         return []
-    heap, made = [], 0
-    heapq.heappush(heap, (-_box(bins, counts)[0], made, bins, counts))
-    done = []
+    made = 0
+
+    def entry(b: np.ndarray, c: np.ndarray):
+        nonlocal made
+        made += 1
+        return (-_box(b, c)[0], -int(c.sum()), tuple(b.min(0).tolist()), made, b, c)
+
+    heap, done = [entry(bins, counts)], []
     while heap and len(heap) + len(done) < n:
-        rank, _, b, c = heapq.heappop(heap)
-        if rank == 0 or len(b) < 2:
+        *_, b, c = heapq.heappop(heap)
+        if len(b) < 2:
             done.append((b, c))
             continue
-        axis = _box(b, c)[1]
-        order = np.lexsort((b[:, 2], b[:, 1], b[:, 0], b[:, axis]))
+        axis = int(np.argmax(_box(b, c)[1]))
+        order = np.lexsort((b[:, 0], b[:, 1], b[:, 2], b[:, axis]))
         b, c = b[order], c[order]
-        at = min(max(int(np.searchsorted(np.cumsum(c), c.sum() / 2)) + 1, 1), len(b) - 1)
+        before = np.cumsum(c) - c
+        at = min(max(int(np.searchsorted(before, c.sum() // 2)), 1), len(b) - 1)
         for part in (slice(None, at), slice(at, None)):
-            made += 1
-            heapq.heappush(heap, (-_box(b[part], c[part])[0], made, b[part], c[part]))
-    boxes = done + [(b, c) for _, _, b, c in heap]
+            heapq.heappush(heap, entry(b[part], c[part]))
+    boxes = done + [(e[4], e[5]) for e in heap]
     found = [(tuple(int(x) for x in (b * c[:, None]).sum(0) // c.sum()), int(c.sum())) for b, c in boxes]
     return sorted(found, key=lambda f: (-f[1], f[0]))
 
@@ -74,20 +87,34 @@ def _pixels(img_id, img: np.ndarray) -> pd.DataFrame:
 PIXELS = "img_id long, x int, y int, r int, g int, b int, a int"
 
 
+def diffuse(img: np.ndarray) -> np.ndarray:
+    """Floyd-Steinberg error diffusion of (h, w, 3) to multiples of 51.
+
+    A pixel waits for its left neighbour and for three above, so all pixels with equal
+    x + 2 y are worked on together.
+    """
+    h, w = img.shape[:2]
+    out = np.zeros((h + 1, w + 2, 3))  # a margin takes what leaves the image
+    out[:h, 1:w + 1] = img
+    for step in range(w + 2 * (h - 1)):
+        y = np.arange(max(0, (step - w + 2) // 2), min(h - 1, step // 2) + 1)
+        x = step - 2 * y + 1
+        old = out[y, x]
+        new = np.clip(np.floor(old / 51 + 0.5), 0, 5) * 51
+        err = old - new
+        out[y, x] = new
+        for dx, dy, share in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)):
+            inside = (x + dx >= 1) & (x + dx <= w) & (y + dy < h)
+            out[y[inside] + dy, x[inside] + dx] += err[inside] * share / 16
+    return out[:h, 1:w + 1]
+
+
 def dither(px: DataFrame) -> DataFrame:
     """Floyd-Steinberg error diffusion to the 216 web-safe colours."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         img = _raster(pdf)
-        h, w = img.shape[:2]
-        for y in range(h):
-            for x in range(w):
-                old = img[y, x, :3].copy()
-                new = np.clip(np.floor(old / 51 + 0.5), 0, 5) * 51
-                img[y, x, :3], err = new, old - new
-                for dx, dy, share in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)):
-                    if 0 <= x + dx < w and y + dy < h:
-                        img[y + dy, x + dx, :3] += err * share / 16
+        img[:, :, :3] = diffuse(img[:, :, :3])
         return _pixels(pdf["img_id"].iloc[0], img)
 
     return px.groupBy("img_id").applyInPandas(run, PIXELS)
@@ -132,37 +159,173 @@ def resize(px: DataFrame, width: int, height: int, method: str = "lanczos") -> D
     return px.groupBy("img_id").applyInPandas(run, PIXELS)
 
 
-def tilt(px: DataFrame, tx: float, ty: float, scale: float = 1.0, focal: float = 1500.0) -> DataFrame:
-    """Perspective tilt on a canvas 2.5 times the image, by inverse mapping and
-    bilinear samples; only points before the camera are drawn."""
-    if not 0 < scale <= 1 or np.hypot(tx, ty) > 30 - 15 * scale:
+def resize_padded(px: DataFrame, width: int, height: int) -> DataFrame:
+    """Every image scaled to fit (Catmull-Rom) and centred on a transparent ground."""
+    if width < 1 or height < 1:
+        raise ValueError("sizes must be positive")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _pixels(pdf["img_id"].iloc[0], padded(_raster(pdf), width, height))
+
+    return px.groupBy("img_id").applyInPandas(run, PIXELS)
+
+
+def padded(img: np.ndarray, width: int, height: int) -> np.ndarray:
+    h, w = img.shape[:2]
+    ratio = min(width / w, height / h)
+    nw, nh = max(1, int(w * ratio)), max(1, int(h * ratio))
+    small = np.einsum("ij,jkc->ikc", weights(h, nh, "catmullrom"), img)
+    small = np.clip(np.floor(np.einsum("ij,kjc->kic", weights(w, nw, "catmullrom"), small) + 0.5), 0, 255)
+    out = np.zeros((height, width, img.shape[2]))
+    y, x = (height - nh) // 2, (width - nw) // 2
+    out[y:y + nh, x:x + nw] = small
+    return out
+
+
+def bilinear(img: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
+    """Samples of (h, w, c) at positions inside the image, transparent elsewhere. The
+    four neighbours are weighted in 16 bits and cut to 8."""
+    h, w, channels = img.shape
+    out = np.zeros((*sx.shape, channels))
+    ok = (sx >= 0) & (sx < w - 1) & (sy >= 0) & (sy < h - 1)
+    x, y = sx[ok], sy[ok]
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    fx, fy = (x - x0)[:, None], (y - y0)[:, None]
+    wide = img * 257.0
+    top = wide[y0, x0] * (1 - fx) + wide[y0, x0 + 1] * fx
+    low = wide[y0 + 1, x0] * (1 - fx) + wide[y0 + 1, x0 + 1] * fx
+    out[ok] = np.floor((top * (1 - fy) + low * fy) / 256)
+    return out
+
+
+def turned_size(w: int, h: int, degrees: float) -> tuple[int, int]:
+    """Size of the canvas that holds an image turned about its centre."""
+    cos, sin = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    xs = [x * cos - y * sin for x in (-w / 2, w / 2) for y in (-h / 2, h / 2)]
+    ys = [x * sin + y * cos for x in (-w / 2, w / 2) for y in (-h / 2, h / 2)]
+    return int(max(xs) - min(xs) + 1), int(max(ys) - min(ys) + 1)
+
+
+def turned(img: np.ndarray, degrees: float) -> np.ndarray:
+    h, w = img.shape[:2]
+    nw, nh = turned_size(w, h, degrees)
+    cos, sin = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    y, x = np.mgrid[0:nh, 0:nw]
+    x, y = x - nw / 2, y - nh / 2
+    return bilinear(img, x * cos + y * sin + w / 2, -x * sin + y * cos + h / 2)
+
+
+def rotate(px: DataFrame, degrees: float) -> DataFrame:
+    """Every image turned clockwise about its centre, on the whole canvas."""
+    return px.groupBy("img_id").applyInPandas(lambda pdf: _pixels(pdf["img_id"].iloc[0], turned(_raster(pdf), degrees)), PIXELS)
+
+
+FOCAL = 1500.0
+
+
+def check_tilt(tx: float, ty: float, scale: float, radius: float = 0.0) -> None:
+    if not 0 < scale <= 1 or radius < 0 or np.hypot(tx, ty) > 30 - 15 * scale:
         raise ValueError("tilt is too strong for this scale")
-    ax, ay = np.radians([tx, ty])
+
+
+def tilted(img: np.ndarray, tx: float, ty: float, scale: float) -> np.ndarray:
+    """The image seen tilted, on a canvas 2.5 times its size; only points before the
+    camera are drawn."""
+    h, w = img.shape[:2]
+    nw, nh = int(w * 2.5), int(h * 2.5)
+    cx, sx, cy, sy = np.cos(np.radians(tx)), np.sin(np.radians(tx)), np.cos(np.radians(ty)), np.sin(np.radians(ty))
+    y, x = np.mgrid[0:nh, 0:nw]
+    dx, dy = x - nw / 2, y - nh / 2
+    z = dx * sy + dy * -sx * cy + FOCAL * cx * cy
+    seen = z > 0
+    factor = FOCAL / np.where(seen, z, 1.0) * scale
+    at_x = (dx * cy + dy * sx * sy + FOCAL * -sy) / factor + w / 2
+    at_y = (dy * cx + FOCAL * sx) / factor + h / 2
+    return bilinear(img, np.where(seen, at_x, -1.0), at_y)
+
+
+def tilt(px: DataFrame, tx: float, ty: float, scale: float = 1.0) -> DataFrame:
+    """Perspective tilt of every image, on the whole canvas."""
+    check_tilt(tx, ty, scale)
+    return px.groupBy("img_id").applyInPandas(lambda pdf: _pixels(pdf["img_id"].iloc[0], tilted(_raster(pdf), tx, ty, scale)), PIXELS)
+
+
+# The presets of the tilt effect (ground from and to, tilt x, y, turn, scale, radius).
+TILTS = {
+    "": ((18, 18, 18), (40, 40, 40), 5.0, -8.0, 3.0, 0.65, 40.0),
+    "p1": ((0, 0, 0), (40, 40, 40), 5.0, -8.0, 3.0, 0.70, 40.0),
+    "p2": ((0, 0, 0), (40, 40, 40), -5.0, 8.0, -4.0, 0.70, 40.0),
+    "p3": ((240, 240, 245), (200, 200, 210), 5.0, -8.0, 0.0, 0.60, 40.0),
+    "p4": ((240, 240, 245), (200, 200, 210), 10.0, 5.0, 0.0, 0.70, 40.0),
+}
+
+
+def rounded(img: np.ndarray, radius: float) -> np.ndarray:
+    """Corners made transparent, with the cover of 4 x 4 samples near the edge; eight
+    of the sixteen count as full cover."""
+    h, w = img.shape[:2]
+    y, x = np.mgrid[0:h, 0:w].astype(float)
+    left, top = x < radius, y < radius
+    corner = (left | (x > w - radius)) & (top | (y > h - radius))
+    dx = np.where(left, x - radius, x - (w - radius))
+    dy = np.where(top, y - radius, y - (h - radius))
+    d2 = dx * dx + dy * dy
+    samples = sum((dx + i) ** 2 + (dy + j) ** 2 <= radius * radius for i in OFFSETS for j in OFFSETS)
+    edge = corner & (np.sqrt(d2) > radius - 4)
+    gone = corner & (d2 > radius * radius) | edge & (samples == 0)
+    out = img.copy()
+    out[..., 3] = np.where(edge & (samples < 8), np.floor(out[..., 3] * samples / 8), out[..., 3])
+    out[gone] = 0
+    return out
+
+
+# Where the sub-samples of a pixel lie.
+OFFSETS = (-0.375, -0.125, 0.125, 0.375)
+
+
+def tilt_effect(px: DataFrame, preset: str = "", width: int = 1920, height: int = 1080) -> DataFrame:
+    """Rounded, turned, tilted and trimmed images, centred on a diagonal gradient."""
+    if preset not in TILTS:
+        raise ValueError(f"unknown preset {preset}")
+    start, end, tx, ty, tz, scale, radius = TILTS[preset]
+    check_tilt(tx, ty, scale, radius)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        img = _raster(pdf)
-        h, w = img.shape[:2]
-        ch, cw = int(2.5 * h), int(2.5 * w)
-        rx = np.array([[1, 0, 0], [0, np.cos(ax), -np.sin(ax)], [0, np.sin(ax), np.cos(ax)]])
-        ry = np.array([[np.cos(ay), 0, np.sin(ay)], [0, 1, 0], [-np.sin(ay), 0, np.cos(ay)]])
-        rot = rx @ ry * scale
-        m = np.array([[focal * rot[0, 0], focal * rot[0, 1], 0], [focal * rot[1, 0], focal * rot[1, 1], 0], [rot[2, 0], rot[2, 1], focal]])
-        y, x = np.mgrid[0:ch, 0:cw]
-        p = np.linalg.inv(m) @ np.stack([(x - cw / 2).ravel(), (y - ch / 2).ravel(), np.ones(ch * cw)])
-        ok = np.abs(p[2]) > 1e-12
-        sx, sy = np.where(ok, p[0] / p[2], -1e9) + w / 2, np.where(ok, p[1] / p[2], -1e9) + h / 2
-        z = rot[2, 0] * (sx - w / 2) + rot[2, 1] * (sy - h / 2) + focal
-        good = ok & (z > 0) & (sx >= 0) & (sy >= 0) & (sx < w - 1) & (sy < h - 1)
-        x0, y0 = np.where(good, sx, 0).astype(int), np.where(good, sy, 0).astype(int)
-        fx, fy = (np.where(good, sx, 0) - x0)[:, None], (np.where(good, sy, 0) - y0)[:, None]
-        x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
-        out = (img[y0, x0] * (1 - fx) + img[y0, x1] * fx) * (1 - fy) + (img[y1, x0] * (1 - fx) + img[y1, x1] * fx) * fy
-        out[~good] = 0
-        return _pixels(pdf["img_id"].iloc[0], np.floor(out + 1e-6).reshape(ch, cw, 4))
+        img = rounded(_raster(pdf), radius)
+        img = tilted(turned(img, tz) if tz else img, tx, ty, scale)
+        return _pixels(pdf["img_id"].iloc[0], centred(trimmed(img), gradient_ground(start, end, width, height)))
 
     return px.groupBy("img_id").applyInPandas(run, PIXELS)
 
 
+def gradient_ground(start: tuple, end: tuple, width: int, height: int) -> np.ndarray:
+    y, x = np.mgrid[0:height, 0:width]
+    t = ((x + y) / (width + height))[..., None]
+    colours = np.floor(np.array(start) * (1 - t) + np.array(end) * t)
+    return np.concatenate([colours, np.full((height, width, 1), 255.0)], axis=2)
+
+
+def trimmed(img: np.ndarray) -> np.ndarray:
+    """The part with alpha; one empty pixel where there is none."""
+    ys, xs = np.nonzero(img[..., 3])
+    return img[ys.min():ys.max() + 1, xs.min():xs.max() + 1] if len(ys) else np.zeros((1, 1, 4))
+
+
+def centred(img: np.ndarray, ground: np.ndarray) -> np.ndarray:
+    """Source-over of an image with multiplied alpha on the centre of an opaque ground;
+    what reaches beyond is cut off."""
+    out = ground.copy()
+    (h, w), (gh, gw) = img.shape[:2], ground.shape[:2]
+    y, x = int((gh - h) / 2), int((gw - w) / 2)
+    part = img[max(0, -y):gh - y, max(0, -x):gw - x]
+    y, x = max(0, y), max(0, x)
+    under = out[y:y + part.shape[0], x:x + part.shape[1]]
+    # 16-bit arithmetic on whole numbers: source + ground * (1 - alpha)
+    rest = 65535 - part[..., 3:].astype(np.int64) * 257
+    under[...] = (part.astype(np.int64) * 257 + under.astype(np.int64) * 257 * rest // 65535) >> 8
+    return out
+
+
 def png_bytes(img: np.ndarray, level: int = 1) -> bytes:
     """A PNG of an RGBA array (h, w, 4)."""
     h, w = img.shape[:2]
@@ -181,26 +344,75 @@ def encode_png(px: DataFrame, level: int = 1) -> DataFrame:
     return px.groupBy("img_id").applyInPandas(run, "img_id long, width int, height int, content binary")
 
 
+def read_png(data: bytes) -> np.ndarray:
+    """(h, w, 4) of a PNG with 8-bit samples, not interlaced: grey, RGB, palette, grey
+    or RGB with alpha; any row filter."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG")
+    w, h, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", data[16:29])
+    if depth != 8 or interlaced or kind not in (0, 2, 3, 4, 6):
+        raise ValueError("only PNGs of 8 bits a sample, not interlaced, are supported")
+    at, parts = 8, {b"IDAT": b"", b"PLTE": b"", b"tRNS": b""}
+    while at + 12 <= len(data):
+        n, name = struct.unpack(">I4s", data[at:at + 8])
+        if zlib.crc32(data[at + 4:at + 8 + n]) != struct.unpack(">I", data[at + 8 + n:at + 12 + n])[0]:
+            raise ValueError("damaged PNG")
+        if name in parts:
+            parts[name] += data[at + 8:at + 8 + n]
+        at += n + 12
+    step = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    raw = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(h, w * step + 1)
+    rows = np.zeros((h + 1, w * step), np.uint8)
+    for y in range(h):
+        rows[y + 1] = _unfiltered(int(raw[y, 0]), raw[y, 1:], rows[y], step)
+    v = rows[1:].reshape(h, w, step)
+    full = np.full((h, w, 1), 255, np.uint8)
+    if kind == 3:
+        palette = np.frombuffer(parts[b"PLTE"], np.uint8).reshape(-1, 3)
+        alpha = np.full(len(palette), 255, np.uint8)
+        alpha[:len(parts[b"tRNS"])] = np.frombuffer(parts[b"tRNS"], np.uint8)
+        return np.concatenate([palette[v[..., 0]], alpha[v[..., 0]][..., None]], 2)
+    if kind in (0, 4):
+        grey = np.repeat(v[..., :1], 3, 2)
+        return np.concatenate([grey, v[..., 1:] if kind == 4 else full], 2)
+    return v if kind == 6 else np.concatenate([v, full], 2)
+
+
+def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    if kind == 0:
+        return row
+    if kind == 2:
+        return row + above
+    if kind == 1:
+        return np.cumsum(row.reshape(-1, step), 0, dtype=np.uint8).ravel()
+    out, up = row.astype(int).tolist(), above.tolist()
+    for i in range(len(out)):
+        a, b, c = (out[i - step], up[i], up[i - step]) if i >= step else (0, up[i], 0)
+        if kind == 3:
+            guess = (a + b) // 2
+        else:
+            p = a + b - c
+            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+        out[i] = (out[i] + guess) & 255
+    return np.array(out, np.uint8)
+
+
 def decode_png(files: DataFrame) -> DataFrame:
-    """Pixels of a folder's PNG rows (img_id, content) that encode_png wrote."""
+    """Pixels of PNG rows (img_id, content)."""
 
     def run(batches):
         for batch in batches:
             for img_id, data in zip(batch["img_id"], batch["content"]):
-                w, h = struct.unpack(">II", data[16:24])
-                at, idat = 8, b""
-                while at < len(data):
-                    n, kind = struct.unpack(">I4s", data[at:at + 8])
-                    idat += data[at + 8:at + 8 + n] if kind == b"IDAT" else b""
-                    at += n + 12
-                rows = np.frombuffer(zlib.decompress(idat), np.uint8).reshape(h, w * 4 + 1)
-                if rows[:, 0].any():
-                    raise ValueError("only unfiltered rows are supported")
-                yield _pixels(img_id, rows[:, 1:].reshape(h, w, 4))
+                yield _pixels(img_id, read_png(data))
 
     return files.select("img_id", "content").mapInPandas(run, PIXELS)
 
 
+def decode_base64(files: DataFrame) -> DataFrame:
+    """Pixels of rows (img_id, b64) that hold a PNG as base64 text."""
+    return decode_png(files.select("img_id", F.unbase64("b64").alias("content")))
+
+
 def recognise(pages: DataFrame, recogniser) -> DataFrame:
     """Apply a user function text = recogniser(row) to every page; a failing page
     gets its message in ``error`` and no text."""
@@ -218,6 +430,145 @@ def recognise(pages: DataFrame, recogniser) -> DataFrame:
     return pages.mapInPandas(run, "original_index long, page_index long, text string, error string")
 
 
-def collect_frames(px: DataFrame, group: str) -> DataFrame:
-    """Frames of an animation in input order: group, frames (array of img_id)."""
-    return px.groupBy(group).agg(F.array_sort(F.collect_set("img_id")).alias("frames"))
+def frame_size(px: DataFrame, group: str) -> DataFrame:
+    """Largest width and height of the frames of each animation."""
+    return px.groupBy(group).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+
+
+def encode_gif(px: DataFrame, group: str, delay: int = 10, loops: int = 0, resize: bool = True) -> DataFrame:
+    """An animated GIF of each group's images in order of img_id: group, frames, width,
+    height, content. Frames are padded to the largest width and height (with ``resize``)
+    and dithered to the 216 web-safe colours; ``delay`` is in hundredths of a second.
+
+    A group is one animation, whose frames its encoder has to hold.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        frames = [_raster(own) for _, own in pdf.groupby("img_id", sort=True)]
+        h, w = max(f.shape[0] for f in frames), max(f.shape[1] for f in frames)
+        if resize:
+            frames = [padded(f, w, h) for f in frames]
+        data = gif_bytes([diffuse(f[..., :3]) for f in frames], w, h, delay, loops)
+        return pd.DataFrame([(pdf[group].iloc[0], len(frames), w, h, data)], columns=["group", "frames", "width", "height", "content"])
+
+    return px.groupBy(group).applyInPandas(run, "group long, frames int, width int, height int, content binary").withColumnRenamed("group", group)
+
+
+def gif_bytes(frames: list[np.ndarray], w: int, h: int, delay: int, loops: int) -> bytes:
+    """A GIF of frames (h, w, 3) of web-safe colours; loops < 0 plays once."""
+    levels = range(0, 256, 51)
+    palette = b"".join(bytes((r, g, b)) for r in levels for g in levels for b in levels) + bytes(120)
+    out = [b"GIF89a", struct.pack("<HHBBB", w, h, 0xF7, 0, 0), palette]
+    if loops >= 0:
+        out.append(b"\x21\xff\x0bNETSCAPE2.0\x03\x01" + struct.pack("<H", loops) + b"\0")
+    for f in frames:
+        index = (f // 51).astype(int) @ np.array([36, 6, 1])
+        out.append(b"\x21\xf9\x04\0" + struct.pack("<H", delay) + b"\0\0")
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, f.shape[1], f.shape[0], 0) + b"\x08")
+        data = lzw(index.ravel().tolist())
+        out += [bytes([len(data[i:i + 255])]) + data[i:i + 255] for i in range(0, len(data), 255)] + [b"\0"]
+    return b"".join(out) + b"\x3b"
+
+
+def lzw(symbols: list[int], bits: int = 8) -> bytes:
+    """The variable-width code that GIF prescribes."""
+    clear, stop = 1 << bits, (1 << bits) + 1
+    acc = held = 0
+    out = bytearray()
+
+    def put(code: int, width: int) -> None:
+        nonlocal acc, held
+        acc |= code << held
+        held += width
+        while held >= 8:
+            out.append(acc & 255)
+            acc, held = acc >> 8, held - 8
+
+    width, table, now = bits + 1, {}, -1
+    put(clear, width)
+    for s in symbols:
+        if now < 0:
+            now = s
+            continue
+        code = table.get((now, s))
+        if code is not None:
+            now = code
+            continue
+        put(now, width)
+        table[now, s] = stop + 1 + len(table)
+        if stop + len(table) == 1 << width and width < 12:
+            width += 1
+        elif stop + len(table) == 4095:
+            put(clear, width)
+            width, table = bits + 1, {}
+        now = s
+    if now >= 0:
+        put(now, width)
+    put(stop, width)
+    if held:
+        out.append(acc & 255)
+    return bytes(out)
+
+
+def save_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write rows (path, content) below ``folder`` and return (path, length) of what was
+    written; rows without content write nothing. A file gets its name only when it is
+    complete, so retried tasks do no harm."""
+
+    def run(batches):
+        from pyarrow import fs as arrow_fs
+
+        fs, root = arrow_fs.FileSystem.from_uri(folder) if ":/" in folder else (arrow_fs.LocalFileSystem(), folder)
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch["path"], batch["content"]):
+                if data is None:
+                    continue
+                whole = f"{root}/{path}"
+                fs.create_dir(whole.rsplit("/", 1)[0], recursive=True)
+                part = f"{whole}.{uuid.uuid4().hex}.part"
+                with fs.open_output_stream(part, compression=None) as out:
+                    out.write(data)
+                fs.move(part, whole)
+                rows.append((path, len(data)))
+            yield pd.DataFrame(rows, columns=["path", "length"]).astype({"path": object, "length": "int64"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, length long")
+
+
+def nchw(px: DataFrame) -> DataFrame:
+    """img_id, height, width and tensor (channel-major floats 0..1, by the largest
+    channel value) of every image."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        img = _raster(pdf)[..., :3]
+        t = (img / max(img.max(), 255e-6)).transpose(2, 0, 1).astype(np.float32)
+        return pd.DataFrame([(pdf["img_id"].iloc[0], img.shape[0], img.shape[1], t.ravel())], columns=["img_id", "height", "width", "tensor"])
+
+    return px.groupBy("img_id").applyInPandas(run, "img_id long, height int, width int, tensor array<float>")
+
+
+def correct_text(results: DataFrame, corrector, fall_back: bool = True) -> DataFrame:
+    """Apply a user function text = corrector(text) to the results (original_index,
+    text, metadata); a corrected result says so in its metadata. Where the function
+    fails, the text stays (``fall_back``) or the row gets an error."""
+
+    def run(batches):
+        for batch in batches:
+            texts, errors, done = [], [], []
+            for text in batch["text"]:
+                try:
+                    texts.append(corrector(text))
+                    errors.append(None)
+                    done.append(True)
+                except Exception as e:  # noqa: BLE001 - the message belongs to the row
+                    texts.append(text)
+                    errors.append(None if fall_back else str(e))
+                    done.append(False)
+            yield batch.assign(text=texts, error=errors, corrected=done)
+
+    schema = "original_index long, text string, metadata map<string,string>, error string, corrected boolean"
+    rows = results.select("original_index", "text", "metadata").mapInPandas(run, schema)
+    note = F.create_map(F.lit("TextCorrectionApplied"), F.lit("true"))
+    with_note = F.map_concat(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: k != "TextCorrectionApplied"), note)
+    return rows.select("original_index", "text", F.when(F.col("corrected"), with_note).otherwise(F.col("metadata")).alias("metadata"), "error")

@@ -129,7 +129,7 @@ QUERIES = {
     "median_cut": on(lambda p: R.extract_palette(P.histogram(p))),
     "kmeans_background": on(lambda p: P.kmeans_background(p, (60, 60, 60), (200, 200, 200)).select(*KEY, "cluster", "a")),
     "gif_dither": on(R.dither),
-    "rotate_bilinear": on(lambda p: P.bilinear_rotate(p, W, H, 30.0)),
+    "rotate_bilinear": on(lambda p: R.rotate(p, 30.0)),
     "tilt": on(lambda p: R.tilt(p, 5.0, 5.0)),
     "resize_lanczos": on(lambda p: R.resize(p, 25, 0)),
     "png_round_trip": on(lambda p: R.decode_png(R.encode_png(p))),

@@ -12,6 +12,17 @@ NORD = (
     (136, 192, 208), (129, 161, 193), (94, 129, 172), (191, 97, 106), (208, 135, 112), (235, 203, 139), (163, 190, 140), (180, 142, 173),
 )
 
+# The published Solarized and Dracula colours, in their order.
+SOLARIZED = (
+    (0, 43, 54), (7, 54, 66), (88, 110, 117), (101, 123, 131), (131, 148, 150), (147, 161, 161), (238, 232, 213), (253, 246, 227),
+    (181, 137, 0), (203, 75, 22), (220, 50, 47), (211, 54, 130), (108, 113, 196), (38, 139, 210), (42, 161, 152), (133, 153, 0),
+)
+DRACULA = (
+    (40, 42, 54), (68, 71, 90), (248, 248, 242), (98, 114, 164), (139, 233, 253), (80, 250, 123), (255, 184, 108), (255, 121, 198),
+    (189, 147, 249), (255, 85, 85), (241, 250, 140),
+)
+THEMES = {"nord": NORD, "solarized": SOLARIZED, "dracula": DRACULA}
+
 PX_SQL = """px AS (SELECT event_id // 2500 AS img_id, cast(event_id % 50 AS INT) AS x, cast((event_id // 50) % 50 AS INT) AS y,
   cast((event_id * 37 + user_id * 11) % 256 AS INT) AS r, cast((event_id * 59 + user_id * 7) % 256 AS INT) AS g,
   cast((event_id * 83 + user_id * 3) % 256 AS INT) AS b, CASE WHEN event_id % 7 = 0 THEN 0 ELSE 255 END AS a FROM events)"""
@@ -75,6 +86,44 @@ def merge_palettes(known: DataFrame, custom: DataFrame) -> DataFrame:
     return known.unionByName(custom.join(known.select("theme").distinct(), "theme", "left_anti"))
 
 
+def themes(spark: SparkSession, *files: str) -> DataFrame:
+    """(theme, idx, r, g, b, a) of the themes built in and of those in theme files (JSON)."""
+    rows = [(name, i, *c, 255) for name, colours in THEMES.items() for i, c in enumerate(colours)]
+    known = spark.createDataFrame(rows, "theme string, idx int, r int, g int, b int, a int")
+    for path in files:
+        known = merge_palettes(known, palette_from_json(spark, path))
+    return known
+
+
+def theme_list(known: DataFrame) -> DataFrame:
+    """(theme, n_colours) in alphabetical order."""
+    return known.groupBy("theme").agg(F.count("*").alias("n_colours")).orderBy("theme")
+
+
+def theme_lookup(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (column name) with the theme's hex colours in order, or an error."""
+    colours = known.groupBy("theme").agg(F.array_sort(F.collect_list(F.struct("idx", F.format_string("#%02X%02X%02X", "r", "g", "b").alias("hex")))).alias("c"))
+    colours = colours.select("theme", F.col("c.hex").alias("colours"))
+    found = wanted.join(colours, F.lower("name") == F.col("theme"), "left").drop("theme")
+    return found.withColumn("error", F.when(F.col("colours").isNull(), "unknown theme"))
+
+
+def themes_from_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """(theme, idx, r, g, b, a) of configuration files whose ``themes:`` is a list of
+    entries that begin with ``- name:`` and list ``colors:`` one to a line. Entries
+    without a name or colours, or with a malformed colour, are left out."""
+    text = spark.read.text(path, wholetext=True).filter(F.col("value").rlike(r"(?m)^themes:\s*$"))
+    body = F.regexp_extract("value", r"(?ms)^themes:\s*$(.*?)(?=^\S|\z)", 1)
+    entry = text.select(F.explode(F.slice(F.split(body, r"(?m)^\s*-\s+name:"), 2, 1_000_000)).alias("e"))
+    name = F.trim(F.regexp_extract("e", r"^[ \t]*[\"']?([^\"'\n]*)", 1))
+    colours = F.regexp_extract_all("e", F.lit(r"(?m)^\s*-\s+[\"']?([^\"'\s]+)[\"']?\s*$"), 1)
+    named = entry.select(F.lower(name).alias("theme"), colours.alias("colors")).filter((F.col("theme") != "") & (F.size("colors") > 0))
+    good = named.filter(F.forall("colors", lambda c: c.rlike("^#[0-9A-Fa-f]{6}$")))
+    rows = good.select("theme", F.posexplode("colors").alias("idx", "hex"))
+    part = lambda at: F.conv(F.substring("hex", at, 2), 16, 10).cast("int")
+    return rows.select("theme", "idx", part(2).alias("r"), part(4).alias("g"), part(6).alias("b"), F.lit(255).alias("a"))
+
+
 def image_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("png", "jpg", "jpeg", "webp", "avif")) -> DataFrame:
     """(path, ext, length, content) of the image files under a folder."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
