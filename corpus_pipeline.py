@@ -22,7 +22,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs)
+    return secrets.redact(docs, tokenizer_path(secrets.VOCABULARY))
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ STAGES = [
     ("packing", pack_batches),
 ]
 
-# A trained classifier and a tokenizer have no SQL form; tests compare the stages
-# with brute-force versions.
+# A trained classifier and a tokenizer have no SQL form; tests compare the rows of run
+# with a plain version of the stages behind the classifier.
 ORACLE_SQL = None
 
 
