@@ -42,13 +42,36 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[id(back)] = (back, path)
+    return back
+
+
+_written: dict[int, tuple[DataFrame, str]] = {}
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete what ``cut`` wrote for these tables: for steps whose readers have been
+    written themselves, so that nothing is ever computed from them again."""
+    for t in tables:
+        _, path = _written.pop(id(t), (None, None))
+        if path:
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while base in df.columns:
+        base += "_"
+    return base
+
+
 def open_fs(uri: str):
     """(filesystem, path) of a URI or plain path, for use inside tasks."""
     from pyarrow import fs

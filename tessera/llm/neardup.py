@@ -30,13 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import cut, table
+from .common import cut, forget, free_name, table
 
 SHINGLE = 5
 COORDS, ROWS = 128, 4
 BANDS = COORDS // ROWS
 PERCENT = 75
 BLOCK = 512  # rows of a bucket that are compared in one go
+BLOCK_SHINGLES = 1 << 20  # and their shingles, as far as no single text has more
 COLUMNS = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -129,8 +130,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, content (hash of the word sequence; null without words)
-    and bands (bucket keys) of every document."""
+    """doc_id, raw (hash of the text), n_shingles, content (hash of the word sequence;
+    null without words) and bands (bucket keys) of every document."""
 
     @F.pandas_udf("n_shingles long, content binary, bands array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -141,7 +142,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             rows.append((len(hashes), xxhash.xxh3_128_digest(words), band_keys(signature(hashes))) if len(hashes) else (0, None, None))
         return pd.DataFrame(rows, columns=["n_shingles", "content", "bands"])
 
-    return docs.select("doc_id", run("text").alias("__s")).select("doc_id", "__s.*")
+    return docs.select("doc_id", F.xxhash64("text").alias("raw"), run("text").alias("__s")).select("doc_id", "raw", "__s.*")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -200,17 +201,21 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges, "edges")
     labels = cut(now.select(F.col("u").alias("id")).union(now.select(F.col("v").alias("id"))).distinct().select("id", F.col("id").alias("comp")), "labels")
     while not now.isEmpty():
-        parent = cut(now.groupBy("u").agg(F.min("v").alias("p")), "parents")
+        jumped = cut(now.groupBy("u").agg(F.min("v").alias("p"), F.lit(True).alias("moved")), "parents")
         while True:  # pointer jumping; parents are always smaller, so this ends
+            parent, last = jumped.select("u", "p"), jumped
             up = parent.select(F.col("u").alias("__u"), F.col("p").alias("__p"))
             jumped = cut(parent.join(up, F.col("p") == F.col("__u"), "left").select("u", F.coalesce("__p", "p").alias("p"), F.col("__p").isNotNull().alias("moved")), "jumped")
-            parent = jumped.select("u", "p")
+            forget(last)
             if jumped.filter("moved").isEmpty():
                 break
+        parent, old, edges = jumped.select("u", "p"), labels, now
         labels = cut(labels.join(parent, labels["comp"] == parent["u"], "left").select("id", F.coalesce("p", "comp").alias("comp")), "labels")
         a, b = parent.select(F.col("u").alias("__a"), F.col("p").alias("__pa")), parent.select(F.col("u").alias("__b"), F.col("p").alias("__pb"))
         moved = now.join(a, now["u"] == a["__a"], "left").join(b, now["v"] == b["__b"], "left").select(F.coalesce("__pa", "u").alias("u"), F.coalesce("__pb", "v").alias("v"))
         now = cut(moved.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        forget(old, edges, jumped)
+    forget(now)
     return labels
 
 
@@ -222,16 +227,20 @@ def _with_comp(rows: DataFrame, labels: DataFrame | None, id_col: str, out: str)
 
 
 def link(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Components (id, comp) of the representatives (id, bands); None: no links."""
+    """Components (id, comp) of the representatives (id, doc_id, raw, n_shingles, bands);
+    None: no links."""
     buckets = reps.select("id", F.explode("bands").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
-    shared = cut(buckets.join(cut(hubs, "hubs"), "key"), "buckets")  # only buckets of several rows
+    hubs = cut(hubs, "hubs")
+    shared = cut(buckets.join(hubs, "key"), "buckets")  # only buckets of several rows
+    forget(hubs)
     if shared.isEmpty():
         return None
-    needed = shared.select(F.col("id").alias("__id")).distinct()
+    needed = reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("__doc"), F.col("raw").alias("__raw"))
     # An inner join, as Spark would move a semi join below the packing.
-    own = docs.select(F.col("doc_id").alias("id"), packed("text").alias("words"))
-    texts = cut(own.join(needed, own["id"] == needed["__id"]).drop("__id").dropDuplicates(["id"]), "texts")
+    own = docs.select("doc_id", F.xxhash64("text").alias("raw"), packed("text").alias("words"))
+    met = own.join(needed, (own["doc_id"] == needed["__doc"]) & (own["raw"] == needed["__raw"]))
+    texts = cut(met.select("id", "words").dropDuplicates(["id"]), "texts")
 
     star = shared.filter("id != hub").groupBy(F.col("id").alias("u"), F.col("hub").alias("v")).agg(F.count("*").alias("w"))
     star = cut(star, "star")
@@ -239,27 +248,37 @@ def link(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     links = cut(confirm(best, texts), "links")
     labels = None if links.isEmpty() else components(links)
     labels = _compare(star.select("u", "v").join(best, ["u", "v"], "left_anti"), labels, texts)
+    forget(star, best, links)
 
     several = _mixed(shared, labels)
+    forget(shared)
     if several.isEmpty():
         return labels
     members = several.select(F.col("id").alias("__id")).distinct()
     shared = cut(prefix_buckets(texts.join(members, texts["id"] == members["__id"], "left_semi").select("id", "words")), "prefixes")
+    forget(several)
     several = _mixed(shared, labels)
+    forget(shared)
     if several.isEmpty():
         return labels
-    return _merge(labels, cut(match_blocks(deal(several), texts), "links"))
+    sizes = reps.select("id", "n_shingles")
+    links = cut(match_blocks(deal(several.join(sizes, "id")), texts), "links")
+    merged = _merge(labels, links)
+    forget(several, links, texts)
+    return merged
 
 
 def deal(several: DataFrame) -> DataFrame:
-    """(key, lo, hi, side, id, comp): the rows of each bucket (key, id, comp) dealt to
-    pairs of blocks, so that any two rows of a bucket meet in one pair of blocks.
+    """(key, lo, hi, side, id, comp): the rows of each bucket (key, id, comp, n_shingles)
+    dealt to pairs of blocks, so that any two rows of a bucket meet in one pair of blocks.
 
-    A bucket of n rows has b = ceil(n / BLOCK) blocks and gives n * b rows, never its
-    pairs. Of buckets with the same members (equal counts and hashes) one is kept.
+    A bucket has b blocks, enough for BLOCK rows and BLOCK_SHINGLES shingles in each, and
+    gives its rows b times, never its pairs. Of buckets with the same members (equal
+    counts and hashes) one is kept.
     """
-    size = several.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
-    size = cut(size.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("b")), "sizes")
+    size = several.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("s") / BLOCK_SHINGLES), F.col("n"))).cast("int")
+    size = cut(size.groupBy("n", "s", "h1", "h2").agg(F.min("key").alias("key")).select("key", blocks.alias("b")), "sizes")
     own = several.join(size, "key").withColumn("side", F.pmod(F.xxhash64("id", F.lit(2)), F.col("b")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
     return met.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "id", "comp")
@@ -316,7 +335,10 @@ def _mixed(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(key, id, comp) of buckets that hold more than one component."""
     own = cut(_with_comp(shared.select("key", "id"), labels, "id", "comp"), "members")
     mixed = own.groupBy("key").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).filter("__lo != __hi").select("key")
-    return cut(own.join(cut(mixed, "mixed"), "key", "left_semi"), "several")
+    mixed = cut(mixed, "mixed")
+    several = cut(own.join(mixed, "key", "left_semi"), "several")
+    forget(own, mixed)
+    return several
 
 
 def _compare(pairs: DataFrame, labels: DataFrame | None, texts: DataFrame) -> DataFrame | None:
@@ -324,10 +346,12 @@ def _compare(pairs: DataFrame, labels: DataFrame | None, texts: DataFrame) -> Da
     components."""
     pairs = _with_comp(_with_comp(pairs, labels, "u", "__cu"), labels, "v", "__cv").filter("__cu != __cv")
     pairs = cut(pairs, "pairs")
-    if pairs.isEmpty():
-        return labels
-    more = cut(confirm(pairs, texts).select(F.col("__cu").alias("u"), F.col("__cv").alias("v")), "links")
-    return _merge(labels, more)
+    if not pairs.isEmpty():
+        more = cut(confirm(pairs, texts).select(F.col("__cu").alias("u"), F.col("__cv").alias("v")), "links")
+        labels = _merge(labels, more)
+        forget(more)
+    forget(pairs)
+    return labels
 
 
 def _merge(labels: DataFrame | None, more: DataFrame) -> DataFrame | None:
@@ -341,20 +365,28 @@ def _merge(labels: DataFrame | None, more: DataFrame) -> DataFrame | None:
     known = labels.select(F.col("id").alias("__known"))
     moved = labels.join(old, labels["comp"] == old["__old"], "left").select("id", F.coalesce("__new", "comp").alias("comp"))
     added = merged.join(known, merged["id"] == known["__known"], "left_anti")
-    return cut(moved.unionByName(added), "labels")
+    done = cut(moved.unionByName(added), "labels")
+    forget(labels, merged)
+    return done
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     rows = cut(sketch(docs), "sketches")
     named = rows.filter("content is not null and doc_id is not null")
-    copies = cut(named.groupBy("content").agg(F.min("doc_id").alias("rep")), "copies")
-    # representatives are the rows that carry their content's smallest id
-    reps = named.join(copies.select("content", F.col("rep").alias("doc_id")), ["content", "doc_id"], "left_semi").dropDuplicates(["doc_id", "content"])
-    labels = link(cut(reps.select(F.col("doc_id").alias("id"), "bands"), "reps"), docs)
-    copies = _with_comp(copies, labels, "rep", "component_id").select(F.col("content").alias("__c"), "component_id")
-    copies = cut(copies, "classes")
-    out = rows.select("doc_id", "n_shingles", "content").join(copies, F.col("content") == F.col("__c"), "left")
+    copies = named.groupBy("content").agg(F.min(F.struct("doc_id", "raw")).alias("first")).select("content", "first.*")
+    copies = cut(copies.orderBy("doc_id", "content").withColumn("id", F.monotonically_increasing_id()), "copies")
+    # the bands of each representative, from a row that its number was taken from
+    firsts = copies.select("content", "doc_id", "raw", "id")
+    reps = named.join(firsts, ["content", "doc_id", "raw"]).dropDuplicates(["id"]).select("id", "doc_id", "raw", "n_shingles", "bands")
+    reps = cut(reps, "reps")
+    labels = link(reps, docs)
+    forget(reps)
+    least = copies.select(F.col("id").alias("__comp"), F.col("doc_id").alias("component_id"))
+    named = _with_comp(copies.select("content", "id"), labels, "id", "comp")
+    classes = cut(named.join(least, named["comp"] == least["__comp"]).select(F.col("content").alias("__c"), "component_id"), "classes")
+    forget(copies, labels)
+    out = rows.select("doc_id", "n_shingles", "content").join(classes, F.col("content") == F.col("__c"), "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -369,17 +401,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ids = docs.select("doc_id").filter("doc_id is not null")
     if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return _keep_one(docs, "doc_id")
+    key = free_name(docs, "__key")
     named = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    ordered = named.orderBy("doc_id", F.xxhash64("text")).withColumn("__key", F.monotonically_increasing_id())
-    kept = _keep_one(cut(ordered, "keyed"), "__key").drop("__key")
+    ordered = named.orderBy("doc_id", F.xxhash64("text")).withColumn(key, F.monotonically_increasing_id())
+    kept = _keep_one(cut(ordered, "keyed"), key).drop(key)
     return docs.filter("doc_id is null").unionByName(kept)
 
 
 def _keep_one(docs: DataFrame, key: str) -> DataFrame:
     """Like keep_one, by a column that is null or different in each row."""
     result = near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"))
-    dropped = cut(result.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")), "dropped")
-    return docs.join(dropped, docs[key] == dropped["__gone"], "left_anti")
+    gone = free_name(docs, "__gone")
+    dropped = cut(result.filter(~F.col("kept")).select(F.col("doc_id").alias(gone)), "dropped")
+    return docs.join(dropped, docs[key] == dropped[gone], "left_anti")
 
 
 def op2_neardup(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WS, cut, table
+from .common import WS, cut, free_name, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -190,7 +190,8 @@ def judge(docs: DataFrame, *carried: str) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns. Each row carries its own
     verdict: ids may be null or repeat."""
-    return judge(docs.withColumn("__row", F.struct("*")), "__row").filter("kept").select("__row.*")
+    row = free_name(docs, "__row")
+    return judge(docs.withColumn(row, F.struct("*")), row).filter("kept").select(f"{row}.*")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

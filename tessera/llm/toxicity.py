@@ -32,7 +32,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, table
+from .common import cut, free_name, table
 
 MAX_TOXIC, MAX_CLEAN, MAX_CALIBRATION = 6_000, 14_000, 10_000
 MAX_LEXICON = 2_000
@@ -171,19 +171,19 @@ class Model:
     def __init__(self, weights, trees=None, calibration=None, constant=0.0):
         self.weights, self.trees, self.calibration, self.constant = weights, trees, calibration, constant
 
-    def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """``keep`` and a column __score. The models see the kept columns under
+    def score(self, docs: DataFrame, keep: list[str], name: str = "__score") -> DataFrame:
+        """``keep`` and the score in a column ``name``. The models see the kept columns under
         other names, so that no name can clash with theirs."""
         if self.trees is None:
-            return docs.select(*keep, F.lit(float(self.constant)).alias("__score"))
+            return docs.select(*keep, F.lit(float(self.constant)).alias(name))
         kept = [docs[c].alias(f"__k{i}") for i, c in enumerate(keep)]
         back = [F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)]
         done = self.raw(docs.select(*kept, features(docs["text"], self.weights).alias("__f")))
         if self.calibration is None:
-            return done.select(*back, F.col("__raw").alias("__score"))
+            return done.select(*back, F.col("__raw").alias(name))
         done = self.calibration.transform(done)
         score = F.col("__iso") * 0.999 + F.col("__raw") * 0.001  # the raw share keeps an order among equal steps
-        return done.select(*back, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("__score"))
+        return done.select(*back, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias(name))
 
     def raw(self, rated: DataFrame) -> DataFrame:
         done = self.trees.transform(rated.withColumn("__x", array_to_vector("__f")))
@@ -222,8 +222,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not scored as toxic, with all their columns."""
-    scored = fit(docs, labels).score(docs, docs.columns)
-    return scored.filter(F.col("__score") < 0.5).select(*docs.columns)
+    name = free_name(docs, "__score")
+    scored = fit(docs, labels).score(docs, docs.columns, name)
+    return scored.filter(F.col(name) < 0.5).select(*docs.columns)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

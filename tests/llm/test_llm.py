@@ -111,7 +111,7 @@ def test_blocks_find_what_brute_force_finds(spark, monkeypatch):
     many = [" ".join(base[:k] + [f"z{k}"] + base[k + 1:] + ([f"y{k}"] * (k % 7))) for k in range(0, 80, 8)]
     texts = spark.createDataFrame(list(enumerate(many)), "id long, text string").select("id", neardup.packed("text").alias("words"))
     bucket = texts.select(F.lit(1).cast("long").alias("key"), "id", F.col("id").alias("comp"))
-    bucket = bucket.union(bucket.withColumn("key", F.lit(2).cast("long")))
+    bucket = bucket.union(bucket.withColumn("key", F.lit(2).cast("long"))).withColumn("n_shingles", F.lit(80))
     dealt = neardup.deal(bucket)
     assert dealt.select("key").distinct().count() == 1 and dealt.select("lo", "hi").distinct().count() > 1
     comp = list(range(len(many)))
