@@ -39,8 +39,8 @@ REFERENCE = 100
 #: rate -> (expression over the base columns, quantiles of the lower and upper end, least distance)
 RATES = {
     "symbols": ("n_symbols / greatest(n_chars, 1)", (0.5, 0.9), 0.02),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", (0.5, 0.9), 0.1),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.5, 0.9), 0.03),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", (0.5, 0.9), 0.12),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.5, 0.9), 0.04),
     "word_length": ("word_chars / greatest(n_words, 1)", (0.25, 0.75), 0.2),
 }
 BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
