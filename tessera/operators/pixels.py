@@ -6,10 +6,12 @@ projections or equi-joins on computed keys; the rest aggregates per image.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CH = ("r", "g", "b")
@@ -370,6 +372,33 @@ def recolour(px: DataFrame, palette: tuple) -> DataFrame:
     return joined.select("img_id", "x", "y", F.col("nr").alias("r"), F.col("ng").alias("g"), F.col("nb").alias("b"), F.when(F.col("a") == 0, 0).otherwise(255).alias("a"))
 
 
+def full_cube(spark, palette: tuple, level: int = 8) -> DataFrame:
+    """The whole lookup cube of a palette: r6, g6, b6 and the interpolated nr, ng, nb."""
+    n = level * level
+    cells = spark.range(n**3).select((F.col("id") % n).cast("int").alias("r6"), F.expr(f"cast((id div {n}) % {n} as int)").alias("g6"), F.expr(f"cast(id div {n * n} as int)").alias("b6"))
+    step = lambda c: F.expr(f"cast({c} * 255 div {n - 1} as int)")
+    cells = cells.withColumns({f"__{c}": step(f"{c}6") for c in CH})
+    r, g, b = rbf(palette, *(F.col(f"__{c}") for c in CH))
+    return cells.select("r6", "g6", "b6", r.alias("nr"), g.alias("ng"), b.alias("nb"))
+
+
+def cached_cube(spark, palette: tuple, folder: str) -> DataFrame:
+    """``full_cube``, computed once per palette and kept as Parquet under its hash."""
+    name = hashlib.md5("".join("#%02X%02X%02X" % c for c in palette).encode()).hexdigest()[:16]
+    path = f"{folder}/{name}.parquet"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        full_cube(spark, palette).coalesce(1).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
+def recolour_with(px: DataFrame, cube: DataFrame) -> DataFrame:
+    """Recolour by a lookup cube of 64 steps: at most 262,144 rows, so it is broadcast."""
+    joined = cube_index(px).join(F.broadcast(cube), ["r6", "g6", "b6"])
+    return joined.select("img_id", "x", "y", F.col("nr").alias("r"), F.col("ng").alias("g"), F.col("nb").alias("b"), F.when(F.col("a") == 0, 0).otherwise(255).alias("a"))
+
+
 def convert(px: DataFrame, palette: tuple, method: str = "clut") -> DataFrame:
     """Recolour to a theme: by its interpolated cube, or to its nearest colours (nn)."""
     if not palette:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+import time
 import uuid
 import zlib
 
@@ -413,14 +414,20 @@ def decode_base64(files: DataFrame) -> DataFrame:
     return decode_png(files.select("img_id", F.unbase64("b64").alias("content")))
 
 
-def recognise(pages: DataFrame, recogniser) -> DataFrame:
+def recognise(pages: DataFrame, recogniser, rate: float = 0.0, burst: int = 3, workers: int = 0) -> DataFrame:
     """Apply a user function text = recogniser(row) to every page; a failing page
-    gets its message in ``error`` and no text."""
+    gets its message in ``error`` and no text. With a rate, at most ``workers`` tasks
+    share that many calls a second."""
+    if workers:
+        pages = pages.repartition(workers)
+    share = rate / workers if workers else rate
 
     def run(batches):
+        limit = RateLimiter(share, burst)
         for batch in batches:
             rows = []
             for row in batch.to_dict("records"):
+                limit.wait()
                 try:
                     rows.append((row["original_index"], row["page_index"], recogniser(row), None))
                 except Exception as e:  # noqa: BLE001 - the message belongs to the row
@@ -430,6 +437,18 @@ def recognise(pages: DataFrame, recogniser) -> DataFrame:
     return pages.mapInPandas(run, "original_index long, page_index long, text string, error string")
 
 
+def read_pictures(files: DataFrame) -> DataFrame:
+    """Pixels of PNG files (path, content), beside their path; img_id is the path's hash."""
+    ids = files.select("path", F.xxhash64("path").alias("img_id"), "content")
+    return decode_png(ids).join(ids.select("img_id", "path"), "img_id")
+
+
+def write_pictures(px: DataFrame, names: DataFrame, folder: str) -> DataFrame:
+    """Write every image as a PNG below ``folder`` by its name (img_id, path); returns
+    (path, length)."""
+    return save_files(encode_png(px).join(names, "img_id").select("path", "content"), folder)
+
+
 def frame_size(px: DataFrame, group: str) -> DataFrame:
     """Largest width and height of the frames of each animation."""
     return px.groupBy(group).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
@@ -536,6 +555,108 @@ def save_files(files: DataFrame, folder: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, length long")
 
 
+def own_palette(img: np.ndarray, n: int) -> np.ndarray:
+    """Up to n colours of an image's opaque pixels, by median cut of their 15-bit bins."""
+    seen = img[img[..., 3] >= 125][:, :3].astype(int) // 8 * 8
+    if not len(seen):
+        return np.zeros((1, 3))
+    bins, counts = np.unique(seen, axis=0, return_counts=True)
+    return np.array([c for c, _ in median_cut(bins, counts, n)], float)
+
+
+def quantise(px: DataFrame, n: int = 256) -> DataFrame:
+    """Every image in at most n colours of its own; alpha stays. Equal distances go to
+    the colour that more pixels have."""
+    if not 1 <= n <= 256:
+        raise ValueError("a palette has 1 to 256 colours")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        img = _raster(pdf)
+        palette = own_palette(img, n)
+        colours, back = np.unique(img[..., :3].reshape(-1, 3), axis=0, return_inverse=True)
+        nearest = np.concatenate([((c[:, None] - palette[None]) ** 2).sum(2).argmin(1) for c in np.array_split(colours, -(-len(colours) // 4096))])
+        img[..., :3] = palette[nearest][back.ravel()].reshape(img.shape[0], img.shape[1], 3)
+        return _pixels(pdf["img_id"].iloc[0], img)
+
+    return px.groupBy("img_id").applyInPandas(run, PIXELS)
+
+
+#: compressions by key; formats without a codec here are absent
+COMPRESSION = {
+    "losslesspng-png": lambda px, quality, speed: encode_png(px, 9),
+    "pngquant-png": lambda px, quality, speed: encode_png(quantise(px, max(2, round(256 * quality / 100))), max(1, 10 - speed)),
+}
+
+
+def compress(px: DataFrame, key: str, quality: int = 80, speed: int = 4) -> DataFrame:
+    """img_id, width, height and content of every image by a registered compression."""
+    if key not in COMPRESSION:
+        raise ValueError(f"no codec for {key} here")
+    return COMPRESSION[key](px, quality, speed)
+
+
+# The usual mean and deviation of segmentation models' inputs.
+MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def segment(px: DataFrame, predict, size: int = 320) -> DataFrame:
+    """Masks (img_id, x, y, m) of every image by a user function predict(tensor), which
+    takes (3, size, size) floats and gives (size, size). It is resolved once per Python
+    worker when given as a function without arguments that returns one (``loads``)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        model = loaded(predict)
+        img = _raster(pdf)[..., :3]
+        h, w = img.shape[:2]
+        small = np.einsum("ij,jkc->ikc", weights(h, size, "lanczos"), img)
+        small = np.clip(np.floor(np.einsum("ij,kjc->kic", weights(w, size, "lanczos"), small) + 0.5), 0, 255)
+        tensor = (small / max(small.max(), 255e-6) - np.array(MEAN)) / np.array(DEVIATION)
+        mask = np.asarray(model(tensor.transpose(2, 0, 1).astype(np.float32)), float)
+        mask = np.floor((mask - mask.min()) / max(mask.max() - mask.min(), 1e-6) * 255)
+        mask = weights(size, h, "lanczos") @ mask @ weights(size, w, "lanczos").T
+        y, x = np.divmod(np.arange(h * w), w)
+        return pd.DataFrame({"img_id": pdf["img_id"].iloc[0], "x": x, "y": y, "m": np.clip(np.floor(mask + 0.5), 0, 255).astype(int).ravel()})
+
+    return px.groupBy("img_id").applyInPandas(run, "img_id long, x int, y int, m int")
+
+
+def loads(make):
+    """Marks a function that makes a model, so that each worker makes one."""
+    make.loads = True
+    return make
+
+
+_models: dict[str, object] = {}
+
+
+def loaded(predict):
+    if not getattr(predict, "loads", False):
+        return predict
+    key = f"{predict.__module__}.{predict.__qualname__}"
+    if key not in _models:
+        _models[key] = predict()
+    return _models[key]
+
+
+class RateLimiter:
+    """A token bucket: ``rate`` calls a second, ``burst`` at once; rate <= 0 never waits."""
+
+    def __init__(self, rate: float, burst: int = 1, clock=time.monotonic, sleep=time.sleep):
+        self.rate, self.burst, self.clock, self.sleep = rate, max(1, burst), clock, sleep
+        self.tokens, self.last = float(self.burst), clock()
+
+    def wait(self) -> None:
+        if self.rate <= 0:
+            return
+        now = self.clock()
+        self.tokens = min(self.burst, self.tokens + (now - self.last) * self.rate)
+        self.last = now
+        if self.tokens < 1:
+            self.sleep((1 - self.tokens) / self.rate)
+            self.last, self.tokens = self.clock(), 1.0
+        self.tokens -= 1
+
+
 def nchw(px: DataFrame) -> DataFrame:
     """img_id, height, width and tensor (channel-major floats 0..1, by the largest
     channel value) of every image."""

@@ -26,10 +26,16 @@ n AS (SELECT img_id, x, y, cast(idx AS INT) AS idx, pr AS r, pg AS g, pb AS b FR
 """
 
 
-def _rbf_sql() -> str:
+def _rbf_cell_sql() -> list[str]:
+    """The interpolated channels of a cell (cr, cg, cb)."""
     w = [f"exp(-((cr-{r})*(cr-{r})+(cg-{g})*(cg-{g})+(cb-{b})*(cb-{b}))/5000.0::DOUBLE)" for r, g, b in NORD]
     total = " + ".join(w)
     ch = [f"cast(floor(({' + '.join(f'{x} * {float(c[k])}::DOUBLE' for x, c in zip(w, NORD))}) / ({total})) AS INT)" for k in range(3)]
+    return ch
+
+
+def _rbf_sql() -> str:
+    ch = _rbf_cell_sql()
     return f"""{BASE.rstrip()},
 i AS (SELECT *, cast(r*63//255 AS INT) AS r6, cast(g*63//255 AS INT) AS g6, cast(b*63//255 AS INT) AS b6 FROM px),
 c AS (SELECT DISTINCT r6, g6, b6, r6*255//63 AS cr, g6*255//63 AS cg, b6*255//63 AS cb FROM i),

@@ -47,12 +47,6 @@ def _gate(p):
     return P.replaced_gate(replaced).select("img_id", "changed", F.col("error").isNotNull().alias("failed"))
 
 
-def _quantised(p):
-    """What a palette compression keeps: every image in its own 16 colours."""
-    palettes = R.extract_palette(P.histogram(p), 16)
-    return palettes.groupBy("img_id").agg(F.count("*").alias("n_colours"), F.sum("n").alias("n"))
-
-
 def _gradient(space):
     return lambda s, d: G.gradient(s, WIDE, HIGH, STOPS, ANGLE, space)
 
@@ -61,6 +55,7 @@ QUERIES = {
     "px_noop": on(P.no_op),
     "px_convert_nn": on(lambda p: P.convert(p, NORD, "nn").select(*OUT)),
     "px_convert_clut": on(lambda p: P.convert(p, NORD, "clut").select(*OUT)),
+    "clut_full": lambda s, d: P.full_cube(s, NORD),
     "px_border_round": on(lambda p: P.border(p, 50, 50, RING, 3, 12.0)),
     "px_replace_gate": on(_gate),
     "rotate": on(lambda p: R.rotate(p, 30.0)),
@@ -78,7 +73,7 @@ QUERIES = {
     "base64_image": on(_base64_image),
     # sequential within an image: no SQL form
     "dominant_colour": on(lambda p: R.extract_palette(P.histogram(p)).filter("rank = 1").select("img_id", "hex", "n")),
-    "palette_quantise": on(_quantised),
+    "palette_quantise": on(lambda p: R.quantise(p, 16)),
     "resize_padded": on(lambda p: R.resize_padded(p, 60, 40)),
     "resize_catmullrom": on(lambda p: R.resize(p, 30, 20, "catmullrom")),
     "gif_animation": on(_gif),
@@ -189,12 +184,14 @@ _SHEETS = "d AS (SELECT o_custkey % 50 AS sheet, 1 + o_orderkey % 97 AS w, 1 + o
 
 
 def _all_sql() -> dict[str, str]:
-    from .pixel_queries import _near_sql, _rbf_sql
+    from .pixel_queries import _near_sql, _rbf_cell_sql, _rbf_sql
 
     found = {
         "px_noop": f"{BASE} SELECT img_id, x, y, r, g, b, a FROM px",
         "px_convert_nn": _near_sql() + "SELECT img_id, x, y, r, g, b, 255 AS a FROM n",
         "px_convert_clut": _rbf_sql(),
+        "clut_full": f"""WITH k AS (SELECT cast(i % 64 AS INT) AS r6, cast((i // 64) % 64 AS INT) AS g6, cast(i // 4096 AS INT) AS b6 FROM generate_series(0, 262143) t(i)),
+c AS (SELECT *, r6*255//63 AS cr, g6*255//63 AS cg, b6*255//63 AS cb FROM k) SELECT r6, g6, b6, {", ".join(f"{e} AS n{c}" for e, c in zip(_rbf_cell_sql(), "rgb"))} FROM c""",
         "px_border_round": _border_round_sql(),
         "px_replace_gate": f"{BASE}, d AS (SELECT img_id, sqrt(((r-100)*(r-100)+(g-120)*(g-120)+(b-140)*(b-140))::DOUBLE) AS d FROM px) SELECT img_id, count(*) FILTER (d < {_num(8.5 * math.sqrt(3))}) AS changed, count(*) FILTER (d < {_num(8.5 * math.sqrt(3))}) = 0 AS failed FROM d GROUP BY img_id",
         "rotate": _rotate_sql(30.0),

@@ -367,3 +367,69 @@ def test_gradient_ends_and_greys(spark, space):
     assert all(max(v) - min(v) <= 1 for v in grey.values()) and grey[0] == (0, 0, 0)
     with pytest.raises(ValueError):
         G.gradient(spark, 5, 5, ends, 0.0, "cmyk")
+
+
+# ---- quantising, models, limits ----
+
+def test_quantise(spark):
+    img = picture(12, 9, 7)
+    got = array(R.quantise(frame(spark, i0=img), 8))
+    palette = R.own_palette(img.astype(float), 8)
+    assert len(np.unique(got[..., :3].reshape(-1, 3), axis=0)) <= 8 and (got[..., 3] == img[..., 3]).all()
+    for y in range(9):
+        for x in range(12):
+            d = ((palette - img[y, x, :3]) ** 2).sum(1)
+            assert ((got[y, x, :3] - img[y, x, :3]) ** 2).sum() == d.min()
+    few = R.compress(frame(spark, i0=img), "pngquant-png", 10).first()["content"]
+    assert len(np.unique(R.read_png(bytes(few))[..., :3].reshape(-1, 3), axis=0)) <= 26
+    assert (R.read_png(bytes(R.compress(frame(spark, i0=img), "losslesspng-png").first()["content"])) == img).all()
+    with pytest.raises(ValueError):
+        R.compress(frame(spark, i0=img), "lossyavif-avif")
+
+
+def test_segmentation_by_a_user_model(spark):
+    img = np.zeros((20, 30, 4), int)
+    img[5:15, 10:20, :3] = 250
+    img[..., 3] = 255
+    px = frame(spark, i0=img)
+    mask = R.segment(px, R.loads(lambda: lambda t: t.mean(0)), 64)
+    got = {(r["x"], r["y"]): r["m"] for r in mask.collect()}
+    assert len(got) == 600 and got[15, 10] > 200 and got[2, 2] < 30
+    cut_out = array(P.remove_background(px, "mask", mask=mask))
+    assert cut_out[10, 15, 3] > 200 and cut_out[1, 1, 3] < 30
+
+
+def test_rate_limiter():
+    now, slept = [0.0], []
+
+    def sleep(t):
+        slept.append(t)
+        now[0] += t
+
+    limit = R.RateLimiter(2.0, 3, lambda: now[0], sleep)
+    for _ in range(5):
+        limit.wait()
+    assert slept == [0.5, 0.5]
+    now[0] += 10
+    for _ in range(3):
+        limit.wait()
+    assert len(slept) == 2
+    free = R.RateLimiter(0, 1, lambda: now[0], sleep)
+    for _ in range(9):
+        free.wait()
+    assert len(slept) == 2
+
+
+def test_pictures_and_cubes_are_kept(spark, tmp_path):
+    img = picture(6, 5, 1, False)
+    px = frame(spark, i0=img)
+    names = spark.createDataFrame([(0, "a/b.png")], "img_id long, path string")
+    R.write_pictures(px, names, str(tmp_path)).collect()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path / "a")).select("path", "content")
+    back = R.read_pictures(files)
+    assert back.first()["path"].endswith("a/b.png") and (array(back.withColumn("img_id", F.lit(0))) == img).all()
+    palette = ((10, 20, 30), (200, 100, 0), (250, 250, 250))
+    cube = P.cached_cube(spark, palette, str(tmp_path / "cubes"))
+    again = P.cached_cube(spark, palette, str(tmp_path / "cubes"))
+    assert cube.count() == 64**3 and len(list((tmp_path / "cubes").iterdir())) == 1
+    assert (array(P.recolour_with(px, again)) == array(P.recolour(px, palette))).all()
