@@ -49,7 +49,7 @@ MAGIC = b"MPHTOK1\n"
 GAMMA = 2.0
 MAX_LEVELS = 48
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, first_key long, last_key long, has_null boolean"
-CACHE = 2_000_000
+CACHE = 1_000_000
 # The splitter's letters and digits up to U+024F, ASCII marks, and white space.
 _WORD, _MARK, _SPACE = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-/:-@\\[-`{-~", r"\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}"
 _CUT = "\x01"
@@ -191,7 +191,7 @@ def binary_rows(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
 
 
-def by_bytes(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``most`` bytes of the column text, a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
     part = (np.cumsum(sizes) - sizes) // most
