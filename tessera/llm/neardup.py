@@ -240,7 +240,8 @@ def link(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     # An inner join, as Spark would move a semi join below the packing.
     own = docs.select("doc_id", F.xxhash64("text").alias("raw"), packed("text").alias("words"))
     met = own.join(needed, (own["doc_id"] == needed["__doc"]) & (own["raw"] == needed["__raw"]))
-    texts = cut(met.select("id", "words").dropDuplicates(["id"]), "texts")
+    # duplicates go by the join's keys as well, so that nothing is exchanged again
+    texts = cut(met.select("doc_id", own["raw"], "id", "words").dropDuplicates(["doc_id", "raw", "id"]).select("id", "words"), "texts")
 
     star = shared.filter("id != hub").groupBy(F.col("id").alias("u"), F.col("hub").alias("v")).agg(F.count("*").alias("w"))
     star = cut(star, "star")
@@ -378,7 +379,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = cut(copies.orderBy("doc_id", "content").withColumn("id", F.monotonically_increasing_id()), "copies")
     # the bands of each representative, from a row that its number was taken from
     firsts = copies.select("content", "doc_id", "raw", "id")
-    reps = named.join(firsts, ["content", "doc_id", "raw"]).dropDuplicates(["id"]).select("id", "doc_id", "raw", "n_shingles", "bands")
+    reps = named.join(firsts, ["content", "doc_id", "raw"]).dropDuplicates(["content", "doc_id", "raw"]).select("id", "doc_id", "raw", "n_shingles", "bands")
     reps = cut(reps, "reps")
     labels = link(reps, docs)
     forget(reps)

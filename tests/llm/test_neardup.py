@@ -1,7 +1,5 @@
 """Near-duplicates where ids repeat or are missing, of long texts and in small blocks."""
 
-import itertools
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,50 +31,48 @@ def variants(seed, n, length=80):
     return [" ".join(base[:k] + [f"z{seed}x{k}"] + base[k + 1:]) for k in range(0, length, length // n)]
 
 
-def test_repeated_and_missing_ids(spark):
+def odd_ids():
     a, b, c = variants(1, 8), variants(2, 8), prose(3, 60)
-    rows = [(7, a[0]), (7, b[0]), (7, c), (7, c), (3, b[1]), (9, a[1]), (9, b[2]), (9, "few words"), (4, "few words"), (None, a[0]), (None, None), (5, None), (5, ""), (7, a[0]), (2, c.upper()), (-4, a[2])]
-    assert components(spark, rows) == brute(rows)
-
-
-def test_one_id_for_a_third_of_all_rows(spark):
-    texts = [t for s in range(10) for t in variants(s, 4)]
-    rows = [(1, t) for t in texts[:20]] + [(10 + i, t) for i, t in enumerate(texts[20:])] + [(100 + i, t) for i, t in enumerate(texts[::3])]
-    assert components(spark, rows) == brute(rows)
+    return [(7, a[0]), (7, b[0]), (7, c), (7, c), (3, b[1]), (9, a[1]), (9, b[2]), (9, "few words"), (4, "few words"), (None, a[0]), (None, None), (5, None), (5, ""), (7, a[0]), (2, c.upper()), (-4, a[2])]
 
 
-@pytest.mark.parametrize("rows_of_block,shingles", [(4, 1 << 20), (512, 200)])
-def test_small_blocks(spark, monkeypatch, rows_of_block, shingles):
-    monkeypatch.setattr(neardup, "BLOCK", rows_of_block)
-    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
-    passage = prose(20, 70)
-    rows = [(i, f"{passage} {t}") for i, t in enumerate(v for s in range(6) for v in variants(30 + s, 5, 60))]
-    assert components(spark, rows) == brute(rows)
+def one_id_for_a_third_of_all_rows():
+    texts = [t for s in range(60, 70) for t in variants(s, 4)]
+    return [(1001, t) for t in texts[:20]] + [(1010 + i, t) for i, t in enumerate(texts[20:])] + [(1100 + i, t) for i, t in enumerate(texts[::3])]
 
 
-def test_long_texts(spark):
-    long = prose(50, 30_000)
-    rows = [(0, long), (1, long + " end"), (2, long[: len(long) // 2]), (3, " ".join(["x"] * 20_000)), (4, " ".join(["x"] * 30_000)), (5, "y" * 200_000)]
-    assert components(spark, rows) == brute(rows)
+def long_texts():
+    long = prose(50, 20_000)
+    return [(2000, long), (2001, long + " end"), (2002, long[: len(long) // 2]), (2003, " ".join(["x"] * 20_000)), (2004, " ".join(["x"] * 30_000)), (2005, "y" * 200_000)]
 
 
-def test_exactly_three_quarters(spark):
-    """n shared shingles of n + d in all: linked at 75 of 100, not below."""
-    words = [f"w{i}" for i in range(200)]
-    whole = " ".join(words[:104])  # 100 shingles
-    cases = {1: " ".join(words[:79]), 2: " ".join(words[:78])}  # 75 and 74 of them
-    for i, t in cases.items():
-        got = components(spark, [(0, whole), (i, t)])
-        assert got == brute([(0, whole), (i, t)])
-        assert (got[1][2] == 0) == (i == 1)
+def three_quarters_and_less():
+    """75 of 100 shingles are shared by the first two texts, 74 of 100 by the others."""
+    out = []
+    for at, n in ((3000, 79), (3002, 78)):
+        words = [f"w{at}n{i}" for i in range(104)]
+        out += [(at, " ".join(words)), (at + 1, " ".join(words[:n]))]
+    return out
 
 
-def test_nothing_is_left_of_the_steps(spark, tmp_path):
+def test_odd_rows(spark):
     import os
 
     from tessera.llm import common
 
-    rows = [(i, t) for i, t in enumerate(itertools.chain(*(variants(s, 8) for s in range(4))))]
     before = set(os.listdir(common.shared_dir(spark)))
-    components(spark, rows)
-    assert len(set(os.listdir(common.shared_dir(spark))) - before) <= 6
+    rows = odd_ids() + one_id_for_a_third_of_all_rows() + long_texts() + three_quarters_and_less()
+    got = components(spark, rows)
+    assert got == brute(rows)
+    linked = {i: c for i, _, c, _ in got if i is not None and i >= 3000}
+    assert linked == {3000: 3000, 3001: 3000, 3002: 3002, 3003: 3003}
+    assert len(set(os.listdir(common.shared_dir(spark))) - before) <= 6  # the steps are deleted
+
+
+@pytest.mark.parametrize("rows_of_block,shingles", [(4, 1 << 20), (512, 200)])
+def test_small_blocks(spark, monkeypatch, rows_of_block, shingles):
+    monkeypatch.setattr(neardup, "BLOCK", rows_of_block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
+    passage = prose(20, 70)
+    rows = [(i, f"{passage} {t}") for i, t in enumerate(v for s in range(6) for v in variants(30 + s, 5, 60))]
+    assert components(spark, rows) == brute(rows)
