@@ -63,9 +63,15 @@ WHEEL = {"complementary": (180,), "triadic": (120, 240), "quadratic": (90, 180,
 
 def wheel(kind: str, r: Column, g: Column, b: Column) -> Column:
     """Array of the colours of a wheel rule, as hex."""
+    return wheel_of(kind, hsl_of(r, g, b))
+
+
+def wheel_of(kind: str, h: Column) -> Column:
+    """``wheel`` of a struct h, s, l. Where that is a column of its own, several rules
+    share it."""
     if kind not in WHEEL:
         raise ValueError(f"unknown wheel rule {kind}")
-    turned = [rotate_hue(r, g, b, d) for d in WHEEL[kind]]
+    turned = [rgb_of_hsl(h["h"] + d, h["s"], h["l"]) for d in WHEEL[kind]]
     return F.array(*[to_hex(t["r"], t["g"], t["b"]) for t in turned])
 
 
@@ -148,24 +154,33 @@ def to_lower_hex(c: Column) -> Column:
     return F.format_string("#%02x%02x%02x", c["r"], c["g"], c["b"])
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed and planned once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def rgb_of_lab(l: Column, a: Column, b: Column) -> Column:  # noqa: E741
     """Struct r, g, b (0-255, clamped) of l (0-100), a, b under D65."""
     fy = (l + 16) / 116
-    xyz = []
-    for f, white in ((fy + a / 500, 0.95047), (fy, 1.0), (fy - b / 200, 1.08883)):
-        xyz.append(F.when(f * f * f > 216 / 24389, f * f * f).otherwise((116 * f - 16) * F.lit(27 / 24389)) * white)
-    x, y, z = xyz
-    linear = (
-        3.2404542 * x - 1.5371385 * y - 0.4985314 * z,
-        -0.9692660 * x + 1.8760108 * y + 0.0415560 * z,
-        0.0556434 * x - 0.2040259 * y + 1.0572252 * z,
-    )
+    thirds = F.struct((fy + a / 500).alias("x"), fy.alias("y"), (fy - b / 200).alias("z"))
+
+    def share(f: Column, white: float) -> Column:
+        return F.when(f * f * f > 216 / 24389, f * f * f).otherwise((116 * f - 16) * F.lit(27 / 24389)) * white
+
+    def linear(v: Column) -> Column:
+        x, y, z = v["x"], v["y"], v["z"]
+        return F.struct(
+            (3.2404542 * x - 1.5371385 * y - 0.4985314 * z).alias("r"),
+            (-0.9692660 * x + 1.8760108 * y + 0.0415560 * z).alias("g"),
+            (0.0556434 * x - 0.2040259 * y + 1.0572252 * z).alias("b"),
+        )
 
     def channel(v: Column) -> Column:
         s = F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
         return F.least(F.greatest(F.floor(s * 255 + 0.5), F.lit(0)), F.lit(255)).cast("int")
 
-    return F.struct(*[channel(v).alias(c) for v, c in zip(linear, "rgb")])
+    xyz = _let(thirds, lambda t: F.struct(*[share(t[k], w).alias(k) for k, w in zip("xyz", (0.95047, 1.0, 1.08883))]))
+    return _let(_let(xyz, linear), lambda v: F.struct(*[channel(v[c]).alias(c) for c in "rgb"]))
 
 
 def _numbers(text: Column, name: str, number: str) -> list[Column]:
@@ -246,9 +261,13 @@ def blend(first: tuple[Column, Column, Column], second: tuple[Column, Column, Co
 
 def monochromatic(r: Column, g: Column, b: Column, n: int = 5) -> Column:
     """``n`` colours of the same hue and saturation, evenly spread in lightness."""
+    return monochromatic_of(hsl_of(r, g, b), n)
+
+
+def monochromatic_of(h: Column, n: int = 5) -> Column:
+    """``monochromatic`` of a struct h, s, l."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    h = hsl_of(r, g, b)
     made = [rgb_of_hsl(h["h"], h["s"], F.lit((k + 1) / (n + 1))) for k in range(n)]
     return F.array(*[to_hex(c["r"], c["g"], c["b"]) for c in made])
 

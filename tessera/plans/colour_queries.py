@@ -44,8 +44,17 @@ def _joined(column):
     return lambda s, d: colours(s, d).select("colour_id", F.concat_ws(",", column(*_c())).alias("colours"))
 
 
+def _hsl(s, d):
+    """Colours with their hue, saturation and lightness as one column."""
+    return colours(s, d).select("colour_id", C.hsl_of(*_c()).alias("h"))
+
+
 def _wheels(s, d):
-    return colours(s, d).select("colour_id", *[F.concat_ws(",", C.wheel(k, *_c())).alias(k.replace("-", "_")) for k in C.WHEEL])
+    return _hsl(s, d).select("colour_id", *[F.concat_ws(",", C.wheel_of(k, F.col("h"))).alias(k.replace("-", "_")) for k in C.WHEEL])
+
+
+def _mono(s, d):
+    return _hsl(s, d).select("colour_id", F.concat_ws(",", C.monochromatic_of(F.col("h"))).alias("colours"))
 
 
 def _blend(s, d):
@@ -76,7 +85,7 @@ QUERIES = {
     "colour_contrast": lambda s, d: colours(s, d).select("colour_id", C.contrast(*_c()).alias("hex")),
     "colour_blend": _blend,
     "colour_tones": _joined(C.tones),
-    "colour_monochromatic": _joined(C.monochromatic),
+    "colour_monochromatic": _mono,
     "colour_darken": lambda s, d: colours(s, d).select("colour_id", _hexed(C.darken(*_c())).alias("hex")),
     "colour_lists": _lists,
     "theme_list": lambda s, d: theme_list(themes(s)),
