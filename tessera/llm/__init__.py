@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, conversations, filter_audit, neardup, packing, quality, secrets, sharding, token_store, topk, toxicity, warc
+from . import bpe, conversations, extract, filter_audit, neardup, packing, quality, secrets, sharding, token_store, topk, toxicity, warc
 
-MODULES = (secrets, neardup, toxicity, warc, token_store, quality, sharding, bpe, packing, topk, filter_audit, conversations)
+MODULES = (secrets, neardup, toxicity, warc, token_store, quality, sharding, bpe, packing, topk, filter_audit, extract, conversations)
 
 
 def queries() -> dict:
