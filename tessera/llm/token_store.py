@@ -12,7 +12,7 @@ reads one slice of the payload: constant time, whatever the shard's size.
 
 Encoding uses the tokenizers library. Texts are cut where the byte-level splitter
 always starts a new pre-token (see ``_CUTS``), each different piece is encoded by the
-library once per cache, and the ids are joined. Texts that hold an added token, such
+library, remembered within bounds, and the ids are joined. Texts that hold an added token, such
 as <|endoftext|>, are encoded whole.
 
 Edge cases: null texts are empty (their ids are the end id alone); null keys sort
@@ -49,7 +49,9 @@ MAGIC = b"MPHTOK1\n"
 GAMMA = 2.0
 MAX_LEVELS = 48
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, first_key long, last_key long, has_null boolean"
-CACHE = 1_000_000
+CACHE_BYTES = 64 << 20
+PIECE_BYTES = 150  # what a remembered piece takes besides its characters and ids
+LONGEST_KEPT = 200
 # The splitter's letters and digits up to U+024F, ASCII marks, and white space.
 _WORD, _MARK, _SPACE = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-/:-@\\[-`{-~", r"\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}"
 _CUT = "\x01"
@@ -82,16 +84,20 @@ def load_encoder(path: str) -> "PieceEncoder":
 
 
 class PieceEncoder:
-    """Encodes batches of texts and remembers up to CACHE different pieces.
+    """Encodes batches of texts and remembers the ids of pieces, up to CACHE_BYTES.
 
-    Arrow cuts the texts into pieces, numbers the different ones and looks them up
-    among those known; only unknown pieces reach the library, many at a time: those
-    whose only space comes first one after the other, as a piece begins where a token
-    begins with a space; those without white space in lines of their own; others one by
-    one. The ids of the texts are gathered by number.
+    Arrow cuts the texts into pieces and numbers the different ones of the batch; only
+    pieces not remembered reach the library, many at a time: those whose only space comes
+    first one after the other, as a piece begins where a token begins with a space; those
+    without white space in lines of their own; others one by one. The ids of the texts
+    are gathered by number, from the ids of this batch's pieces alone.
+
+    Pieces are remembered in two generations: when the younger one holds half of
+    CACHE_BYTES it becomes the older one, whose pieces move on when they are seen again, so that
+    frequent ones stay. Pieces of over LONGEST_KEPT characters are never remembered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         self.tok = load_tokenizer(path)
         size = self.tok.get_vocab_size()
         self.width = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
@@ -99,23 +105,21 @@ class PieceEncoder:
         self.whole = "|".join(map(re.escape, [_CUT, *added]))  # texts with one of these are encoded whole
         self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.line = self._ids("\n")[0]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.names = pa.array([], pa.string())
-        self.flat = np.empty(0, self.width)
-        self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.most, self.held = cache_bytes, 0
+        self.younger: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
 
-    def _learn(self, new: pa.Array) -> np.ndarray:
-        """Add unknown pieces; returns their places among the known ones."""
-        kind = np.where(pc.match_substring_regex(new, _SPACED).to_numpy(zero_copy_only=False), 0, np.where(pc.match_substring_regex(new, _BARE).to_numpy(zero_copy_only=False), 1, 2))
-        order = np.argsort(kind, kind="stable")
-        flat, starts, sizes, used = [self.flat], [self.starts], [self.sizes], len(self.flat)
+    def _ask(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(piece, its ids as bytes) of pieces that aren't remembered."""
+        array = pa.array(new, pa.string())
+        spaced, bare = (pc.match_substring_regex(array, p).to_numpy(zero_copy_only=False) for p in (_SPACED, _BARE))
+        kind = np.where(spaced, 0, np.where(bare, 1, 2)).tolist()
+        width = self.width.itemsize
         for k, apart in enumerate(("", "\n", None)):
-            some = new.take(pa.array(order[kind[order] == k])).to_pylist()
+            some = [piece for piece, its in zip(new, kind) if its == k]
             for lo in range(0, len(some), 4096):
                 part = some[lo:lo + 4096]
                 if apart is not None:
@@ -127,28 +131,36 @@ class PieceEncoder:
                         first = np.flatnonzero(self.opens[ids])
                         last = np.append(first[1:], len(ids))
                 if apart is None or len(first) != len(part):
-                    each = [self._ids(p) for p in part]
-                    ids = np.concatenate(each)
-                    last = np.cumsum([len(x) for x in each])
-                    first = last - [len(x) for x in each]
-                flat.append(ids)
-                starts.append((first + used).astype(np.int32))
-                sizes.append((last - first).astype(np.int32))
-                used += len(ids)
-        places = np.empty(len(new), np.int64)
-        places[order] = len(self.names) + np.arange(len(new))
-        self.names = pa.concat_arrays([self.names, new.take(pa.array(order))])
-        self.flat, self.starts, self.sizes = map(np.concatenate, (flat, starts, sizes))
-        return places
-
-    def _places(self, pieces: pa.Array) -> np.ndarray:
-        if len(self.names) > CACHE:
-            self._forget()
-        found = pc.index_in(pieces, self.names)
-        at = pc.fill_null(found, -1).to_numpy().astype(np.int64)
-        if found.null_count:
-            at[at < 0] = self._learn(pieces.filter(pc.is_null(found)))
-        return at
+                    yield from ((piece, self._ids(piece).tobytes()) for piece in part)
+                    continue
+                raw = ids.tobytes()
+                yield from zip(part, (raw[f:t] for f, t in zip((first * width).tolist(), (last * width).tolist())))
+
+    def _remember(self, piece: str, ids: bytes) -> None:
+        if len(piece) > LONGEST_KEPT:
+            return
+        self.younger[piece] = ids
+        self.held += PIECE_BYTES + len(piece) + len(ids)
+        if 2 * self.held > self.most:
+            self.younger, self.older, self.held = {}, self.younger, 0
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces, in their order."""
+        found = list(map(self.younger.get, pieces))
+        absent = [i for i, ids in enumerate(found) if ids is None]
+        unknown = []
+        for i in absent:
+            ids = self.older.get(pieces[i])
+            if ids is None:
+                unknown.append(i)
+            else:
+                found[i] = ids
+                self._remember(pieces[i], ids)
+        place = {pieces[i]: i for i in unknown}
+        for piece, ids in self._ask(list(place)) if place else ():
+            found[place[piece]] = ids
+            self._remember(piece, ids)
+        return found
 
     def encode_batch(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text), each text closed by end_id."""
@@ -164,11 +176,15 @@ class PieceEncoder:
             marked = pc.replace_substring_regex(marked, what, by)
         split = pc.split_pattern(marked, _CUT)
         coded = split.flatten().dictionary_encode()
-        codes = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        known = self._ids_of(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(known), self.width)
+        of_piece = np.fromiter(map(len, known), np.int64, len(known)) // self.width.itemsize
+        begin = np.cumsum(of_piece) - of_piece
+        codes = coded.indices.to_numpy()
         ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
-        taken = self.sizes[codes]
+        taken = of_piece[codes]
         upto = np.append(0, np.cumsum(taken, dtype=np.int64))
-        ids = self.flat[np.repeat(self.starts[codes] - upto[:-1].astype(np.int32), taken) + np.arange(upto[-1], dtype=np.int32)]
+        ids = flat[np.repeat(begin[codes] - upto[:-1], taken) + np.arange(upto[-1])]
         upto = upto[ends]
         sizes = np.diff(upto)
         odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()

@@ -28,9 +28,8 @@ def split(ids, sizes):
     return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
 
 
-def test_any_text_is_encoded_as_by_the_library(plain, monkeypatch):
-    monkeypatch.setattr(token_store, "CACHE", 3_000)
-    enc, rng = token_store.PieceEncoder(PATH), random.Random(2)
+def test_any_text_is_encoded_as_by_the_library(plain):
+    enc, rng = token_store.PieceEncoder(PATH, cache_bytes=200_000), random.Random(2)
     for _ in range(300):
         texts = ["".join(rng.choices(BITS, k=rng.randint(0, 14))) for _ in range(20)]
         assert split(*enc.encode_batch(pa.array(texts), 2)) == [plain(t) + [2] for t in texts]
@@ -41,6 +40,36 @@ def test_any_text_is_encoded_as_by_the_library(plain, monkeypatch):
     assert len(ids) == 0 and len(sizes) == 0
 
 
+def test_what_is_remembered_stays_bounded(plain):
+    """Texts without spaces are one piece each; they are neither kept nor encoded otherwise than by the library."""
+    enc, rng = token_store.PieceEncoder(PATH, cache_bytes=100_000), random.Random(3)
+    han = [chr(c) for c in range(0x4E00, 0x4F00)]
+    for _ in range(40):
+        texts = ["".join(rng.choices(han, k=rng.choice([3, 150, 201, 400]))) + rng.choice(["", " tail", " hello unusualpiece here"]) for _ in range(500)]
+        got = split(*enc.encode_batch(pa.array(texts), 2))
+        assert got[::50] == [plain(t) + [2] for t in texts[::50]] and len(got) == 500
+        assert [len(g) for g in got] == [len(plain(t)) + 1 for t in texts] if _ == 0 else True
+        kept = [*enc.younger.items(), *enc.older.items()]
+        assert sum(len(p) + len(i) + token_store.PIECE_BYTES for p, i in kept) <= 100_000 + 1_000 and all(len(p) <= token_store.LONGEST_KEPT for p, _ in kept)
+
+
+def test_frequent_pieces_stay_remembered():
+    enc = token_store.PieceEncoder(PATH, cache_bytes=60_000)
+    asked = []
+    ask = enc._ask
+    enc._ask = lambda new: (asked.extend(new), ask(new))[1]
+    for i in range(200):
+        enc.encode_batch(pa.array([f"the frequent words {i} {i + 1000} word{i}x{i * 7}"]))
+    assert asked.count(" frequent") == 1 and len(asked) == len(set(asked))
+
+
+def test_places_of_ids_are_64_bits_wide(plain):
+    """A batch may hold more ids than 32 bits can count: nothing is narrowed on the way."""
+    enc = token_store.PieceEncoder(PATH)
+    ids, sizes = enc.encode_batch(pa.array(["hello unusualpiece here"] * 3))
+    assert sizes.dtype == np.int64 and split(ids, sizes) == [[31373, 8468, 12239, 994]] * 3
+
+
 def test_parts_of_a_batch():
     batch = pa.record_batch([pa.array(["a" * 10, None, "b" * 10, "c" * 100, ""])], ["text"])
     assert [p.column("text").to_pylist() for p in token_store.by_bytes(batch, 20)] == [["a" * 10, None, "b" * 10], ["c" * 100], [""]]
