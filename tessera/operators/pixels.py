@@ -128,17 +128,33 @@ def flatten(px: DataFrame, colour: tuple[int, int, int]) -> DataFrame:
     return px.withColumns({c: F.expr(f"(({c} * a) div 255) + ({v} * (255 - a)) div 255").cast("int") for c, v in zip(CH, colour)} | {"a": F.lit(255)})
 
 
+# ---- sizes --------------------------------------------------------------
+
+def sizes(px: DataFrame) -> DataFrame:
+    """img_id, w and h of every image."""
+    return px.groupBy("img_id").agg((F.max("x") + 1).cast("int").alias("w"), (F.max("y") + 1).cast("int").alias("h"))
+
+
+def sized(px: DataFrame, w: int | None = None, h: int | None = None) -> DataFrame:
+    """The pixels with the size of their image as __w and __h: one given size for all
+    images, or each image's own (from a small table, joined by img_id)."""
+    if w is not None and h is not None:
+        return px.withColumns({"__w": F.lit(w), "__h": F.lit(h)})
+    own = sizes(px).select(F.col("img_id").alias("__img"), F.col("w").alias("__w") if w is None else F.lit(w).alias("__w"), F.col("h").alias("__h") if h is None else F.lit(h).alias("__h"))
+    return px.join(own, F.col("img_id").eqNullSafe(F.col("__img"))).drop("__img")
+
+
 # ---- drawing ------------------------------------------------------------
 
 def _paint(px: DataFrame, where: Column, colour: tuple[int, int, int]) -> DataFrame:
     return px.withColumns({c: F.when(where, F.lit(v)).otherwise(F.col(c)) for c, v in zip((*CH, "a"), (*colour, 255))})
 
 
-def border(px: DataFrame, w: int, h: int, colour: tuple[int, int, int], thickness: int = 5, radius: float = 0.0) -> DataFrame:
-    """A border along the edges; with a radius, corners are rounded along with it."""
+def border(px: DataFrame, w: int | None = None, h: int | None = None, colour: tuple[int, int, int] = (0, 0, 0), thickness: int = 5, radius: float = 0.0) -> DataFrame:
+    """A border along the edges of each image; with a radius, corners are rounded along with it."""
     x, y, t = F.col("x"), F.col("y"), thickness
-    framed = _paint(px, (x < t) | (y < t) | (x >= w - t) | (y >= h - t), colour)
-    return round_corners(framed, w, h, radius, thickness, colour) if radius > 0 else framed
+    framed = _paint(sized(px, w, h), (x < t) | (y < t) | (x >= F.col("__w") - t) | (y >= F.col("__h") - t), colour)
+    return (_round_sized(framed, radius, thickness, colour) if radius > 0 else framed).drop("__w", "__h")
 
 
 def on_grid(size: int, thickness: int) -> Column:
@@ -160,11 +176,16 @@ def grid(px: DataFrame, colour: tuple[int, int, int] = (93, 63, 211), size: int
 OFFSETS = (-0.375, -0.125, 0.125, 0.375)
 
 
-def round_corners(px: DataFrame, w: int, h: int, radius: float, thickness: int = 0, colour: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
-    """Transparent outside the corner discs; near the edge, alpha by 4 x 4 samples
-    of which 8 count as full cover. With a thickness, a ring of the colour follows the
-    edge, and what a straight border of that colour left inside the ring is cleared."""
+def round_corners(px: DataFrame, w: int | None = None, h: int | None = None, radius: float = 20.0, thickness: int = 0, colour: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+    """Transparent outside the corner discs of each image; near the edge, alpha by 4 x 4
+    samples of which 8 count as full cover. With a thickness, a ring of the colour follows
+    the edge, and what a straight border of that colour left inside the ring is cleared."""
+    return _round_sized(sized(px, w, h), radius, thickness, colour).drop("__w", "__h")
+
+
+def _round_sized(px: DataFrame, radius: float, thickness: int, colour: tuple[int, int, int]) -> DataFrame:
     x, y, rho = F.col("x").cast("double"), F.col("y").cast("double"), float(radius)
+    w, h = F.col("__w"), F.col("__h")
     left, right, top, bottom = x < rho, x > w - rho, y < rho, y > h - rho
     corner = (left | right) & (top | bottom)
     # one column each, so that the samples don't repeat the choice of a corner
@@ -195,37 +216,38 @@ def round_corners(px: DataFrame, w: int, h: int, radius: float, thickness: int =
 
 # ---- coordinates --------------------------------------------------------
 
-def flip(px: DataFrame, w: int) -> DataFrame:
-    return px.withColumn("x", w - 1 - F.col("x"))
+def flip(px: DataFrame, w: int | None = None) -> DataFrame:
+    return sized(px, w, 0).withColumn("x", F.col("__w") - 1 - F.col("x")).drop("__w", "__h")
 
 
-def mirror(px: DataFrame, w: int) -> DataFrame:
+def mirror(px: DataFrame, w: int | None = None) -> DataFrame:
     """The left half and its mirror image; an odd last column stays empty."""
-    half = w // 2
-    return px.filter(F.col("x") < half).withColumn("x", F.explode(F.array(F.col("x"), 2 * half - 1 - F.col("x"))))
+    half = F.expr("__w div 2").cast("int")
+    return sized(px, w, 0).filter(F.col("x") < half).withColumn("x", F.explode(F.array(F.col("x"), 2 * half - 1 - F.col("x")))).drop("__w", "__h")
 
 
-def pixelate(px: DataFrame, w: int, h: int, percent: float = 15.0) -> DataFrame:
+def pixelate(px: DataFrame, w: int | None = None, h: int | None = None, percent: float = 15.0) -> DataFrame:
     """Nearest-neighbour downscale and back. Each source pixel that is looked up goes to
-    the pixels that show it: their coordinates are known from the sizes alone, so there
-    is no join and no shuffle."""
+    the pixels that show it: their coordinates follow from the sizes alone, so pixels
+    are neither joined with pixels nor shuffled.
+
+    A pixel v of a side of n shows small pixel t = v * m div n of m = round(n * k), and this
+    shows source pixel floor(t / k). As k is at most 1/4, a source pixel has at most one t."""
     if not 1 <= percent <= 25:
         raise ValueError("percent must be in [1, 25]")
     k = percent / 100
 
-    def shown(size: int) -> dict[int, list[int]]:
-        small, out = round(size * k), {}
-        for v in range(size):
-            out.setdefault(int(v * small // size / k), []).append(v)
-        return {s: v for s, v in out.items() if s < size}
-
-    def targets(c: str, size: int) -> Column:
-        places = shown(size)
-        first = F.create_map(*[F.lit(x) for s, v in places.items() for x in (s, v[0])])
-        last = F.create_map(*[F.lit(x) for s, v in places.items() for x in (s, v[-1])])
-        return F.when(F.col(c).isin(*places), F.sequence(first[F.col(c)], last[F.col(c)]))
-
-    wide = px.withColumns({"__xs": targets("x", w), "__ys": targets("y", h)}).filter("__xs is not null and __ys is not null")
+    def targets(c: str, side: str) -> Column:
+        n = F.col(side).cast("long")
+        m = F.greatest(F.rint(n * F.lit(k)).cast("long"), F.lit(1))
+        near = F.ceil(F.col(c) * F.lit(k))
+        t = F.filter(F.array(near - 1, near, near + 1), lambda t: (t >= 0) & (t < m) & (F.floor(t / F.lit(k)) == F.col(c)))
+        first = lambda t: F.floor((t * n + m - 1) / m)
+        places = F.transform(t, lambda t: F.struct(first(t).alias("lo"), (first(t + 1) - 1).alias("hi")))
+        shown = F.flatten(F.transform(places, lambda p: F.when(p.lo <= p.hi, F.sequence(p.lo, p.hi)).otherwise(F.array().cast("array<bigint>"))))
+        return shown.cast("array<int>")
+
+    wide = sized(px, w, h).withColumns({"__xs": targets("x", "__w"), "__ys": targets("y", "__h")}).filter((F.size("__xs") > 0) & (F.size("__ys") > 0))
     return wide.withColumn("x", F.explode("__xs")).withColumn("y", F.explode("__ys")).select("img_id", "x", "y", *CH, "a")
 
 
@@ -436,47 +458,12 @@ BACKGROUND = {
 }
 
 
-def gradient(spark, w: int, h: int, colours: list[tuple[int, int, int]], degrees: float = 0.0) -> DataFrame:
-    """A linear RGB gradient of evenly spaced colours."""
-    if len(colours) < 2 or w < 1 or h < 1:
-        raise ValueError("a gradient needs two colours and a positive size")
-    cos, sin = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    half = (abs(w * cos) + abs(h * sin)) / 2
-    at = spark.range(w * h).select((F.col("id") % w).cast("int").alias("x"), F.expr(f"cast(id div {w} as int)").alias("y"))
-    t = ((F.col("x") - w / 2) * F.lit(cos) + (F.col("y") - h / 2) * F.lit(sin) + F.lit(half)) / F.lit(2 * half)
-    at = at.withColumn("t", F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)))
-    n = len(colours) - 1
-    seg = F.least(F.floor(F.col("t") * n).cast("int"), F.lit(n - 1))
-    at = at.withColumn("seg", seg).withColumn("f", F.col("t") * n - F.col("seg"))
-    pick = lambda k, s: F.element_at(F.array(*[F.lit(float(c[k])) for c in colours]), F.col("seg") + 1 + s)
-    return at.select("x", "y", *[F.round(pick(k, 0) + (pick(k, 1) - pick(k, 0)) * F.col("f")).cast("int").alias(c) for k, c in enumerate(CH)])
-
-
 # ---- composition --------------------------------------------------------
 
-def stack(px: DataFrame, dims: DataFrame, rows: int, cols: int, gap: int, colour: tuple[int, int, int]) -> DataFrame:
-    """Place images in a grid with coloured gutters. Images (column pos in dims,
-    0-based) are centred in cells of the largest width and height."""
-    cell = dims.agg(F.max("w").alias("cw"), F.max("h").alias("ch"), F.count("*").alias("n")).first()
-    cw, ch = cell["cw"], cell["ch"]
-    if cell["n"] > rows * cols:
-        raise ValueError("more images than cells")
-    placed = px.join(dims, "img_id")
-    ox = F.expr(f"(pos % {cols}) * {cw + gap} + {gap} + ({cw} - w) div 2")
-    oy = F.expr(f"(pos div {cols}) * {ch + gap} + {gap} + ({ch} - h) div 2")
-    images = placed.select((F.col("x") + ox).cast("int").alias("x"), (F.col("y") + oy).cast("int").alias("y"), *CH, "a", F.lit(1).alias("layer"))
-    width, height = cols * cw + (cols + 1) * gap, rows * ch + (rows + 1) * gap
-    canvas = px.sparkSession.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.expr(f"cast(id div {width} as int)").alias("y"))
-    gutter = (F.col("x") % (cw + gap) < gap) | (F.col("y") % (ch + gap) < gap)
-    ground = canvas.select("x", "y", *[F.when(gutter, v).otherwise(0).alias(c) for c, v in zip((*CH, "a"), (*colour, 255))], F.lit(0).alias("layer"))
-    top = ground.unionByName(images).groupBy("x", "y").agg(F.max(F.struct("layer", *CH, "a")).alias("s"))
-    return top.select("x", "y", *[F.col(f"s.{c}").alias(c) for c in (*CH, "a")])
-
-
 def stack_sheets(px: DataFrame, dims: DataFrame, rows: int, cols: int, gap: int, colour: tuple[int, int, int]) -> DataFrame:
-    """``stack`` over any number of images: column pos of dims runs over all sheets,
-    each of which takes rows * cols images and has cells of its own largest width
-    and height. Adds the column sheet."""
+    """Place any number of images in grids with coloured gutters, centred in their cells:
+    column pos of dims runs over all sheets, each of which takes rows * cols images and
+    has cells of its own largest width and height. Adds the column sheet."""
     per = rows * cols
     dims = dims.select("img_id", "w", "h", F.expr(f"pos div {per}").alias("sheet"), (F.col("pos") % per).alias("pos"))
     cell = dims.groupBy("sheet").agg(F.max("w").alias("cw"), F.max("h").alias("ch"))

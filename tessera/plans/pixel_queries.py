@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pixels as P, rasters as R
-from ..sources.derive import NORD, PX_SQL, patches, px, read
+from ..sources.derive import NORD, PX_SQL, SIZED_SQL, patches, px, read
 
-W = H = 50
 BASE = "WITH " + PX_SQL + "\n"
+SIZED = "WITH " + SIZED_SQL + "\n"
 KEY = ["img_id", "x", "y"]
 OUT = [*KEY, "r", "g", "b", "a"]
 SRC, TO = (100, 120, 140), (10, 200, 30, 255)
@@ -51,16 +51,8 @@ def _replace(p):
     return P.replace_colour(p, SRC, TO, 60.0).select(*OUT)
 
 
-def _dims(p):
-    return p.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).filter("img_id < 4").withColumn("pos", F.col("img_id").cast("int"))
-
-
-def _stack(p):
-    return P.stack(p.filter("img_id < 4"), _dims(p), 2, 2, 3, (9, 8, 7))
-
-
 def _sheets(p):
-    dims = p.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).withColumn("pos", F.col("img_id"))
+    dims = P.sizes(p).withColumn("pos", F.col("img_id"))
     return P.stack_sheets(p, dims, 2, 2, 3, (9, 8, 7))
 
 
@@ -89,10 +81,6 @@ def _counts(p):
     return P.nearest(p, NORD).groupBy("idx").agg(F.count("*").alias("n"))
 
 
-def _swatch(s, d):
-    return P.palette_swatch(s, NORD[:4], 10, 5)
-
-
 QUERIES = {
     "px_nearest_counts": on(_counts),
     "px_grayscale": on(P.grayscale),
@@ -104,13 +92,13 @@ QUERIES = {
     "px_invert": on(P.invert),
     "px_replace": on(_replace),
     "px_nearest": on(lambda p: P.nearest(p, NORD).select(*KEY, "idx", "r", "g", "b")),
-    "px_flip": on(lambda p: P.flip(p, W)),
-    "px_mirror": on(lambda p: P.mirror(p, W)),
-    "px_pixelate": on(lambda p: P.pixelate(p, W, H, 15)),
-    "px_border": on(lambda p: P.border(p, W, H, (1, 2, 3), 5)),
+    "px_flip": on(lambda p: P.flip(p)),
+    "px_mirror": on(lambda p: P.mirror(p)),
+    "px_pixelate": on(lambda p: P.pixelate(p, percent=15)),
+    "px_border": on(lambda p: P.border(p, colour=(1, 2, 3), thickness=5)),
     "px_grid": on(lambda p: P.grid(p, size=8)),
     "px_grid_mask": on(lambda p: P.grid(p, size=8, mask_only=True)),
-    "px_round": on(lambda p: P.round_corners(p, W, H, 20)),
+    "px_round": on(lambda p: P.round_corners(p, radius=20)),
     "px_mask_apply": on(lambda p: P.apply_mask(p, _mask(p)).select(*OUT)),
     "px_flatten": on(lambda p: P.flatten(p, (255, 255, 255))),
     "bbox_trim": on(P.bounding_box),
@@ -121,30 +109,25 @@ QUERIES = {
     "minmax_norm": lambda s, d: P.min_max(patches(s, d)).withColumn("v", F.round("v", 6)),
     "nearest_centroid": on(_centroid),
     "nearest_centroid_per_image": on(_centroid_per_image),
-    "clut_identity": lambda s, d: P.identity_cube(s, 4),
     "clut_identity_8": lambda s, d: P.identity_cube(s, 8),
     "clut_index": on(lambda p: P.cube_index(p).select(*KEY, "r6", "g6", "b6")),
     "clut_apply": on(lambda p: P.recolour(p, NORD)),
-    "gradient_rgb": lambda s, d: P.gradient(s, 192, 10, [(0, 0, 0), (255, 128, 0), (255, 255, 255)]),
-    "stack_pixels": on(_stack),
     "stack_sheets": on(_sheets),
     "pad_dims": _pad,
-    "palette_swatch": _swatch,
     "palette_swatch_nord": lambda s, d: P.palette_swatch(s, NORD, 10, 5),
     # sequential within an image: no SQL form
     "median_cut": on(lambda p: R.extract_palette(P.histogram(p))),
     "kmeans_background": on(lambda p: P.kmeans_background(p, (60, 60, 60), (200, 200, 200)).select(*KEY, "cluster", "a")),
     "gif_dither": on(R.dither),
-    "rotate_bilinear": on(lambda p: R.rotate(p, 30.0)),
     "tilt": on(lambda p: R.tilt(p, 5.0, 5.0)),
     "resize_lanczos": on(lambda p: R.resize(p, 25, 0)),
     "png_round_trip": on(lambda p: R.decode_png(R.encode_png(p))),
 }
 
 
-def _paint_sql(where: str, c: tuple) -> str:
+def _paint_sql(where: str, c: tuple, base: str = BASE, pixels: str = "px") -> str:
     parts = ", ".join(f"CASE WHEN {where} THEN {v} ELSE {n} END AS {n}" for n, v in zip("rgba", (*c, 255)))
-    return f"{BASE}SELECT img_id, x, y, {parts} FROM px"
+    return f"{base}SELECT img_id, x, y, {parts} FROM {pixels}"
 
 
 def _lut_sql(expr: str) -> str:
@@ -155,11 +138,11 @@ def _lut_sql(expr: str) -> str:
 
 def _round_sql() -> str:
     rho = 20.0
-    cond = f"((x < {rho} OR x > {W} - {rho}) AND (y < {rho} OR y > {H} - {rho}))"
+    cond = f"((x < {rho} OR x > w - {rho}) AND (y < {rho} OR y > h - {rho}))"
     offs = (-0.375, -0.125, 0.125, 0.375)
     n = " + ".join(f"CASE WHEN (dx+({ox}::DOUBLE))*(dx+({ox}::DOUBLE))+(dy+({oy}::DOUBLE))*(dy+({oy}::DOUBLE)) <= {rho * rho} THEN 1 ELSE 0 END" for ox in offs for oy in offs)
-    return f"""{BASE.rstrip()},
-c AS (SELECT *, {cond} AS corner, (CASE WHEN x < {rho} THEN x - {rho} ELSE x - {W - rho} END)::DOUBLE AS dx, (CASE WHEN y < {rho} THEN y - {rho} ELSE y - {H - rho} END)::DOUBLE AS dy FROM px),
+    return f"""{SIZED.rstrip()},
+c AS (SELECT *, {cond} AS corner, (CASE WHEN x < {rho} THEN x - {rho} ELSE x - (w - {rho}) END)::DOUBLE AS dx, (CASE WHEN y < {rho} THEN y - {rho} ELSE y - (h - {rho}) END)::DOUBLE AS dy FROM spx),
 s AS (SELECT *, dx*dx+dy*dy AS d2, {n} AS n FROM c),
 k AS (SELECT *, corner AND (d2 > {rho * rho} OR (d2 > {(rho - 4) ** 2} AND n = 0)) AS gone, corner AND d2 > {(rho - 4) ** 2} AND n < 8 AS partly FROM s)
 SELECT img_id, x, y, CASE WHEN gone THEN 0 ELSE r END AS r, CASE WHEN gone THEN 0 ELSE g END AS g, CASE WHEN gone THEN 0 ELSE b END AS b,
@@ -178,11 +161,12 @@ SQL = {
 w AS (SELECT *, CASE WHEN d > {60.0 * 3 ** 0.5!r}::DOUBLE THEN 0.0::DOUBLE ELSE 1 - d / {60.0 * 3 ** 0.5!r}::DOUBLE END AS w FROM d)
 SELECT img_id, x, y, """ + ", ".join(f"CASE WHEN w > 0 THEN cast(round((1-w)*{c}+w*{v}) AS INT) ELSE {c} END AS {c}" for c, v in zip("rgba", TO)) + " FROM w",
     "px_nearest": _near_sql() + "SELECT img_id, x, y, idx, r, g, b FROM n",
-    "px_flip": BASE + f"SELECT img_id, {W - 1}-x AS x, y, r, g, b, a FROM px",
-    "px_mirror": BASE + f"SELECT img_id, x, y, r, g, b, a FROM px WHERE x < {W // 2} UNION ALL SELECT img_id, {W // 2 * 2 - 1}-x AS x, y, r, g, b, a FROM px WHERE x < {W // 2}",
-    "px_pixelate": f"""{BASE.rstrip()}, t AS (SELECT img_id, x, y, cast(floor((x*8//50)/0.15::DOUBLE) AS INT) AS sx, cast(floor((y*8//50)/0.15::DOUBLE) AS INT) AS sy FROM px)
+    "px_flip": SIZED + "SELECT img_id, cast(w-1-x AS INT) AS x, y, r, g, b, a FROM spx",
+    "px_mirror": SIZED + "SELECT img_id, x, y, r, g, b, a FROM spx WHERE x < w//2 UNION ALL SELECT img_id, cast(w//2*2-1-x AS INT) AS x, y, r, g, b, a FROM spx WHERE x < w//2",
+    "px_pixelate": f"""{SIZED.rstrip()}, m AS (SELECT *, greatest(1, round_even(w*0.15::DOUBLE, 0)) AS mw, greatest(1, round_even(h*0.15::DOUBLE, 0)) AS mh FROM spx),
+t AS (SELECT img_id, x, y, cast(floor(floor(x*mw/w)/0.15::DOUBLE) AS INT) AS sx, cast(floor(floor(y*mh/h)/0.15::DOUBLE) AS INT) AS sy FROM m)
 SELECT t.img_id, t.x, t.y, p.r, p.g, p.b, p.a FROM t JOIN px p ON p.img_id = t.img_id AND p.x = t.sx AND p.y = t.sy""",
-    "px_border": _paint_sql(f"x < 5 OR y < 5 OR x >= {W - 5} OR y >= {H - 5}", (1, 2, 3)),
+    "px_border": _paint_sql("x < 5 OR y < 5 OR x >= w - 5 OR y >= h - 5", (1, 2, 3), SIZED, "spx"),
     "px_grid": _paint_sql("x % 8 < 1 OR y % 8 < 1", (93, 63, 211)),
     "px_grid_mask": BASE + "SELECT img_id, x, y, " + ", ".join(f"CASE WHEN a < 128 THEN CASE WHEN x % 8 < 1 OR y % 8 < 1 THEN {v} ELSE 0 END ELSE {c} END AS {c}" for c, v in zip("rgba", (93, 63, 211, 255))) + " FROM px",
     "px_round": _round_sql(),
@@ -204,19 +188,9 @@ SELECT img_id, x, y, cluster, CASE WHEN (cluster = 1) = one THEN 0 ELSE 255 END
     "nearest_centroid_per_image": BASE.rstrip() + """, c AS (SELECT img_id, x, y, CASE WHEN (r-200)*(r-200)+(g-200)*(g-200)+(b-200)*(b-200) < (r-60)*(r-60)+(g-60)*(g-60)+(b-60)*(b-60) THEN 1 ELSE 0 END AS cluster FROM px),
 k AS (SELECT img_id, count(*) FILTER (cluster = 1) > count(*) FILTER (cluster = 0) AS one FROM c GROUP BY img_id)
 SELECT img_id, x, y, cluster, CASE WHEN (cluster = 1) = one THEN 0 ELSE 255 END AS a FROM c JOIN k USING (img_id)""",
-    "clut_identity": "SELECT i, cast(i % 64 AS INT) AS x, cast(i // 64 AS INT) AS y, cast((i % 16) * 255 // 15 AS INT) AS r, cast(((i // 16) % 16) * 255 // 15 AS INT) AS g, cast((i // 256) * 255 // 15 AS INT) AS b FROM generate_series(0, 4095) t(i)",
     "clut_identity_8": "SELECT i, cast(i % 512 AS INT) AS x, cast(i // 512 AS INT) AS y, cast((i % 64) * 255 // 63 AS INT) AS r, cast(((i // 64) % 64) * 255 // 63 AS INT) AS g, cast((i // 4096) * 255 // 63 AS INT) AS b FROM generate_series(0, 262143) t(i)",
     "clut_index": BASE + "SELECT img_id, x, y, cast(r*63//255 AS INT) AS r6, cast(g*63//255 AS INT) AS g6, cast(b*63//255 AS INT) AS b6 FROM px",
     "clut_apply": _rbf_sql(),
-    "gradient_rgb": """WITH p AS (SELECT cast(i % 192 AS INT) AS x, cast(i // 192 AS INT) AS y FROM generate_series(0, 1919) t(i)),
-t AS (SELECT x, y, least(greatest(((x - 96) + 96.0::DOUBLE) / 192.0::DOUBLE, 0), 1) * 2 AS u FROM p),
-s AS (SELECT x, y, least(cast(floor(u) AS INT), 1) AS k, u - least(cast(floor(u) AS INT), 1) AS f FROM t)
-SELECT x, y, cast(round(CASE WHEN k = 0 THEN 255 * f ELSE 255 END) AS INT) AS r, cast(round(CASE WHEN k = 0 THEN 128 * f ELSE 128 + 127 * f END) AS INT) AS g, cast(round(CASE WHEN k = 0 THEN 0 ELSE 255 * f END) AS INT) AS b FROM s""",
-    "stack_pixels": BASE.rstrip() + """, d AS (SELECT img_id, max(x)+1 AS w, max(y)+1 AS h FROM px WHERE img_id < 4 GROUP BY img_id), m AS (SELECT max(w) AS cw, max(h) AS ch FROM d),
-i AS (SELECT cast(x + (img_id%2)*(cw+3)+3+(cw-w)//2 AS INT) AS x, cast(y + (img_id//2)*(ch+3)+3+(ch-h)//2 AS INT) AS y, r, g, b, a FROM px JOIN d USING (img_id), m),
-c AS (SELECT cast(xs.x AS INT) AS x, cast(ys.y AS INT) AS y, cw, ch FROM m, range(0, (SELECT 2*cw+9 FROM m)) xs(x), range(0, (SELECT 2*ch+9 FROM m)) ys(y))
-SELECT c.x, c.y, coalesce(i.r, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 THEN 9 ELSE 0 END) AS r, coalesce(i.g, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 THEN 8 ELSE 0 END) AS g,
- coalesce(i.b, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 THEN 7 ELSE 0 END) AS b, coalesce(i.a, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 THEN 255 ELSE 0 END) AS a FROM c LEFT JOIN i ON c.x = i.x AND c.y = i.y""",
     "stack_sheets": BASE.rstrip() + """, d AS (SELECT img_id, img_id // 4 AS sheet, img_id % 4 AS pos, max(x)+1 AS w, max(y)+1 AS h FROM px GROUP BY img_id), m AS (SELECT sheet, max(w) AS cw, max(h) AS ch FROM d GROUP BY sheet),
 i AS (SELECT sheet, cast(x + (pos%2)*(cw+3)+3+(cw-w)//2 AS INT) AS x, cast(y + (pos//2)*(ch+3)+3+(ch-h)//2 AS INT) AS y, r, g, b, a FROM px JOIN d USING (img_id) JOIN m USING (sheet)),
 k AS (SELECT sheet, cw, ch, unnest(range(0, (2*cw+9)*(2*ch+9))) AS k FROM m),
@@ -226,6 +200,5 @@ SELECT c.sheet, c.x, c.y, coalesce(i.r, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 T
     "pad_dims": """WITH d AS (SELECT o_orderkey AS img_id, 1+o_orderkey%97 AS w, 1+o_custkey%89 AS h FROM orders),
 s AS (SELECT img_id, cast(floor(w*least(60.0::DOUBLE/w, 40.0::DOUBLE/h)) AS INT) AS nw, cast(floor(h*least(60.0::DOUBLE/w, 40.0::DOUBLE/h)) AS INT) AS nh FROM d)
 SELECT img_id, nw, nh, cast((60-nw)//2 AS INT) AS ox, cast((40-nh)//2 AS INT) AS oy FROM s""",
-    "palette_swatch": f"WITH {_palette_sql()} SELECT cast(i % 40 AS INT) AS x, cast(i // 40 AS INT) AS y, pr AS r, pg AS g, pb AS b FROM generate_series(0, 199) t(i) JOIN pal ON idx = (i % 40) // 10",
     "palette_swatch_nord": f"WITH {_palette_sql()} SELECT cast(i % 160 AS INT) AS x, cast(i // 160 AS INT) AS y, pr AS r, pg AS g, pb AS b FROM generate_series(0, 799) t(i) JOIN pal ON idx = (i % 160) // 10",
 }

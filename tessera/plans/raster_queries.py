@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import gradients as G, pixels as P, rasters as R
-from ..sources.derive import NORD, PX_SQL, px, read
+from ..sources.derive import NORD, PX_SQL, SIZED_SQL, px, read
 
 BASE = "WITH " + PX_SQL
 OUT = ["img_id", "x", "y", "r", "g", "b", "a"]
@@ -56,7 +56,7 @@ QUERIES = {
     "px_convert_nn": on(lambda p: P.convert(p, NORD, "nn").select(*OUT)),
     "px_convert_clut": on(lambda p: P.convert(p, NORD, "clut").select(*OUT)),
     "clut_full": lambda s, d: P.full_cube(s, NORD),
-    "px_border_round": on(lambda p: P.border(p, 50, 50, RING, 3, 12.0)),
+    "px_border_round": on(lambda p: P.border(p, colour=RING, thickness=3, radius=12.0)),
     "px_replace_gate": on(_gate),
     "rotate": on(lambda p: R.rotate(p, 30.0)),
     "rotate_back": on(lambda p: R.rotate(p, -90.0)),
@@ -163,15 +163,14 @@ def _gradient_sql(space: str) -> str:
 
 
 def _border_round_sql() -> str:
-    w = h = 50
     rho, t, (cr, cg, cb) = 12.0, 3, RING
     offs = P.OFFSETS
     d2 = lambda ox, oy: f"(dx + ({ox}::DOUBLE)) * (dx + ({ox}::DOUBLE)) + (dy + ({oy}::DOUBLE)) * (dy + ({oy}::DOUBLE))"
     n = " + ".join(f"CASE WHEN {d2(ox, oy)} <= {rho * rho} AND {d2(ox, oy)} < {(rho - t) ** 2} THEN 1 ELSE 0 END" for ox in offs for oy in offs)
-    framed = ", ".join(f"CASE WHEN x < {t} OR y < {t} OR x >= {w - t} OR y >= {h - t} THEN {v} ELSE {c} END AS {c}" for c, v in zip("rgba", (*RING, 255)))
-    return f"""{BASE}, o AS (SELECT img_id, x, y, {framed} FROM px),
-c AS (SELECT *, (x < {rho} OR x > {w - rho}) AND (y < {rho} OR y > {h - rho}) AS corner, (CASE WHEN x < {rho} THEN x - {rho} ELSE x - {w - rho} END)::DOUBLE AS dx,
-  (CASE WHEN y < {rho} THEN y - {rho} ELSE y - {h - rho} END)::DOUBLE AS dy FROM o),
+    framed = ", ".join(f"CASE WHEN x < {t} OR y < {t} OR x >= w - {t} OR y >= h - {t} THEN {v} ELSE {c} END AS {c}" for c, v in zip("rgba", (*RING, 255)))
+    return f"""WITH {SIZED_SQL}, o AS (SELECT img_id, x, y, w, h, {framed} FROM spx),
+c AS (SELECT *, (x < {rho} OR x > w - {rho}) AND (y < {rho} OR y > h - {rho}) AS corner, (CASE WHEN x < {rho} THEN x - {rho} ELSE x - (w - {rho}) END)::DOUBLE AS dx,
+  (CASE WHEN y < {rho} THEN y - {rho} ELSE y - (h - {rho}) END)::DOUBLE AS dy FROM o),
 s AS (SELECT *, dx * dx + dy * dy AS d2, {n} AS n FROM c),
 k AS (SELECT *, corner AND d2 > {rho * rho} AS outside, corner AND d2 <= {rho * rho} AND d2 > {(rho - t) ** 2} AS ring,
   corner AND d2 > {(rho - 4) ** 2} AND d2 <= {(rho - t) ** 2} AS near, corner AND d2 <= {(rho - 4) ** 2} AS inner_ FROM s),
@@ -195,7 +194,6 @@ c AS (SELECT *, r6*255//63 AS cr, g6*255//63 AS cg, b6*255//63 AS cb FROM k) SEL
         "px_border_round": _border_round_sql(),
         "px_replace_gate": f"{BASE}, d AS (SELECT img_id, sqrt(((r-100)*(r-100)+(g-120)*(g-120)+(b-140)*(b-140))::DOUBLE) AS d FROM px) SELECT img_id, count(*) FILTER (d < {_num(8.5 * math.sqrt(3))}) AS changed, count(*) FILTER (d < {_num(8.5 * math.sqrt(3))}) = 0 AS failed FROM d GROUP BY img_id",
         "rotate": _rotate_sql(30.0),
-        "rotate_bilinear": _rotate_sql(30.0),
         "rotate_back": _rotate_sql(-90.0),
         "png_round_trip": f"{BASE} SELECT img_id, x, y, r, g, b, a FROM px",
         "tilt_slight": _tilt_sql(0.5, -0.4, 0.65),

@@ -111,7 +111,6 @@ QUERIES = {
     "feed_first_image": lambda s, d: first_wallpaper(s.range(1).select(F.lit(_FEED).alias("json"))),
     "option_merge": _options,
     "output_extension": _ext,
-    "base64_round_trip": lambda s, d: read(s, d, "documents").select("doc_id", F.base64(F.encode(F.substring("text", 1, 40), "UTF-8")).alias("b64")),
     "base64_round_trip_whole": _base64,
 }
 _HSL = """h AS (SELECT *, greatest(r,g,b) AS mx, least(r,g,b) AS mn FROM colours),
@@ -138,6 +137,5 @@ SQL = {
     "feed_first_image": "SELECT 2::INT AS pos, 'https://b/3.png' AS image_url",
     "option_merge": "SELECT c_custkey, cast(CASE WHEN c_nationkey % 3 = 0 THEN 4096 ELSE c_nationkey % 3 END AS INT) AS max_tokens FROM customer",
     "output_extension": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'webp' WHEN doc_id % 2 = 0 THEN 'jpg' ELSE 'png' END AS ext, 'a/b.c.avif' AS replaced FROM documents",
-    "base64_round_trip": "SELECT doc_id, to_base64(encode(substr(text, 1, 40))) AS b64 FROM documents",
     "base64_round_trip_whole": "SELECT doc_id, to_base64(encode(text)) AS b64, text FROM documents",
 }

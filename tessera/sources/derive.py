@@ -27,6 +27,10 @@ PX_SQL = """px AS (SELECT event_id // 2500 AS img_id, cast(event_id % 50 AS INT)
   cast((event_id * 37 + user_id * 11) % 256 AS INT) AS r, cast((event_id * 59 + user_id * 7) % 256 AS INT) AS g,
   cast((event_id * 83 + user_id * 3) % 256 AS INT) AS b, CASE WHEN event_id % 7 = 0 THEN 0 ELSE 255 END AS a FROM events)"""
 
+#: the pixels with the size of their image: spx
+SIZED_SQL = PX_SQL + """,
+sizes AS (SELECT img_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY img_id), spx AS (SELECT * FROM px JOIN sizes USING (img_id))"""
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -121,3 +121,32 @@ def test_entry_without_the_training_operators():
     code = "import sys; sys.modules['tessera.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'px_invert' in q and not any(k.startswith('op') and k[2].isdigit() for k in q)"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_drawing_follows_the_size_of_each_image(spark):
+    """Images of different sizes in one table are drawn as each of them alone with its own size."""
+    shapes = {0: (9, 7), 1: (40, 12), 2: (1, 1), 3: (23, 50), 4: (64, 64)}
+    px = spark.createDataFrame([(i, x, y, (7 * x + i) % 256, (11 * y) % 256, 90, 255) for i, (w, h) in shapes.items() for x in range(w) for y in range(h)], PX)
+    own = {r["img_id"]: (r["w"], r["h"]) for r in P.sizes(px).collect()}
+    assert own == shapes
+    calls = {
+        "border": lambda d, w, h: P.border(d, w, h, (1, 2, 3), 2), "ring": lambda d, w, h: P.border(d, w, h, (1, 2, 3), 2, 5.0), "round": lambda d, w, h: P.round_corners(d, w, h, 6),
+        "flip": lambda d, w, h: P.flip(d, w), "mirror": lambda d, w, h: P.mirror(d, w), "pixelate": lambda d, w, h: P.pixelate(d, w, h, 15),
+    }
+    cols = ["img_id", "x", "y", "r", "g", "b", "a"]
+    for name, call in calls.items():
+        together = rows(call(px, None, None).select(*cols))
+        apart = sorted(r for i, (w, h) in shapes.items() for r in rows(call(px.filter(F.col("img_id") == i), w, h).select(*cols)))
+        assert together == apart, name
+    for i, (w, h) in shapes.items():
+        last = {(r["x"], r["y"]): r["r"] for r in P.border(px, colour=(1, 2, 3), thickness=1).filter(F.col("img_id") == i).collect()}
+        assert all(last[x, h - 1] == 1 for x in range(w)) and all(last[w - 1, y] == 1 for y in range(h))
+
+
+def test_pixelate_shows_the_pixels_of_the_formula(spark):
+    for w, h, percent in ((50, 20, 15), (7, 3, 25), (100, 33, 10), (3, 64, 1)):
+        px = spark.createDataFrame([(0, x, y, x % 256, y % 256, 0, 255) for x in range(w) for y in range(h)], PX)
+        k = percent / 100
+        shown = lambda n: [int(v * max(1, round(n * k)) // n / k) for v in range(n)]  # noqa: E731, B023
+        want = {(x, y): (sx % 256, sy % 256) for x, sx in enumerate(shown(w)) for y, sy in enumerate(shown(h)) if sx < w and sy < h}
+        assert {(r["x"], r["y"]): (r["r"], r["g"]) for r in P.pixelate(px, percent=percent).collect()} == want

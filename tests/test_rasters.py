@@ -164,7 +164,7 @@ def test_centred_is_source_over_and_cuts_off():
 def test_rounded_image_equals_the_pixel_operator(spark):
     for w, h, radius in ((20, 14, 5.0), (9, 9, 6.0), (30, 30, 12.0)):
         img = picture(w, h, 4)
-        got = array(P.round_corners(frame(spark, i0=img), w, h, radius))
+        got = array(P.round_corners(frame(spark, i0=img), radius=radius))
         assert (got == R.rounded(img.astype(float), radius)).all()
 
 
