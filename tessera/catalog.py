@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pixel_queries", "text_queries", "raster_queries", "colour_queries", "work_queries")
+MODULES = ("pixel_queries", "text_queries", "raster_queries", "colour_queries", "work_queries", "feature_queries")
 
 
 def queries() -> dict:

@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .pixels import OFFSETS
+
 CH = ("r", "g", "b")
 
 
@@ -171,6 +173,33 @@ def resize_padded(px: DataFrame, width: int, height: int) -> DataFrame:
     return px.groupBy("img_id").applyInPandas(run, PIXELS)
 
 
+def resize_padded_to(px: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``resize_padded`` of every image to a size of its own: sizes (img_id, cw, ch)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _pixels(pdf["img_id"].iloc[0], padded(_raster(pdf), int(pdf["cw"].iloc[0]), int(pdf["ch"].iloc[0])))
+
+    return px.join(sizes, "img_id").groupBy("img_id").applyInPandas(run, PIXELS)
+
+
+def covering(img: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The image scaled (Lanczos) to cover a size, its centre cut out."""
+    h, w = img.shape[:2]
+    ratio = max(width / w, height / h)
+    nw, nh = max(width, round(w * ratio)), max(height, round(h * ratio))
+    out = np.einsum("ij,jkc->ikc", weights(h, nh, "lanczos"), img.astype(float))
+    out = np.clip(np.floor(np.einsum("ij,kjc->kic", weights(w, nw, "lanczos"), out) + 0.5), 0, 255)
+    y, x = (nh - height) // 2, (nw - width) // 2
+    return out[y:y + height, x:x + width]
+
+
+def cover(px: DataFrame, width: int, height: int) -> DataFrame:
+    """Every image scaled and cut to cover width x height."""
+    if width < 1 or height < 1:
+        raise ValueError("sizes must be positive")
+    return px.groupBy("img_id").applyInPandas(lambda pdf: _pixels(pdf["img_id"].iloc[0], covering(_raster(pdf), width, height)), PIXELS)
+
+
 def padded(img: np.ndarray, width: int, height: int) -> np.ndarray:
     h, w = img.shape[:2]
     ratio = min(width / w, height / h)
@@ -280,12 +309,9 @@ def rounded(img: np.ndarray, radius: float) -> np.ndarray:
     return out
 
 
-# Where the sub-samples of a pixel lie.
-OFFSETS = (-0.375, -0.125, 0.125, 0.375)
-
-
-def tilt_effect(px: DataFrame, preset: str = "", width: int = 1920, height: int = 1080) -> DataFrame:
-    """Rounded, turned, tilted and trimmed images, centred on a diagonal gradient."""
+def tilt_effect(px: DataFrame, preset: str = "", width: int = 1920, height: int = 1080, background: bytes | None = None) -> DataFrame:
+    """Rounded, turned, tilted and trimmed images, centred on a diagonal gradient, or on a
+    background image (the bytes of a PNG) that covers the size."""
     if preset not in TILTS:
         raise ValueError(f"unknown preset {preset}")
     start, end, tx, ty, tz, scale, radius = TILTS[preset]
@@ -294,7 +320,8 @@ def tilt_effect(px: DataFrame, preset: str = "", width: int = 1920, height: int
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         img = rounded(_raster(pdf), radius)
         img = tilted(turned(img, tz) if tz else img, tx, ty, scale)
-        return _pixels(pdf["img_id"].iloc[0], centred(trimmed(img), gradient_ground(start, end, width, height)))
+        ground = gradient_ground(start, end, width, height) if background is None else covering(read_png(background), width, height)
+        return _pixels(pdf["img_id"].iloc[0], centred(trimmed(img), ground))
 
     return px.groupBy("img_id").applyInPandas(run, PIXELS)
 
