@@ -8,7 +8,8 @@ regex engine is one match by the pattern (without its last character, where text
 follows) and is encoded as that one piece. Decoding joins the tokens' raw bytes.
 
 Edge cases: null texts are empty; an empty text has no tokens; texts without any
-safe boundary are encoded in one go. Other columns are ignored.
+safe boundary are encoded in one go; rows that repeat each give a row; an empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -44,10 +46,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[id(back)] = (back, path)
+    made = _recorded.get()
+    if made is not None:
+        made.append(back)
     return back
 
 
 _written: dict[int, tuple[DataFrame, str]] = {}
+_recorded: ContextVar[list[DataFrame] | None] = ContextVar("recorded", default=None)
+
+
+@contextmanager
+def recorded():
+    """The list of the tables that are cut inside the block, for ``forget`` when all that
+    reads them has been written."""
+    made: list[DataFrame] = []
+    token = _recorded.set(made)
+    try:
+        yield made
+    finally:
+        _recorded.reset(token)
 
 
 def forget(*tables: DataFrame | None) -> None:

@@ -17,8 +17,10 @@ each BLOCK rows it holds, and only links leave a block. Nothing is capped.
 
 Edge cases: texts with fewer than five words have their whole word sequence as one
 shingle; texts without words (null, empty) have none and are linked with nothing;
-rows that repeat a doc_id count as one document and share its component; a null doc_id is its own component;
-an empty table gives no rows. Other columns are ignored.
+rows that repeat a doc_id with different texts are documents of their own, which may lie in
+different components; a null doc_id is its own component; texts of any length give all
+their shingles (a block of texts holds at least one whole text); an empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations

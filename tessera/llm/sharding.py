@@ -5,7 +5,8 @@ ring table. Going from n to n + 1 shards moves about 1/(n + 1) of the rows, all
 of them into the new shard.
 
 Edge cases: a null key hashes like any other value; rows that repeat a key share
-its shard and get different slots; a null text has size 1 and crc 0; an empty
+its shard and get different slots; a null text has size 1 and crc 0; texts of any
+length are measured whole; an empty
 table gives an empty result. Other columns of the input are ignored.
 """
 

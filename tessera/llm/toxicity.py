@@ -2,8 +2,9 @@
 
 Labels are learned only from rows whose crc32(doc_id) mod 5 is not 0; of those,
 remainder 1 calibrates and the others train. The sample is bounded by documented
-parameters (``MAX_TOXIC`` and ``MAX_CLEAN`` training rows, ``MAX_CALIBRATION``), and
-everything that is learned comes from it: first the lexicon, the words and word
+parameters (``MAX_TOXIC`` and ``MAX_CLEAN`` training rows, ``MAX_CALIBRATION``): a labelled
+doc_id that many rows bear gives one of their texts, chosen by a hash. Everything that is
+learned comes from this sample: first the lexicon, the words and word
 beginnings that occur far more often in toxic texts (by the likelihood ratio of a
 binomial), with log-odds as weights; then the trees; then the calibration.
 
@@ -190,11 +191,17 @@ class Model:
         return done.withColumn("__raw", vector_to_array("probability")[1])
 
 
+def bounded_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, text, toxic and part: one row for each chosen id, however many rows bear it."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    return texts.groupBy("doc_id", "toxic", "part").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic", "part")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the bounded sample of labelled documents."""
     chosen = labelled_sample(labels)  # at most the sum of the bounds: 30,000 small rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic", "part")
-    sample = cut(texts, "sample")
+    sample = cut(bounded_texts(docs, chosen), "sample")
     train = sample.filter("part = 'train'")
     counts = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):

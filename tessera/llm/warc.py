@@ -19,6 +19,7 @@ writes no archive and gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,7 @@ VERSION = b"WARC/1.1"
 GZIP_MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = 1 << 20
+MAX_HEADER = 256 << 20  # of a gzip member; only members without any header end reach it
 
 
 # ---- one record ---------------------------------------------------------
@@ -164,30 +166,33 @@ class SalvageReader:
         return headers, block, stop + 4 - at
 
     def _member(self, at: int) -> tuple[dict[str, str], bytes, int]:
-        out, d, used, opened, step = [], zlib.decompressobj(31), at, b"", 2048
+        """One record in a gzip member. What is unpacked is bounded by the length that the
+        header states (and a header by MAX_HEADER), whatever the member would expand to."""
+        data, d, used, step, headers, most = bytearray(), zlib.decompressobj(31), at, 2048, None, MAX_HEADER
         while not d.eof:
-            part, step = self._read(used, step), min(4 * step, READ)
+            part = d.unconsumed_tail
             if not part:
-                raise ValueError("gzip member is cut off")
-            used += len(part)
+                part, step = self._read(used, step), min(4 * step, READ)
+                used += len(part)
+                if not part:
+                    raise ValueError("gzip member is cut off")
+            known = len(data)
             try:
-                out.append(d.decompress(part))
+                data += d.decompress(part, READ)
             except zlib.error as e:
                 raise ValueError(f"bad gzip member: {e}") from None
-            if len(opened) < 7:
-                opened += out[-1][:7]
-                if not opened.startswith(VERSION[:7][:len(opened)]):
-                    raise ValueError("no version line")
-        data = b"".join(out)
-        head, blank, rest = data.partition(b"\r\n\r\n")
-        if not blank:
+            if known < 7 and not data[:7] == VERSION[:7][:len(data)]:
+                raise ValueError("no version line")
+            if headers is None and (end := data.find(b"\r\n\r\n", max(0, known - 3))) >= 0:
+                headers = parse_header(bytes(data[:end]))
+                most = end + 8 + int(headers["content-length"])
+            if len(data) > most:
+                raise ValueError("header too long" if headers is None else "bytes after the record")
+        if headers is None or len(data) < most or data[-4:] != b"\r\n\r\n":
             raise ValueError("member ends inside a record")
-        headers = parse_header(head)
-        n = int(headers["content-length"])
-        if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
-            raise ValueError("member ends inside a record" if len(rest) < n + 4 else "bytes after the record")
-        check_digest(headers, rest[:n])
-        return headers, rest[:n], used - len(d.unused_data) - at
+        block = bytes(data[end + 4:-4])
+        check_digest(headers, block)
+        return headers, block, used - len(d.unused_data) - at
 
     def __iter__(self) -> Iterator[tuple]:
         at = 0
@@ -297,19 +302,24 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return frame.astype({c: "Int64" for c in ("start", "stop", "page_id", "payload_bytes", "refers_to")})
 
 
+def whole(text: str | None) -> int | None:
+    """The number of a header that this writer adds; foreign archives may have anything there."""
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}|-?9[0-9]{18}", text, re.A) and abs(int(text)) < 2**63 else None
+
+
 def _record_row(path: str, item: tuple, with_payload: bool) -> tuple:
     _, start, headers, block = item
     kind = headers.get("warc-type")
     page = headers.get("x-page-id")
     if kind == "revisit":
         payload = None
-        size, digest = int(headers.get("x-payload-length", 0)), headers.get("warc-payload-digest", "").removeprefix("sha256:")
+        size, digest = whole(headers.get("x-payload-length")) or 0, headers.get("warc-payload-digest", "").removeprefix("sha256:")
     else:
         payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
     refers = headers.get("x-refers-to-page")
-    return ("record", path, start, None, None, int(page) if page else None, headers.get("warc-target-uri"),
-            payload if with_payload else None, size, digest, kind, int(refers) if refers else None)
+    return ("record", path, start, None, None, whole(page), headers.get("warc-target-uri"),
+            payload if with_payload else None, size, digest, kind, whole(refers))
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:

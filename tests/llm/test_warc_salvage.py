@@ -98,3 +98,18 @@ def test_repeated_ids_and_clashing_columns(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"payload": F.lit(1), "kind": F.lit("x"), "__digest": F.lit("d")})
     got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.write_archives(pages, new_path(spark, "t"))).collect()), key=str)
     assert got == sorted([(3, "response", None), (3, "response", None), (4, "revisit", 3), (None, "revisit", 3), (8, "response", None), (9, "response", None)], key=str)
+
+
+def test_foreign_members_and_headers():
+    """A member that expands beyond its stated length is given up early; foreign numbers are no numbers."""
+    import gzip
+
+    bomb = gzip.compress(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\n" + b"0" * (400 << 20))
+    sound = gzip.compress(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n")
+    tracemalloc.start()
+    found = list(warc.SalvageReader(io.BytesIO(bomb + sound)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert [item[0] for item in found] == ["gap", "record"] and found[1][3] == b"hello"
+    assert [warc.whole(t) for t in ("12", "-3", "x", "", None, "1e3", "9" * 40, "\u0663")] == [12, -3, None, None, None, None, None, None]
