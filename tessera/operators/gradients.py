@@ -1,7 +1,7 @@
 """Gradients that blend in other colour spaces than sRGB.
 
-The few keypoints are taken to the space on the driver; the pixels are a projection that
-blends and comes back. Definitions are the usual CIE ones under D65, with lightness and
+A gradient's few colours are taken to the space by a function per gradient; its pixels are a
+projection that blends and comes back. Definitions are the usual CIE ones under D65, with lightness and
 chroma in 0..1.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPACES = ("rgb", "lab", "hcl", "hsv", "luv", "luvlch")
@@ -101,24 +102,37 @@ def from_space(p: Column, q: Column, s: Column, space: str) -> list[Column]:
     return [F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055) for v in linear]
 
 
-def gradient(spark, w: int, h: int, colours: list[tuple[int, int, int]], degrees: float = 0.0, space: str = "rgb") -> DataFrame:
-    """x, y, r, g, b of a linear gradient of evenly spaced colours, blended in a space;
-    shares of one are cut to 8 bits from 16."""
-    if len(colours) < 2 or w < 1 or h < 1:
-        raise ValueError("a gradient needs two colours and a positive size")
+def gradients(specs: DataFrame, degrees: float = 0.0, space: str = "rgb") -> DataFrame:
+    """grad_id, x, y, r, g, b of a linear gradient for every row of ``specs`` (grad_id, w, h,
+    colours: array of structs r, g, b): evenly spaced colours, blended in a space;
+    shares of one are cut to 8 bits from 16. Rows with fewer than two colours or
+    without a positive size give no pixels."""
     if space not in SPACES:
         raise ValueError(f"unknown space {space}")
+
+    @F.pandas_udf("array<struct<start: array<double>, change: array<double>>>")
+    def parts_of(colours: pd.Series) -> pd.Series:
+        return colours.map(lambda own: [{"start": list(map(float, p)), "change": list(map(float, c))} for p, c in segments([(c["r"], c["g"], c["b"]) for c in own], space)])
+
     cos, sin = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    half = (abs(w * cos) + abs(h * sin)) / 2
-    at = spark.range(w * h).select((F.col("id") % w).cast("int").alias("x"), F.expr(f"cast(id div {w} as int)").alias("y"))
-    t = ((F.col("x") - w / 2) * F.lit(cos) + (F.col("y") - h / 2) * F.lit(sin) + F.lit(half)) / F.lit(2 * half)
-    parts = segments(colours, space)
-    n = len(parts)
-    at = at.withColumn("t", F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)))
-    at = at.withColumn("seg", F.least(F.greatest(F.ceil(F.col("t") * n).cast("int") - 1, F.lit(0)), F.lit(n - 1)))  # the first one that holds t
-    at = at.withColumn("f", F.col("t") * n - F.col("seg"))
-    pick = lambda end, k: F.element_at(F.array(*[F.lit(float(s[end][k])) for s in parts]), F.col("seg") + 1)
-    at = at.withColumns({name: pick(0, k) + F.col("f") * pick(1, k) for k, name in enumerate(("p", "q", "s"))})
+    good = specs.filter((F.size("colours") > 1) & (F.col("w") > 0) & (F.col("h") > 0)).select("grad_id", "w", "h", parts_of("colours").alias("parts"))
+    lines = good.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h").cast("int") - 1)))
+    at = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w").cast("int") - 1)))
+    half = (F.abs(F.col("w") * F.lit(cos)) + F.abs(F.col("h") * F.lit(sin))) / 2
+    t = ((F.col("x") - F.col("w") / 2) * F.lit(cos) + (F.col("y") - F.col("h") / 2) * F.lit(sin) + half) / (half * 2)
+    n = F.size("parts")
+    at = at.withColumn("u", F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)) * n)
+    at = at.withColumn("seg", F.least(F.greatest(F.ceil("u").cast("int") - 1, F.lit(0)), n - 1))  # the first one that holds t
+    at = at.withColumns({"f": F.col("u") - F.col("seg"), "part": F.element_at("parts", F.col("seg") + 1)})
+    at = at.withColumns({name: F.col("part.start")[k] + F.col("f") * F.col("part.change")[k] for k, name in enumerate(("p", "q", "s"))})
     at = at.withColumns({f"__{c}": v for c, v in zip("rgb", from_space(F.col("p"), F.col("q"), F.col("s"), space))})
     eight = lambda c: F.floor(F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * 65535 + 0.5) / 256).cast("int")
-    return at.select("x", "y", *[eight(F.coalesce(F.nanvl(F.col(f"__{c}"), F.lit(0.0)), F.lit(0.0))).alias(c) for c in "rgb"])
+    return at.select("grad_id", "x", "y", *[eight(F.coalesce(F.nanvl(F.col(f"__{c}"), F.lit(0.0)), F.lit(0.0))).alias(c) for c in "rgb"])
+
+
+def gradient(spark, w: int, h: int, colours: list[tuple[int, int, int]], degrees: float = 0.0, space: str = "rgb") -> DataFrame:
+    """x, y, r, g, b of one gradient."""
+    if len(colours) < 2 or w < 1 or h < 1:
+        raise ValueError("a gradient needs two colours and a positive size")
+    spec = spark.createDataFrame([(0, w, h, [tuple(c) for c in colours])], "grad_id int, w int, h int, colours array<struct<r: int, g: int, b: int>>")
+    return gradients(spec, degrees, space).drop("grad_id")

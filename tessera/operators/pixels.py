@@ -487,11 +487,27 @@ def pad_dims(dims: DataFrame, w: int, h: int) -> DataFrame:
     return sized.withColumns({"ox": F.expr(f"cast(({w} - nw) div 2 as int)"), "oy": F.expr(f"cast(({h} - nh) div 2 as int)")})
 
 
-def palette_swatch(spark, palette: tuple, step: int = 100, height: int = 200) -> DataFrame:
-    n = len(palette) * step
-    idx = F.expr(f"cast(x div {step} as int)") + 1
-    base = spark.range(n * height).select((F.col("id") % n).cast("int").alias("x"), F.expr(f"cast(id div {n} as int)").alias("y"))
-    return base.select("x", "y", *[F.element_at(F.array(*[F.lit(p[k]) for p in palette]), idx).alias(c) for k, c in enumerate(CH)])
+def palette_swatches(palette: DataFrame, step: int = 100, height: int = 200) -> DataFrame:
+    """A picture of every theme of a palette table (theme, idx, r, g, b): its colours side by
+    side in order of idx, each ``step`` pixels wide."""
+    if step < 1 or height < 1:
+        raise ValueError("sizes must be positive")
+    place = F.row_number().over(Window.partitionBy("theme").orderBy("idx")) - 1
+    wide = palette.select("theme", place.alias("place"), *CH).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(step - 1))))
+    tall = wide.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    return tall.select("theme", (F.col("place") * step + F.col("k")).cast("int").alias("x"), "y", *CH)
+
+
+def identity_cubes(specs: DataFrame) -> DataFrame:
+    """The cells of the lookup image of every row of ``specs`` (cube_id, level): as in
+    ``identity_cube``, by cube_id."""
+    n, side = "level * level", "level * level * level"
+    cells = specs.filter("level > 1").withColumn("i", F.explode(F.expr(f"sequence(0L, cast({n} as long) * {n} * {n} - 1)")))
+    part = lambda e: F.expr(f"cast(({e}) * 255 div ({n} - 1) as int)")
+    return cells.select(
+        "cube_id", "i", F.expr(f"cast(i % ({side}) as int)").alias("x"), F.expr(f"cast(i div ({side}) as int)").alias("y"),
+        part(f"i % ({n})").alias("r"), part(f"(i div ({n})) % ({n})").alias("g"), part(f"i div ({n} * {n})").alias("b"),
+    )
 
 
 def cell_size(dims: DataFrame, group: str, biggest: bool = False) -> DataFrame:

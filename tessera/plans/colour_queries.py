@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour as C
 from ..operators import pixels as P
-from ..sources.derive import COLOURS_SQL, PX_SQL, THEMES, colours, px, theme_list, theme_lookup, themes
+from ..sources.derive import COLOURS_SQL, PALETTE_SQL, PART_THEMES, PX_SQL, colours, part_palette, px, read, theme_list, theme_lookup
 from .text_queries import _HSL
 
 
@@ -73,14 +73,14 @@ def _lists(s, d):
 
 
 def _wanted(s, d):
-    names = s.createDataFrame([("Nord",), ("DRACULA",), ("solarized",), ("absent",)], "name string")
-    return theme_lookup(themes(s), names).select("name", F.concat_ws(",", "colours").alias("colours"), "error")
+    """Themes of the parts' colours by the names that parts ask for, one of them unknown."""
+    names = read(s, d, "part").select(F.concat(F.lit("T"), F.col("p_partkey") % (PART_THEMES + 1)).alias("name")).distinct()
+    return theme_lookup(part_palette(s, d), names).select("name", F.concat_ws(",", "colours").alias("colours"), "error")
 
 
 QUERIES = {
     "colour_parse_any": _parse,
     "colour_formats": _formats,
-    "valid_formats": lambda s, d: s.range(1).select(F.concat_ws(",", C.valid_formats()).alias("formats")),
     "colour_wheels": _wheels,
     "colour_contrast": lambda s, d: colours(s, d).select("colour_id", C.contrast(*_c()).alias("hex")),
     "colour_blend": _blend,
@@ -88,7 +88,7 @@ QUERIES = {
     "colour_monochromatic": _mono,
     "colour_darken": lambda s, d: colours(s, d).select("colour_id", _hexed(C.darken(*_c())).alias("hex")),
     "colour_lists": _lists,
-    "theme_list": lambda s, d: theme_list(themes(s)),
+    "theme_list": lambda s, d: theme_list(part_palette(s, d)),
     "theme_lookup": _wanted,
 }
 
@@ -140,7 +140,6 @@ def _rgb_of_lab_sql(l: str, a: str, b: str) -> str:  # noqa: E741
     return "[" + ", ".join(out) + "]"
 
 
-_THEME_ROWS = ", ".join(f"('{t}', {i}, '#%02X%02X%02X')" % c for t, cs in THEMES.items() for i, c in enumerate(cs))
 _WHEELS = ", ".join(f"{_turned(turns)} AS {k.replace('-', '_')}" for k, turns in C.WHEEL.items())
 _SATURATED = _rgb_of_hsl_sql("h", "least(s * 1.25::DOUBLE, 1)", "l")
 _PX_HSL = _HSL.replace("colours", "px").replace("q AS (SELECT colour_id,", "q AS (SELECT img_id, x, y, a,")
@@ -153,7 +152,6 @@ CASE colour_id % 5 WHEN 0 THEN printf('#%02x%02X%02x', r, g, b) WHEN 1 THEN CASE
     "colour_formats": f"""WITH {COLOURS_SQL}, {_HSL}, {_lab_sql()} SELECT lab.colour_id, printf('#%02X%02X%02X', r, g, b) AS hex,
 printf('hsl(%d,%d,%d)', cast(round(h) AS INT), cast(round(s * 100) AS INT), cast(round(l * 100) AS INT)) AS hsl, printf('lab(%.2f,%.2f,%.2f)', ll, la, lb_) AS lab,
 printf('rgb(%d,%d,%d)', r, g, b) AS rgb FROM lab JOIN q USING (colour_id)""",
-    "valid_formats": "SELECT 'hex,hsl,lab,rgb' AS formats",
     "colour_wheels": _over_hsl(_WHEELS),
     "colour_wheel": _over_hsl(f"{_turned(C.WHEEL['triadic'])} AS triadic"),
     "colour_contrast": f"WITH {COLOURS_SQL} SELECT colour_id, CASE WHEN 299*r + 587*g + 114*b >= 128000 THEN '#000000' ELSE '#FFFFFF' END AS hex FROM colours",
@@ -166,7 +164,7 @@ printf('rgb(%d,%d,%d)', r, g, b) AS rgb FROM lab JOIN q USING (colour_id)""",
     "px_saturation": f"WITH {PX_SQL}, {_PX_HSL}, t AS (SELECT img_id, x, y, a, {_SATURATED} AS c FROM q) SELECT img_id, x, y, c[1] AS r, c[2] AS g, c[3] AS b, a FROM t",
     "colour_lists": f"""WITH {COLOURS_SQL} SELECT colour_id // 10 AS list_id, CASE WHEN bool_and(colour_id % 70 <> 3) THEN cast(sum(r) AS BIGINT) ELSE -1 END AS sum_r,
 CASE WHEN bool_and(colour_id % 70 <> 3) THEN string_agg(printf('#%02x%02x%02x', r, g, b), ',' ORDER BY colour_id) ELSE '' END AS hexes FROM colours GROUP BY 1""",
-    "theme_list": f"SELECT theme, count(*) AS n_colours FROM (VALUES {_THEME_ROWS}) t(theme, idx, hex) GROUP BY theme",
-    "theme_lookup": f"""WITH t(theme, idx, hex) AS (VALUES {_THEME_ROWS}), w(name) AS (VALUES ('Nord'), ('DRACULA'), ('solarized'), ('absent'))
-SELECT name, coalesce(string_agg(hex, ',' ORDER BY idx), '') AS colours, CASE WHEN count(hex) = 0 THEN 'unknown theme' END AS error FROM w LEFT JOIN t ON lower(name) = theme GROUP BY name""",
+    "theme_list": f"WITH {PALETTE_SQL} SELECT theme, count(*) AS n_colours FROM pal GROUP BY theme",
+    "theme_lookup": f"""WITH {PALETTE_SQL}, w AS (SELECT DISTINCT 'T' || (p_partkey % {PART_THEMES + 1}) AS name FROM part)
+SELECT name, coalesce(string_agg(printf('#%02X%02X%02X', r, g, b), ',' ORDER BY idx), '') AS colours, CASE WHEN count(idx) = 0 THEN 'unknown theme' END AS error FROM w LEFT JOIN pal ON lower(name) = theme GROUP BY name""",
 }

@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import sql as functions_sql, tables
 from ..operators import blocks as B, clusters as K, layers as L, palettes, sessions
 from ..sources import pictures, publish as sinks
-from ..sources.derive import COLOURS_SQL, NORD, PX_SQL, pages_text, px, read
+from ..sources.derive import COLOURS_SQL, NORD, PALETTE_SQL, PART_THEMES, PX_SQL, pages_text, part_palette, px
 from ..sources.scratch import new_folder
 from ..streaming import pages as stream
 from .work_queries import SQL as WORK_SQL, _documents
 
 SEED = 7
-THEMES = 4
 QUALITY = 60
 KERNEL = np.array([[[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], [[0, 1, 0], [1, -4, 1], [0, 1, 0]], [[1, 2, 1], [0, 0, 0], [-1, -2, -1]]], float)
-ERRORS = F.when(F.col("original_index") % 7 == 0, F.lit("bad"))
 BASE = "WITH " + PX_SQL
 
 
@@ -36,7 +34,8 @@ def _pictures(s, d):
 def _publish(s, d):
     """Counters and visible rows of two runs: one with failed pages, one without."""
     pages, rows = pages_text(s, d), []
-    for run, error in (("broken", ERRORS), ("sound", F.lit(None).cast("string"))):
+    bad = F.when(F.col("original_index") % 7 == 0, F.lit("bad"))
+    for run, error in (("broken", bad), ("sound", F.lit(None).cast("string"))):
         folder = new_folder(s, "published")
         counters = sinks.publish(pages.withColumn("error", error), folder)
         seen = sinks.published(s, folder, pages.schema).count()
@@ -77,15 +76,9 @@ def _sql_stitched(s, d):
 
 # ---- pictures ----
 
-def _palette(s, d):
-    k = F.col("p_partkey")
-    part = read(s, d, "part")
-    return part.select(F.concat(F.lit("t"), k % THEMES).alias("theme"), F.expr(f"cast(p_partkey div {THEMES} as int)").alias("idx"), (k * 13 % 256).cast("int").alias("r"), (k * 7 % 256).cast("int").alias("g"), (F.col("p_size") * 5 % 256).cast("int").alias("b"))
-
-
 def _nearest(s, d):
-    themed = px(s, d).withColumn("theme", F.concat(F.lit("t"), F.col("img_id") % (THEMES + 1)))
-    return palettes.nearest(themed, _palette(s, d)).select("img_id", "x", "y", "r", "g", "b", "idx")
+    themed = px(s, d).withColumn("theme", F.concat(F.lit("t"), F.col("img_id") % (PART_THEMES + 1)))
+    return palettes.nearest(themed, part_palette(s, d)).select("img_id", "x", "y", "r", "g", "b", "idx")
 
 
 def _stacks(p):
@@ -207,10 +200,10 @@ UNION ALL SELECT 'sound', count(*), 0, count(*) FROM conversations""",
     "sql_colours": f"""WITH {COLOURS_SQL}, nord(idx, theme_hex) AS (VALUES {", ".join(f"({i}, '#%02X%02X%02X')" % c for i, c in enumerate(NORD))})
 SELECT colour_id, printf('#%02X%02X%02X', r, g, b) AS hex, cast(floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) AS INT) AS grey, cast(idx AS INT) AS idx, theme_hex FROM colours JOIN nord ON idx = colour_id % 16""",
     "sql_stitched": _STITCHED,
-    "px_nearest_indexed": f"""{BASE}, pal AS (SELECT p_partkey % {THEMES} AS t, cast(p_partkey // {THEMES} AS INT) AS idx, cast(p_partkey * 13 % 256 AS INT) AS pr, cast(p_partkey * 7 % 256 AS INT) AS pg, cast(p_size * 5 % 256 AS INT) AS pb FROM part),
-seen AS (SELECT DISTINCT img_id % {THEMES + 1} AS t, r, g, b FROM px),
-best AS (SELECT t, r, g, b, arg_min((pr, pg, pb, idx), ((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb))::BIGINT * 1000000 + idx) AS p FROM seen JOIN pal USING (t) GROUP BY t, r, g, b)
-SELECT img_id, x, y, coalesce(p[1], px.r) AS r, coalesce(p[2], px.g) AS g, coalesce(p[3], px.b) AS b, p[4] AS idx FROM px LEFT JOIN best ON best.t = img_id % {THEMES + 1} AND best.r = px.r AND best.g = px.g AND best.b = px.b""",
+    "px_nearest_indexed": f"""{BASE}, {PALETTE_SQL}, named AS (SELECT cast(substr(theme, 2) AS BIGINT) AS t, idx, r AS pr, g AS pg, b AS pb FROM pal),
+seen AS (SELECT DISTINCT img_id % {PART_THEMES + 1} AS t, r, g, b FROM px),
+best AS (SELECT t, r, g, b, arg_min((pr, pg, pb, idx), ((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb))::BIGINT * 1000000 + idx) AS p FROM seen JOIN named USING (t) GROUP BY t, r, g, b)
+SELECT img_id, x, y, coalesce(p[1], px.r) AS r, coalesce(p[2], px.g) AS g, coalesce(p[3], px.b) AS b, p[4] AS idx FROM px LEFT JOIN best ON best.t = img_id % {PART_THEMES + 1} AND best.r = px.r AND best.g = px.g AND best.b = px.b""",
     "stack_layouts": _stack_sql(),
     "compose_layers": f"""{BASE}, l AS (SELECT img_id // 8 AS sheet, x, y, img_id % 8 AS layer, r, g, b, cast((r * 3 + g + x) % 256 AS INT) AS a FROM px),
 m AS (SELECT sheet, x, y, layer, {", ".join(f"({c} * 257 * a * 257) // 65535 AS {c}" for c in "rgb")}, a * 257 AS a FROM (SELECT sheet, x, y, layer, r::BIGINT AS r, g::BIGINT AS g, b::BIGINT AS b, a::BIGINT AS a FROM l)),

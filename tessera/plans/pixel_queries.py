@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pixels as P, rasters as R
-from ..sources.derive import NORD, PX_SQL, SIZED_SQL, patches, px, read
+from ..sources.derive import NORD, PALETTE_SQL, PX_SQL, SIZED_SQL, part_palette, patches, px, read
 
 BASE = "WITH " + PX_SQL + "\n"
 SIZED = "WITH " + SIZED_SQL + "\n"
@@ -109,12 +109,12 @@ QUERIES = {
     "minmax_norm": lambda s, d: P.min_max(patches(s, d)).withColumn("v", F.round("v", 6)),
     "nearest_centroid": on(_centroid),
     "nearest_centroid_per_image": on(_centroid_per_image),
-    "clut_identity_8": lambda s, d: P.identity_cube(s, 8),
+    "clut_identities": lambda s, d: P.identity_cubes(read(s, d, "part").select(F.col("p_partkey").alias("cube_id"), (F.col("p_partkey") % 2 + 2).cast("int").alias("level"))),
     "clut_index": on(lambda p: P.cube_index(p).select(*KEY, "r6", "g6", "b6")),
     "clut_apply": on(lambda p: P.recolour(p, NORD)),
     "stack_sheets": on(_sheets),
     "pad_dims": _pad,
-    "palette_swatch_nord": lambda s, d: P.palette_swatch(s, NORD, 10, 5),
+    "palette_swatches": lambda s, d: P.palette_swatches(part_palette(s, d), 3, 2),
     # sequential within an image: no SQL form
     "median_cut": on(lambda p: R.extract_palette(P.histogram(p))),
     "kmeans_background": on(lambda p: P.kmeans_background(p, (60, 60, 60), (200, 200, 200)).select(*KEY, "cluster", "a")),
@@ -188,7 +188,8 @@ SELECT img_id, x, y, cluster, CASE WHEN (cluster = 1) = one THEN 0 ELSE 255 END
     "nearest_centroid_per_image": BASE.rstrip() + """, c AS (SELECT img_id, x, y, CASE WHEN (r-200)*(r-200)+(g-200)*(g-200)+(b-200)*(b-200) < (r-60)*(r-60)+(g-60)*(g-60)+(b-60)*(b-60) THEN 1 ELSE 0 END AS cluster FROM px),
 k AS (SELECT img_id, count(*) FILTER (cluster = 1) > count(*) FILTER (cluster = 0) AS one FROM c GROUP BY img_id)
 SELECT img_id, x, y, cluster, CASE WHEN (cluster = 1) = one THEN 0 ELSE 255 END AS a FROM c JOIN k USING (img_id)""",
-    "clut_identity_8": "SELECT i, cast(i % 512 AS INT) AS x, cast(i // 512 AS INT) AS y, cast((i % 64) * 255 // 63 AS INT) AS r, cast(((i // 64) % 64) * 255 // 63 AS INT) AS g, cast((i // 4096) * 255 // 63 AS INT) AS b FROM generate_series(0, 262143) t(i)",
+    "clut_identities": """WITH s AS (SELECT p_partkey AS cube_id, p_partkey % 2 + 2 AS level FROM part), c AS (SELECT *, level * level AS n, unnest(range(0, level * level * level * level * level * level)) AS i FROM s)
+SELECT cube_id, i, cast(i % (n * level) AS INT) AS x, cast(i // (n * level) AS INT) AS y, cast((i % n) * 255 // (n - 1) AS INT) AS r, cast(((i // n) % n) * 255 // (n - 1) AS INT) AS g, cast((i // (n * n)) * 255 // (n - 1) AS INT) AS b FROM c""",
     "clut_index": BASE + "SELECT img_id, x, y, cast(r*63//255 AS INT) AS r6, cast(g*63//255 AS INT) AS g6, cast(b*63//255 AS INT) AS b6 FROM px",
     "clut_apply": _rbf_sql(),
     "stack_sheets": BASE.rstrip() + """, d AS (SELECT img_id, img_id // 4 AS sheet, img_id % 4 AS pos, max(x)+1 AS w, max(y)+1 AS h FROM px GROUP BY img_id), m AS (SELECT sheet, max(w) AS cw, max(h) AS ch FROM d GROUP BY sheet),
@@ -200,5 +201,6 @@ SELECT c.sheet, c.x, c.y, coalesce(i.r, CASE WHEN c.x%(cw+3)<3 OR c.y%(ch+3)<3 T
     "pad_dims": """WITH d AS (SELECT o_orderkey AS img_id, 1+o_orderkey%97 AS w, 1+o_custkey%89 AS h FROM orders),
 s AS (SELECT img_id, cast(floor(w*least(60.0::DOUBLE/w, 40.0::DOUBLE/h)) AS INT) AS nw, cast(floor(h*least(60.0::DOUBLE/w, 40.0::DOUBLE/h)) AS INT) AS nh FROM d)
 SELECT img_id, nw, nh, cast((60-nw)//2 AS INT) AS ox, cast((40-nh)//2 AS INT) AS oy FROM s""",
-    "palette_swatch_nord": f"WITH {_palette_sql()} SELECT cast(i % 160 AS INT) AS x, cast(i // 160 AS INT) AS y, pr AS r, pg AS g, pb AS b FROM generate_series(0, 799) t(i) JOIN pal ON idx = (i % 160) // 10",
+    "palette_swatches": f"""WITH {PALETTE_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY idx) - 1 AS place FROM pal), w AS (SELECT *, unnest(range(0, 3)) AS k FROM n), t AS (SELECT *, unnest(range(0, 2)) AS y FROM w)
+SELECT theme, cast(place * 3 + k AS INT) AS x, cast(y AS INT) AS y, r, g, b FROM t""",
 }

@@ -8,12 +8,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import gradients as G, pixels as P, rasters as R
-from ..sources.derive import NORD, PX_SQL, SIZED_SQL, px, read
+from ..sources.derive import COLOURS_SQL, NORD, PX_SQL, SIZED_SQL, colours, px, read
 
 BASE = "WITH " + PX_SQL
 OUT = ["img_id", "x", "y", "r", "g", "b", "a"]
 STOPS = [(20, 40, 200), (250, 240, 10), (200, 0, 90)]
-WIDE, HIGH, ANGLE = 192, 10, 30.0
+ANGLE = 30.0
 RING = (9, 200, 40)
 
 
@@ -48,14 +48,20 @@ def _gate(p):
 
 
 def _gradient(space):
-    return lambda s, d: G.gradient(s, WIDE, HIGH, STOPS, ANGLE, space)
+    """A gradient per part: of the part's own colours in sRGB, of three given ones elsewhere."""
+    def run(s, d):
+        own = [F.struct(*[F.col(c).alias(k) for c, k in zip(order, "rgb")]) for order in ("rgb", "gbr", "brg")]
+        given = [F.struct(*[F.lit(v).alias(k) for v, k in zip(c, "rgb")]) for c in STOPS]
+        specs = colours(s, d).select(F.col("colour_id").alias("grad_id"), (F.col("colour_id") % 8 + 8).cast("int").alias("w"), (F.col("colour_id") % 3 + 1).cast("int").alias("h"), F.array(*(own if space == "rgb" else given)).alias("colours"))
+        return G.gradients(specs, ANGLE, space)
+
+    return run
 
 
 QUERIES = {
     "px_noop": on(P.no_op),
     "px_convert_nn": on(lambda p: P.convert(p, NORD, "nn").select(*OUT)),
     "px_convert_clut": on(lambda p: P.convert(p, NORD, "clut").select(*OUT)),
-    "clut_full": lambda s, d: P.full_cube(s, NORD),
     "px_border_round": on(lambda p: P.border(p, colour=RING, thickness=3, radius=12.0)),
     "px_replace_gate": on(_gate),
     "rotate": on(lambda p: R.rotate(p, 30.0)),
@@ -124,42 +130,47 @@ def _tilt_sql(tx: float, ty: float, scale: float) -> str:
 def _gradient_sql(space: str) -> str:
     parts = G.segments(STOPS, space)
     n = len(parts)
-    cos, sin = math.cos(math.radians(ANGLE)), math.sin(math.radians(ANGLE))
-    half = (abs(WIDE * cos) + abs(HIGH * sin)) / 2
+    cos, sin = _num(math.cos(math.radians(ANGLE))), _num(math.sin(math.radians(ANGLE)))
     pick = lambda end, k: "CASE seg " + " ".join(f"WHEN {i} THEN {_num(s[end][k])}" for i, s in enumerate(parts)) + " END"
     own = ", ".join(f"{pick(0, k)} + f * {pick(1, k)} AS {c}" for k, c in enumerate("pqs"))
+    if space == "rgb":
+        share = lambda c: f"({c} / 255::DOUBLE)"
+        own = ", ".join(f"CASE seg WHEN 0 THEN {share(c1)} + f * ({share(c2)} - {share(c1)}) ELSE {share(c2)} + f * ({share(c3)} - {share(c2)}) END AS {n_}" for (c1, c2, c3), n_ in zip(("rgb", "gbr", "brg"), "pqs"))
     steps = [
-        f"i AS (SELECT cast(i % {WIDE} AS INT) AS x, cast(i // {WIDE} AS INT) AS y FROM generate_series(0, {WIDE * HIGH - 1}) t(i))",
-        f"t AS (SELECT x, y, least(greatest(((x - {WIDE / 2}::DOUBLE) * {_num(cos)} + (y - {HIGH / 2}::DOUBLE) * {_num(sin)} + {_num(half)}) / {_num(2 * half)}, 0), 1) * {n} AS u FROM i)",
-        f"g AS (SELECT x, y, u, least(greatest(cast(ceil(u) AS INT) - 1, 0), {n - 1}) AS seg FROM t)",
-        "h AS (SELECT x, y, seg, u - seg AS f FROM g)",
-        f"c0 AS (SELECT x, y, {own} FROM h)",
+        COLOURS_SQL,
+        "w AS (SELECT colour_id AS grad_id, r, g, b, colour_id % 8 + 8 AS w, colour_id % 3 + 1 AS h FROM colours)",
+        "y AS (SELECT *, cast(unnest(range(0, h)) AS INT) AS y FROM w)",
+        f"i AS (SELECT *, cast(unnest(range(0, w)) AS INT) AS x, (abs(w * {cos}) + abs(h * {sin})) / 2 AS half FROM y)",
+        f"t AS (SELECT *, least(greatest(((x - w / 2::DOUBLE) * {cos} + (y - h / 2::DOUBLE) * {sin} + half) / (half * 2), 0), 1) * {n} AS u FROM i)",
+        f"g AS (SELECT *, least(greatest(cast(ceil(u) AS INT) - 1, 0), {n - 1}) AS seg FROM t)",
+        "h AS (SELECT *, u - seg AS f FROM g)",
+        f"c0 AS (SELECT grad_id, x, y, {own} FROM h)",
     ]
     if space == "rgb":
-        steps.append("z AS (SELECT x, y, p AS r, q AS g, s AS b FROM c0)")
+        steps.append("z AS (SELECT grad_id, x, y, p AS r, q AS g, s AS b FROM c0)")
     elif space == "hsv":
-        steps.append("c1 AS (SELECT x, y, ((p % 360::DOUBLE) + 360::DOUBLE) % 360::DOUBLE / 60 AS k, s * q AS c, s - s * q AS m FROM c0)")
+        steps.append("c1 AS (SELECT grad_id, x, y, ((p % 360::DOUBLE) + 360::DOUBLE) % 360::DOUBLE / 60 AS k, s * q AS c, s - s * q AS m FROM c0)")
         steps.append("c2 AS (SELECT *, c * (1 - abs(k % 2::DOUBLE - 1)) AS v, least(cast(floor(k) AS INT), 5) + 1 AS j FROM c1)")
-        steps.append("z AS (SELECT x, y, [c, v, 0, 0, v, c][j] + m AS r, [v, c, c, v, 0, 0][j] + m AS g, [0, 0, v, c, c, v][j] + m AS b FROM c2)")
+        steps.append("z AS (SELECT grad_id, x, y, [c, v, 0, 0, v, c][j] + m AS r, [v, c, c, v, 0, 0][j] + m AS g, [0, 0, v, c, c, v][j] + m AS b FROM c2)")
     else:
         if space in ("hcl", "luvlch"):
-            steps.append("c1 AS (SELECT x, y, s AS p, q * cos(radians(p)) AS q, q * sin(radians(p)) AS s FROM c0)")
+            steps.append("c1 AS (SELECT grad_id, x, y, s AS p, q * cos(radians(p)) AS q, q * sin(radians(p)) AS s FROM c0)")
         else:
             steps.append("c1 AS (SELECT * FROM c0)")
         if space in ("lab", "hcl"):
             inv = lambda t: f"CASE WHEN {t} > {_num(6 / 29)} THEN {t} * {t} * {t} ELSE ({t} - {_num(4 / 29)}) * {_num(3 * 6 / 29 * 6 / 29)} END"
-            steps.append("c2 AS (SELECT x, y, (p + 0.16::DOUBLE) / 1.16::DOUBLE AS fy, q, s FROM c1)")
-            steps.append("c3 AS (SELECT x, y, fy + q / 5 AS fx, fy, fy - s / 2 AS fz FROM c2)")
-            steps.append("c4 AS (SELECT x, y, " + ", ".join(f"({inv(f)}) * {_num(w)} AS {n_}" for f, w, n_ in zip(("fx", "fy", "fz"), G.WHITE, ("cx", "cy", "cz"))) + " FROM c3)")
+            steps.append("c2 AS (SELECT grad_id, x, y, (p + 0.16::DOUBLE) / 1.16::DOUBLE AS fy, q, s FROM c1)")
+            steps.append("c3 AS (SELECT grad_id, x, y, fy + q / 5 AS fx, fy, fy - s / 2 AS fz FROM c2)")
+            steps.append("c4 AS (SELECT grad_id, x, y, " + ", ".join(f"({inv(f)}) * {_num(w)} AS {n_}" for f, w, n_ in zip(("fx", "fy", "fz"), G.WHITE, ("cx", "cy", "cz"))) + " FROM c3)")
         else:
-            steps.append(f"c2 AS (SELECT x, y, p, (CASE WHEN p <= 0.08::DOUBLE THEN p * {_num(100 * (3 / 29) ** 3)} ELSE pow((p + 0.16::DOUBLE) / 1.16::DOUBLE, 3) END) * {_num(G.WHITE[1])} AS cy, q / (13 * p) + {_num(G.UN)} AS u, s / (13 * p) + {_num(G.VN)} AS v FROM c1)")
-            steps.append("c4 AS (SELECT x, y, cy, CASE WHEN p = 0 THEN 0 ELSE cy * 9 * u / (4 * v) END AS cx, CASE WHEN p = 0 THEN 0 ELSE cy * (12 - 3 * u - 20 * v) / (4 * v) END AS cz FROM c2)")
+            steps.append(f"c2 AS (SELECT grad_id, x, y, p, (CASE WHEN p <= 0.08::DOUBLE THEN p * {_num(100 * (3 / 29) ** 3)} ELSE pow((p + 0.16::DOUBLE) / 1.16::DOUBLE, 3) END) * {_num(G.WHITE[1])} AS cy, q / (13 * p) + {_num(G.UN)} AS u, s / (13 * p) + {_num(G.VN)} AS v FROM c1)")
+            steps.append("c4 AS (SELECT grad_id, x, y, cy, CASE WHEN p = 0 THEN 0 ELSE cy * 9 * u / (4 * v) END AS cx, CASE WHEN p = 0 THEN 0 ELSE cy * (12 - 3 * u - 20 * v) / (4 * v) END AS cz FROM c2)")
         lin = lambda row: f"{_num(row[0])} * cx + {_num(row[1])} * cy + {_num(row[2])} * cz"
-        steps.append("c5 AS (SELECT x, y, " + ", ".join(f"{lin(row)} AS l{c}" for row, c in zip(G.TO_RGB, "rgb")) + " FROM c4)")
+        steps.append("c5 AS (SELECT grad_id, x, y, " + ", ".join(f"{lin(row)} AS l{c}" for row, c in zip(G.TO_RGB, "rgb")) + " FROM c4)")
         curve = lambda v: f"CASE WHEN {v} <= 0.0031308::DOUBLE THEN 12.92::DOUBLE * {v} ELSE 1.055::DOUBLE * pow({v}, {_num(1 / 2.4)}) - 0.055::DOUBLE END"
-        steps.append("z AS (SELECT x, y, " + ", ".join(f"{curve('l' + c)} AS {c}" for c in "rgb") + " FROM c5)")
+        steps.append("z AS (SELECT grad_id, x, y, " + ", ".join(f"{curve('l' + c)} AS {c}" for c in "rgb") + " FROM c5)")
     eight = ", ".join(f"cast(floor(floor(least(greatest({c}, 0), 1) * 65535 + 0.5::DOUBLE) / 256) AS INT) AS {c}" for c in "rgb")
-    return "WITH " + ",\n".join(steps) + f"\nSELECT x, y, {eight} FROM z"
+    return "WITH " + ",\n".join(steps) + f"\nSELECT grad_id, x, y, {eight} FROM z"
 
 
 def _border_round_sql() -> str:
@@ -189,8 +200,6 @@ def _all_sql() -> dict[str, str]:
         "px_noop": f"{BASE} SELECT img_id, x, y, r, g, b, a FROM px",
         "px_convert_nn": _near_sql() + "SELECT img_id, x, y, r, g, b, 255 AS a FROM n",
         "px_convert_clut": _rbf_sql(),
-        "clut_full": f"""WITH k AS (SELECT cast(i % 64 AS INT) AS r6, cast((i // 64) % 64 AS INT) AS g6, cast(i // 4096 AS INT) AS b6 FROM generate_series(0, 262143) t(i)),
-c AS (SELECT *, r6*255//63 AS cr, g6*255//63 AS cg, b6*255//63 AS cb FROM k) SELECT r6, g6, b6, {", ".join(f"{e} AS n{c}" for e, c in zip(_rbf_cell_sql(), "rgb"))} FROM c""",
         "px_border_round": _border_round_sql(),
         "px_replace_gate": f"{BASE}, d AS (SELECT img_id, sqrt(((r-100)*(r-100)+(g-120)*(g-120)+(b-140)*(b-140))::DOUBLE) AS d FROM px) SELECT img_id, count(*) FILTER (d < {_num(8.5 * math.sqrt(3))}) AS changed, count(*) FILTER (d < {_num(8.5 * math.sqrt(3))}) = 0 AS failed FROM d GROUP BY img_id",
         "rotate": _rotate_sql(30.0),

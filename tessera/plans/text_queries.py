@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions import colour as C, text as T
-from ..sources.derive import COLOURS_SQL, NORD, colours, doc_files, first_wallpaper, pages_text, read
+from ..sources.derive import COLOURS_SQL, PALETTE_SQL, colours, doc_files, first_wallpapers, pages_text, part_palette, read
 
 _FILES = "f AS (SELECT doc_id, 'doc' || doc_id || '.pdf-page-' || (1 + doc_id % 5) || '-of-5' AS filename, n_chars FROM documents)"
-_FEED = json.dumps({"data": {"children": [
-    {"data": {"post_hint": "image", "url": "https://a/1.png", "url_overridden_by_dest": "", "over_18": True, "is_video": False}},
-    {"data": {"post_hint": "link", "url": "https://a/2.png", "url_overridden_by_dest": "", "over_18": False, "is_video": False}},
-    {"data": {"post_hint": "image", "url": "https://a/3.png", "url_overridden_by_dest": "https://b/3.png", "over_18": False, "is_video": False}},
-    {"data": {"post_hint": "image", "url": "https://a/4.png", "url_overridden_by_dest": "", "over_18": False, "is_video": False}},
-]}})
 
 
 def _c():
@@ -61,8 +53,22 @@ def _lighten(s, d):
 
 
 def _hash(s, d):
-    colours_ = F.array(*[F.lit("#%02X%02X%02X" % c) for c in NORD])
-    return s.range(1).select(C.palette_hash(colours_).alias("palette_hash"))
+    """The hash of every theme of the parts' colours."""
+    own = part_palette(s, d).groupBy("theme").agg(F.array_sort(F.collect_list(F.struct("idx", C.to_hex(*_c()).alias("hex")))).alias("p"))
+    return own.select("theme", C.palette_hash(F.col("p.hex")).alias("palette_hash"))
+
+
+def _feeds(s, d):
+    """A feed per conversation, a post per turn."""
+    turn, text = F.col("page_index"), F.col("original_index").cast("string")
+    post = F.struct(F.struct(
+        F.when((turn + F.length("text")) % 3 == 0, "link").otherwise("image").alias("post_hint"), F.concat(F.lit("https://a/"), text, F.lit("/"), turn, F.lit(".png")).alias("url"),
+        F.when(turn % 2 == 0, F.concat(F.lit("https://b/"), turn, F.lit(".png"))).otherwise("").alias("url_overridden_by_dest"),
+        (F.length("text") % 4 == 0).alias("over_18"), (F.length("text") % 5 == 0).alias("is_video"),
+    ).alias("data"))
+    posts = pages_text(s, d).groupBy("original_index").agg(F.array_sort(F.collect_list(F.struct(turn.alias("t"), post.alias("p")))).alias("c"))
+    feeds = posts.select(F.col("original_index").alias("feed_id"), F.to_json(F.struct(F.struct(F.col("c.p").alias("children")).alias("data"))).alias("json"))
+    return first_wallpapers(feeds)
 
 
 def _prompt(s, d):
@@ -108,7 +114,7 @@ QUERIES = {
     "url_extension": lambda s, d: read(s, d, "pages").select("page_id", T.url_extension(F.col("url")).alias("ext")),
     "file_size_text": lambda s, d: doc_files(s, d).select("doc_id", T.file_size(F.col("n_chars") * F.col("n_chars")).alias("size")),
     "compress_strategy": lambda s, d: read(s, d, "part").select("p_partkey", T.strategy(F.element_at(F.array(*[F.lit(x) for x in T.STRATEGIES]), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("strategy")),
-    "feed_first_image": lambda s, d: first_wallpaper(s.range(1).select(F.lit(_FEED).alias("json"))),
+    "feed_first_images": _feeds,
     "option_merge": _options,
     "output_extension": _ext,
     "base64_round_trip_whole": _base64,
@@ -125,7 +131,7 @@ SQL = {
     "colour_from_hex": f"WITH {COLOURS_SQL} SELECT colour_id, r, g, b FROM colours",
     "hsl_convert": f"WITH {COLOURS_SQL}, {_HSL} SELECT colour_id, round(h, 6) AS h, round(s, 6) AS s, round(l, 6) AS l FROM q",
     "colour_variants": f"WITH {COLOURS_SQL} SELECT colour_id, {_MIX((0, 0, 0))} AS shades, {_MIX((255, 255, 255))} AS tints FROM colours",
-    "palette_hash": "SELECT substr(md5('" + "".join("#%02X%02X%02X" % c for c in NORD) + "'), 1, 16) AS palette_hash",
+    "palette_hash": f"WITH {PALETTE_SQL} SELECT theme, substr(md5(string_agg(printf('#%02X%02X%02X', r, g, b), '' ORDER BY idx)), 1, 16) AS palette_hash FROM pal GROUP BY theme",
     "prompt_build": f"WITH {_FILES} SELECT doc_id, 'Read.{T.MARKDOWN}' || CASE WHEN doc_id % 5 = 0 THEN '{T.FIRST % '5-page'}' ELSE '{T.LATER.split('%s')[0]}' || (1 + doc_id % 5) || '{T.LATER.split('%s')[1]}5 total pages{T.LATER.split('%s')[2]}' END || ' Be brief.' AS prompt FROM f",
     "page_name": "SELECT conv_id AS original_index, turn AS page_index, 'doc' || conv_id || '-page-' || (turn + 1) || '-of-' || count(*) OVER (PARTITION BY conv_id) AS name FROM conversations",
     "page_slice": "SELECT conv_id AS original_index, turn AS page_index, text FROM conversations WHERE turn >= 1 AND turn < 3",
@@ -134,7 +140,9 @@ SQL = {
     "url_extension": "SELECT page_id, regexp_extract(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '(\\.[^./]*)$', 1) AS ext FROM pages",
     "file_size_text": "WITH f AS (SELECT doc_id, n_chars * n_chars AS n FROM documents) SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.1f GB', n/1073741824.0::DOUBLE) WHEN n >= 1048576 THEN printf('%.1f MB', n/1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.1f KB', n/1024.0::DOUBLE) ELSE n || ' B' END AS size FROM f",
     "compress_strategy": "SELECT p_partkey, ['pngquant-png', 'lossyjpeg-jpeg', 'lossyjpg-jpg', 'lossywebp-webp', 'lossyavif-avif'][p_partkey % 5 + 1] AS strategy FROM part",
-    "feed_first_image": "SELECT 2::INT AS pos, 'https://b/3.png' AS image_url",
+    "feed_first_images": """WITH p AS (SELECT conv_id AS feed_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, turn, length(text) AS n FROM conversations),
+k AS (SELECT feed_id, min(pos) AS pos FROM p WHERE (turn + n) % 3 <> 0 AND n % 4 <> 0 AND n % 5 <> 0 GROUP BY feed_id)
+SELECT feed_id, cast(k.pos AS INT) AS pos, CASE WHEN turn % 2 = 0 THEN 'https://b/' || turn || '.png' ELSE 'https://a/' || feed_id || '/' || turn || '.png' END AS image_url FROM k JOIN p USING (feed_id, pos)""",
     "option_merge": "SELECT c_custkey, cast(CASE WHEN c_nationkey % 3 = 0 THEN 4096 ELSE c_nationkey % 3 END AS INT) AS max_tokens FROM customer",
     "output_extension": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'webp' WHEN doc_id % 2 = 0 THEN 'jpg' ELSE 'png' END AS ext, 'a/b.c.avif' AS replaced FROM documents",
     "base64_round_trip_whole": "SELECT doc_id, to_base64(encode(text)) AS b64, text FROM documents",

@@ -63,6 +63,22 @@ COLOURS_SQL = """colours AS (SELECT p_partkey AS colour_id, cast(p_partkey % 256
   cast((p_size * 5) % 256 AS INT) AS b FROM part)"""
 
 
+PART_THEMES = 4
+
+
+def part_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Palettes of the parts' colours: theme, idx, r, g, b."""
+    k = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select(
+        F.concat(F.lit("t"), k % PART_THEMES).alias("theme"), F.expr(f"cast(p_partkey div {PART_THEMES} as int)").alias("idx"),
+        (k * 13 % 256).cast("int").alias("r"), (k * 7 % 256).cast("int").alias("g"), (F.col("p_size") * 5 % 256).cast("int").alias("b"),
+    )
+
+
+PALETTE_SQL = f"""pal AS (SELECT 't' || (p_partkey % {PART_THEMES}) AS theme, cast(p_partkey // {PART_THEMES} AS INT) AS idx,
+  cast(p_partkey * 13 % 256 AS INT) AS r, cast(p_partkey * 7 % 256 AS INT) AS g, cast(p_size * 5 % 256 AS INT) AS b FROM part)"""
+
+
 def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("original_index"), F.col("turn").alias("page_index"), "text")
 
@@ -118,7 +134,8 @@ def themes_from_yaml(spark: SparkSession, path: str) -> DataFrame:
     without a name or colours, or with a malformed colour, are left out."""
     text = spark.read.text(path, wholetext=True).filter(F.col("value").rlike(r"(?m)^themes:\s*$"))
     body = F.regexp_extract("value", r"(?ms)^themes:\s*$(.*?)(?=^\S|\z)", 1)
-    entry = text.select(F.explode(F.slice(F.split(body, r"(?m)^\s*-\s+name:"), 2, 1_000_000)).alias("e"))
+    parts = F.split(body, r"(?m)^\s*-\s+name:")
+    entry = text.select(F.explode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("e"))
     name = F.trim(F.regexp_extract("e", r"^[ \t]*[\"']?([^\"'\n]*)", 1))
     colours = F.regexp_extract_all("e", F.lit(r"(?m)^\s*-\s+[\"']?([^\"'\s]+)[\"']?\s*$"), 1)
     named = entry.select(F.lower(name).alias("theme"), colours.alias("colors")).filter((F.col("theme") != "") & (F.size("colors") > 0))
@@ -135,11 +152,18 @@ def image_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     return found.select("path", ext.alias("ext"), "length", "content").filter(F.col("ext").isin(*extensions))
 
 
-def first_wallpaper(feed: DataFrame) -> DataFrame:
-    """The first acceptable post of a feed (column json): pos, image_url."""
+def first_wallpapers(feeds: DataFrame) -> DataFrame:
+    """The first acceptable post of every feed (feed_id, json): feed_id, pos, image_url.
+    Feeds without one, or that can't be parsed, give no row."""
     schema = "data struct<children: array<struct<data: struct<post_hint: string, url: string, url_overridden_by_dest: string, over_18: boolean, is_video: boolean>>>>"
-    posts = feed.select(F.posexplode(F.from_json("json", schema)["data"]["children"]).alias("pos", "post"))
+    posts = feeds.select("feed_id", F.posexplode(F.from_json("json", schema)["data"]["children"]).alias("pos", "post"))
     d = F.col("post.data")
     url = F.coalesce(F.nullif(d["url_overridden_by_dest"], F.lit("")), F.nullif(d["url"], F.lit("")))
     ok = ~F.coalesce(d["over_18"], F.lit(False)) & ~F.coalesce(d["is_video"], F.lit(False)) & (d["post_hint"] == "image") & url.isNotNull()
-    return posts.filter(ok).select("pos", url.alias("image_url")).orderBy("pos").limit(1)
+    first = posts.filter(ok).groupBy("feed_id").agg(F.min(F.struct("pos", url.alias("image_url"))).alias("p"))
+    return first.select("feed_id", "p.pos", "p.image_url")
+
+
+def first_wallpaper(feed: DataFrame) -> DataFrame:
+    """The first acceptable post of one feed (column json): pos, image_url."""
+    return first_wallpapers(feed.select(F.lit(0).alias("feed_id"), "json")).drop("feed_id")

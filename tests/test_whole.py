@@ -41,12 +41,6 @@ def test_stack_sheets_places_every_image(spark, many):
     assert canon(got.toPandas()) == oracle(many, "stack_sheets")
 
 
-def test_whole_cube_and_whole_palette(spark, many):
-    q = catalog.queries()
-    assert q["clut_identity_8"](spark, many).count() == 64**3
-    assert q["palette_swatch_nord"](spark, many).select("r", "g", "b").distinct().count() == 16
-
-
 def test_base64_round_trip_of_whole_texts(spark, tmp_path):
     texts = [None, "", "a" * 41, "é漢😀\n" * 500, "x" * 100_000 + "\0end"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
