@@ -37,19 +37,25 @@ def hsl_of(r: Column, g: Column, b: Column) -> Column:
 
 def rgb_of_hsl(h: Column, s: Column, l: Column) -> Column:  # noqa: E741
     """Struct r, g, b (0-255) of h (0-360), s and l (0-1)."""
-    c = (1 - F.abs(2 * l - 1)) * s
-    m = l - c / 2
-    sector = F.pmod(h, F.lit(360.0)) / 60
-    x = c * (1 - F.abs(F.pmod(sector, F.lit(2.0)) - 1))
-    zero = F.lit(0.0)
-
-    def channel(*by_sector: Column) -> Column:
-        v = F.when(sector < 1, by_sector[0])
-        for i in range(1, 5):
-            v = v.when(sector < i + 1, by_sector[i])
-        return F.round((v.otherwise(by_sector[5]) + m) * 255).cast("int")
-
-    return F.struct(channel(c, x, zero, zero, x, c).alias("r"), channel(x, c, c, x, zero, zero).alias("g"), channel(zero, zero, x, c, c, x).alias("b"))
+    def chroma(v: Column) -> Column:
+        return F.struct(((1 - F.abs(2 * v.l - 1)) * v.s).alias("c"), v.l.alias("l"), (F.pmod(v.h, F.lit(360.0)) / 60).alias("sector"))
+
+    def parts(v: Column) -> Column:
+        return F.struct(v.c.alias("c"), (v.c * (1 - F.abs(F.pmod(v.sector, F.lit(2.0)) - 1))).alias("x"), (v.l - v.c / 2).alias("m"), v.sector.alias("sector"))
+
+    def channels(v: Column) -> Column:
+        c, x, zero = v.c, v.x, F.lit(0.0)
+
+        def channel(*by_sector: Column) -> Column:
+            at = F.when(v.sector < 1, by_sector[0])
+            for i in range(1, 5):
+                at = at.when(v.sector < i + 1, by_sector[i])
+            return F.round((at.otherwise(by_sector[5]) + v.m) * 255).cast("int")
+
+        return F.struct(channel(c, x, zero, zero, x, c).alias("r"), channel(x, c, c, x, zero, zero).alias("g"), channel(zero, zero, x, c, c, x).alias("b"))
+
+    # each step is computed once, though the next one names it many times
+    return _let(_let(_let(F.struct(h.cast("double").alias("h"), s.cast("double").alias("s"), l.cast("double").alias("l")), chroma), parts), channels)
 
 
 def rotate_hue(r: Column, g: Column, b: Column, degrees: float) -> Column:

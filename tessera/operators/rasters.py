@@ -466,8 +466,13 @@ def recognise(pages: DataFrame, recogniser, rate: float = 0.0, burst: int = 3, w
 
 def read_pictures(files: DataFrame) -> DataFrame:
     """Pixels of PNG files (path, content), beside their path; img_id is the path's hash."""
-    ids = files.select("path", F.xxhash64("path").alias("img_id"), "content")
-    return decode_png(ids).join(ids.select("img_id", "path"), "img_id")
+
+    def run(batches):
+        for batch in batches:
+            for path, img_id, data in zip(batch["path"], batch["img_id"], batch["content"]):
+                yield _pixels(img_id, read_png(data)).assign(path=path)
+
+    return files.select("path", F.xxhash64("path").alias("img_id"), "content").mapInPandas(run, PIXELS + ", path string")
 
 
 def write_pictures(px: DataFrame, names: DataFrame, folder: str) -> DataFrame:

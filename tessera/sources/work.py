@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import IMAGE_EXTENSIONS, TEXT_EXTENSIONS, ext_error, is_stdout, replace_ext_column, resolve_ext
@@ -77,10 +78,29 @@ def files_listed(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def load(spark: SparkSession, paths: DataFrame, folder: str) -> DataFrame:
     """(path, content, error) of the wanted files below a folder: each gets its bytes,
-    and those that can't be read or have an unknown format a message."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    and those that can't be read or have an unknown format a message.
+
+    The folder is only listed; the tasks that the wanted paths are dealt to read their
+    bytes, one file at a time, so nothing is read that isn't asked for and no bytes are shuffled."""
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(plain("path").alias("path"), F.col("path").alias("uri"))
+    wanted = paths.select(plain("path").alias("path")).distinct().join(listed, "path", "left")
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    wanted = paths.select(F.regexp_replace("path", "^file:/*", "/").alias("path")).distinct()
-    joined = wanted.join(read, "path", "left")
-    error = F.when(~ext.isin(*IMAGE_EXTENSIONS, *TEXT_EXTENSIONS), F.lit("unsupported format")).when(F.col("content").isNull(), F.lit("not found"))
-    return joined.select("path", F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
+    error = F.when(~ext.isin(*IMAGE_EXTENSIONS, *TEXT_EXTENSIONS), F.lit("unsupported format")).when(F.col("uri").isNull(), F.lit("not found"))
+
+    def read(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, uri, wrong in zip(batch["path"], batch["uri"], batch["error"]):
+                content = None
+                if wrong is None:
+                    try:
+                        where, name = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace(":/", ":///", 1)) if ":/" in uri else (fs.LocalFileSystem(), uri)
+                        with where.open_input_stream(name, compression=None) as f:
+                            content = f.read()
+                    except OSError as e:
+                        wrong = str(e)
+                yield pd.DataFrame({"path": [path], "content": [content], "error": [wrong]})
+
+    return wanted.select("path", "uri", error.alias("error")).mapInPandas(read, "path string, content binary, error string")
