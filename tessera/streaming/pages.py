@@ -64,7 +64,11 @@ def stitch_stream(pages: DataFrame, patience_ms: int = 0) -> DataFrame:
 
 def run_stitching(spark: SparkSession, folder: str, out: str, checkpoint: str, patience_ms: int = 0, files_per_trigger: int = 100, partitions: int = 0):
     """Stitch what has come, and stop; a restart goes on from the checkpoint, with as many
-    partitions of state as at first (0: the session's number of shuffle partitions)."""
+    partitions of state as at first (0: the session's number of shuffle partitions).
+
+    With patience, all that has come is one batch: Spark goes on with empty batches for as
+    long as a query may have timers of processing time, and so would never stop. Documents whose
+    time is up leave in the batch of the next run."""
     own = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
@@ -73,7 +77,7 @@ def run_stitching(spark: SparkSession, folder: str, out: str, checkpoint: str, p
         # the query takes a copy of the session's settings when it starts
         return (
             stitch_stream(stream_pages(spark, folder, files_per_trigger), patience_ms)
-            .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+            .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(**({"once": True} if patience_ms else {"availableNow": True})).start()
         )
     finally:
         for k, v in before.items():

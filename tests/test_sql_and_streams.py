@@ -83,7 +83,7 @@ def test_documents_leave_with_their_last_page(spark, pages, tmp_path, seed):
             for name in (n for n in os.listdir(path) if n.endswith(".parquet")):
                 os.makedirs(folder, exist_ok=True)
                 shutil.copy(f"{path}/{name}", f"{folder}/{time.time_ns()}-{name}")
-        S.run_stitching(spark, folder, out, checkpoint, files_per_trigger=2, partitions=2).awaitTermination()
+        assert S.run_stitching(spark, folder, out, checkpoint, files_per_trigger=2, partitions=2).awaitTermination(150)
     got = spark.read.schema(S.DOCUMENTS).parquet(out)
     same(got.select("original_index", "text", "n_pages"), T.stitch(pages))
     assert got.filter("not complete").count() == 0
@@ -93,12 +93,12 @@ def test_documents_leave_when_their_time_is_up(spark, tmp_path):
     folder, out, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "out", "cp"))
     put = lambda rows: spark.createDataFrame(rows, S.PAGES).coalesce(1).write.mode("append").parquet(folder)
     put([(1, 1, 3, "b"), (1, 0, 3, "a"), (2, 0, 1, "whole")])
-    S.run_stitching(spark, folder, out, checkpoint, patience_ms=1, partitions=2).awaitTermination()
+    assert S.run_stitching(spark, folder, out, checkpoint, patience_ms=1, partitions=2).awaitTermination(100)
     time.sleep(0.1)
     put([(3, 0, 2, "x")])
-    S.run_stitching(spark, folder, out, checkpoint, patience_ms=1, partitions=2).awaitTermination()
+    assert S.run_stitching(spark, folder, out, checkpoint, patience_ms=1, partitions=2).awaitTermination(100)
     put([(1, 2, 3, "late")])
-    S.run_stitching(spark, folder, out, checkpoint, patience_ms=1, partitions=2).awaitTermination()
+    assert S.run_stitching(spark, folder, out, checkpoint, patience_ms=1, partitions=2).awaitTermination(100)
     got = {r["original_index"]: (r["text"], r["n_pages"], r["complete"]) for r in spark.read.schema(S.DOCUMENTS).parquet(out).collect()}
     assert got[1] == (T.SEPARATOR.join("ab"), 2, False) and got[2] == ("whole", 1, True)
     assert spark.read.schema(S.DOCUMENTS).parquet(out).filter("original_index = 1").count() == 1
