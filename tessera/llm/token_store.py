@@ -49,7 +49,7 @@ MAGIC = b"MPHTOK1\n"
 GAMMA = 2.0
 MAX_LEVELS = 48
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, first_key long, last_key long, has_null boolean"
-CACHE_BYTES = 192 << 20
+CACHE_BYTES = 128 << 20
 PIECE_BYTES = 150  # what a remembered piece takes besides its characters and ids
 LONGEST_KEPT = 200
 # The splitter's letters and digits up to U+024F, ASCII marks, and white space.
