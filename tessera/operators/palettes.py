@@ -38,8 +38,10 @@ def cell_index(palette: DataFrame) -> DataFrame:
 
     One pass per axis: the bounds of a colour over the axes not yet cut are those of the
     whole axis, so a colour leaves as soon as it is farther at best than another is at worst.
-    Rows of a palette that repeat a colour stay and lose ties to the lowest idx."""
-    rows = palette.select("theme", "idx", "r", "g", "b").withColumns({"cell": F.lit(0), "near": F.lit(0), "far": F.lit(0)})
+    Rows of a palette that repeat a colour would lose every tie to its lowest idx, so each
+    colour comes in once: the lists grow with different colours only, not with rows."""
+    once = palette.groupBy("theme", "r", "g", "b").agg(F.min("idx").alias("idx"))
+    rows = once.select("theme", "idx", "r", "g", "b").withColumns({"cell": F.lit(0), "near": F.lit(0), "far": F.lit(0)})
     for axis, rest in (("r", "gb"), ("g", "b"), ("b", "")):
         cut = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
         near, far = _bounds(F.col(axis), F.col("step"))

@@ -39,6 +39,15 @@ def test_nearest_by_the_index_is_exact(spark, n):
             assert row["idx"] is None and (row["r"], row["g"], row["b"]) == p
 
 
+def test_the_index_holds_each_colour_once(spark):
+    rows = [("a", i, i % 4 * 60, i % 3 * 90, 10) for i in range(6_000)]
+    palette = spark.createDataFrame(rows[::-1], "theme string, idx int, r int, g int, b int")
+    assert palettes.cell_index(palette).agg(F.max(F.size("colours"))).first()[0] <= 12
+    px = spark.createDataFrame(noise(3, (8, 8)), PX).withColumn("theme", F.lit("a"))
+    for row in palettes.nearest(px.select("*", *[F.col(c).alias("p" + c) for c in "rgb"]), palette).collect():
+        assert row["idx"] == min((sum((s - row["p" + c]) ** 2 for s, c in zip(colour, "rgb")), i) for _, i, *colour in rows)[1]
+
+
 def plain_over(pixels, straight):
     out = [0, 0, 0, 0]
     for *c, a in pixels:
