@@ -12,6 +12,8 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .pixels import spread
+
 SPACES = ("rgb", "lab", "hcl", "hsv", "luv", "luvlch")
 # The white point, its chromaticity and the sRGB matrices.
 WHITE = (0.95047, 1.0, 1.08883)
@@ -115,7 +117,7 @@ def gradients(specs: DataFrame, degrees: float = 0.0, space: str = "rgb") -> Dat
         return colours.map(lambda own: [{"start": list(map(float, p)), "change": list(map(float, c))} for p, c in segments([(c["r"], c["g"], c["b"]) for c in own], space)])
 
     cos, sin = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    good = specs.filter((F.size("colours") > 1) & (F.col("w") > 0) & (F.col("h") > 0)).select("grad_id", "w", "h", parts_of("colours").alias("parts"))
+    good = spread(specs.filter((F.size("colours") > 1) & (F.col("w") > 0) & (F.col("h") > 0)), "grad_id").select("grad_id", "w", "h", parts_of("colours").alias("parts"))
     lines = good.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h").cast("int") - 1)))
     at = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w").cast("int") - 1)))
     half = (F.abs(F.col("w") * F.lit(cos)) + F.abs(F.col("h") * F.lit(sin))) / 2

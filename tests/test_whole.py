@@ -8,6 +8,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.operators import pixels as P
@@ -41,6 +42,15 @@ def test_stack_sheets_places_every_image(spark, many):
     assert canon(got.toPandas()) == oracle(many, "stack_sheets")
 
 
+def test_cells_of_cubes_are_made_by_many_tasks(spark):
+    cubes = P.identity_cubes(spark.createDataFrame([(7, 4), (8, 1)], "cube_id long, level int").coalesce(1)).withColumn("task", F.spark_partition_id()).cache()
+    assert cubes.select("task").distinct().count() > 4
+    got = sorted(map(tuple, cubes.filter("cube_id = 7").drop("cube_id", "task").collect()))
+    assert got == sorted(map(tuple, P.identity_cube(spark, 4).collect())) and cubes.count() == 16**3
+    swatches = P.palette_swatches(spark.createDataFrame([("t", i, i, 0, 0) for i in range(200)], "theme string, idx int, r int, g int, b int"), 2, 2)
+    assert swatches.count() == 800 and swatches.select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_base64_round_trip_of_whole_texts(spark, tmp_path):
     texts = [None, "", "a" * 41, "é漢😀\n" * 500, "x" * 100_000 + "\0end"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
