@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .pixels import CH, sizes
+from .pixels import CH, sizes, spread
 
 SHOWN = (*CH, "a")
 BLOCK = 64
@@ -91,7 +91,8 @@ def stack(px: DataFrame, sheets: DataFrame, mode: str = "grid", rows: int = 0, c
     ox = F.col("col") * (F.col("cw") + gap) + gap + F.expr("(cw - w) div 2")
     oy = F.col("row") * (F.col("ch") + gap) + gap + F.expr("(ch - h) div 2")
     images = placed.select("sheet", (F.col("x") + ox).cast("int").alias("x"), (F.col("y") + oy).cast("int").alias("y"), F.lit(1).alias("layer"), *SHOWN)
-    lines = cell.withColumn("y", F.explode(F.sequence(F.lit(0), (F.col("n_rows") * (F.col("ch") + gap) + gap - 1).cast("int"))))
+    # sheets are few: their lines go to tasks on all cores before they become pixels
+    lines = spread(cell, "sheet").withColumn("y", F.explode(F.sequence(F.lit(0), (F.col("n_rows") * (F.col("ch") + gap) + gap - 1).cast("int"))))
     canvas = lines.withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("n_cols") * (F.col("cw") + gap) + gap - 1).cast("int"))))
     gutter = (F.col("x") % (F.col("cw") + gap) < gap) | (F.col("y") % (F.col("ch") + gap) < gap)
     ground = canvas.select("sheet", "x", "y", F.lit(0).alias("layer"), *[F.when(gutter, v).otherwise(0).alias(c) for c, v in zip(SHOWN, (*colour, 255))])

@@ -42,6 +42,14 @@ def test_stack_sheets_places_every_image(spark, many):
     assert canon(got.toPandas()) == oracle(many, "stack_sheets")
 
 
+def test_stack_sheets_fills_the_ground_behind_the_shuffle(spark, tmp_path):
+    """Images with gaps, one with a place that has two pixels, and no sort of the whole ground in one task."""
+    duckdb.sql(f"COPY (SELECT range AS event_id, range * 31 % 97 AS user_id FROM range(9000) WHERE range % 5 <> 2 AND range NOT BETWEEN 2500 AND 5100 UNION ALL SELECT 7001, 5) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = catalog.queries()["stack_sheets"](spark, str(tmp_path))
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert canon(got.toPandas()) == oracle(str(tmp_path), "stack_sheets")
+
+
 def test_cells_of_cubes_are_made_by_many_tasks(spark):
     cubes = P.identity_cubes(spark.createDataFrame([(7, 4), (8, 1)], "cube_id long, level int").coalesce(1)).withColumn("task", F.spark_partition_id()).cache()
     assert cubes.select("task").distinct().count() > 4
