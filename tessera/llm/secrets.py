@@ -13,9 +13,11 @@ letters; a date by its layout; a repeat costs its unit (priced the same way) and
 of its count; a walk along a row or column of keys or the alphabet costs the choice of its
 start and the log2 of its length; brute force costs each character by its alphabet. Words,
 dates and walks have bounded length; repeats of any count come from the maximal runs of
-the value, and of the starts for one unit only those are kept that can still win. Units of
-up to MAX_UNIT characters are tried in every rotation, longer ones (up to half of a value of up to WHOLE_RUNS
-characters, 2,048 in longer values) in the one with which the run begins.
+the value, and of the starts for one unit only those are kept that can still win. Units have
+any length and rotation. Those of over MAX_UNIT characters are priced, but for the rotation with
+which the run begins, only where bounds from other covers leave open that they win with less than
+DEAR bits: prices below DEAR are exact, and so is every verdict, as none needs more than PROSE_BITS.
+A price above DEAR is that of a real segmentation, perhaps not the cheapest.
 
 A context is a credential word, a separator (with any white space and at most one line
 break on either side), perhaps a scheme such as Bearer or one more credential word, and the
@@ -86,7 +88,8 @@ SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
 LEET = str.maketrans("4@301!5$7+", "aaeoiisstt")
 SEGMENT_BITS = 1.0
 MIN_RUN = 3  # characters of the shortest word, walk or repeat
-MAX_UNIT, WHOLE_RUNS = 64, 4096
+FEW, PAIRS = 400, 1 << 20  # characters of a short value; pairs that are compared at once
+MAX_UNIT, DEAR, COVERS = 64, 256.0, 16
 WALK_BITS = math.log2(2 * sum(map(len, LINES)))
 DATES = tuple(
     (re.compile(p), math.log2(n))
@@ -169,8 +172,13 @@ def word_bits(word: str, lower: str, words: Words) -> float | None:
 def runs_of(value: str) -> list[tuple[int, int, int]]:
     """(unit length, start, end) of the maximal runs: stretches of two units at least, of a unit that is no repeat itself."""
     codes = np.array([ord(c) for c in value], np.int32)
+    return long_runs(codes) if len(codes) > FEW else few_runs(codes, value)
+
+
+def few_runs(codes: np.ndarray, value: str) -> list[tuple[int, int, int]]:
+    """``runs_of`` by trying every unit length at every place; least work for short values."""
     n, found = len(codes), []
-    for u in range(1, (n if n <= WHOLE_RUNS else min(n, WHOLE_RUNS)) // 2 + 1):
+    for u in range(1, n // 2 + 1):
         breaks = np.flatnonzero(codes[u:] != codes[:-u])
         if len(breaks) > (n - u) - u:
             continue  # too few equal characters for one run
@@ -183,11 +191,52 @@ def runs_of(value: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def long_runs(codes: np.ndarray) -> list[tuple[int, int, int]]:
+    """``runs_of`` for values of any length: a run of unit length u holds a multiple p of u with p + u,
+    so it is found from the equal stretches around these two; n log n pairs for all u."""
+    n = len(codes)
+    names = [np.unique(codes, return_inverse=True)[1].astype(np.int32)]  # names[k][p]: which stretch of 2 ** k characters is at p
+    while 2 << (len(names) - 1) <= n and names[-1].max() + 1 < len(names[-1]):
+        half = 1 << (len(names) - 1)
+        names.append(np.unique(names[-1][:-half].astype(np.int64) << 32 | names[-1][half:], return_inverse=True)[1].astype(np.int32))
+    known: list[np.ndarray] = []
+    u = 1
+    while u <= n // 2:
+        beyond = min(n // 2 + 1, u + max(1, PAIRS * u // n))
+        lengths = np.arange(u, beyond)
+        counts = (n - 1) // lengths  # multiples p of u with p + u < n
+        unit = np.repeat(lengths, counts)
+        p = (np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)) * unit
+        ahead, behind = np.zeros_like(p), np.zeros_like(p)  # equal characters from p and p + u on, and before them
+        for k in range(len(names) - 1, -1, -1):
+            size, last = 1 << k, len(names[k]) - 1
+            a = p + ahead
+            b = a + unit
+            ahead += size * ((b <= last) & (names[k][np.minimum(a, last)] == names[k][np.minimum(b, last)]))
+            a = p - behind - size
+            b = a + unit
+            behind += size * ((a >= 0) & (names[k][np.clip(a, 0, last)] == names[k][np.clip(b, 0, last)]))
+        whole = ahead + behind >= unit
+        rows = np.stack([p - behind, p + unit + ahead, unit])[:, whole]
+        _, first = np.unique(rows[0] * (n + 1) + rows[1], return_index=True)  # the shortest unit of a stretch is no repeat
+        known.append(rows[:, np.sort(first)])
+        u = beyond
+    start, end, unit = np.concatenate(known, axis=1)
+    _, first = np.unique(start * (n + 1) + end, return_index=True)
+    return sorted(zip(unit[first].tolist(), start[first].tolist(), end[first].tolist()))
+
+
 def guess_bits(value: str, words: Words = COMMON) -> float:
     """log2 guesses of the cheapest segmentation of ``value``."""
+    return guess_costs(value, words)[-1]
+
+
+def guess_costs(value: str, words: Words = COMMON) -> list[float]:
+    """``guess_bits`` of the first 0, 1, ... characters of ``value``."""
     n = len(value)
     lower = value.lower()
-    if len(lower) != n:  # a letter whose lower case is longer: compare as written
+    alike = len(lower) == n
+    if not alike:  # a letter whose lower case is longer: compare as written
         lower = value
     keys = lower.translate(SHIFTED)
     shifted = [0]  # how many of the first i keys needed a shift
@@ -195,16 +244,17 @@ def guess_bits(value: str, words: Words = COMMON) -> float:
         shifted.append(shifted[-1] + (c != k))
     bits = [char_bits(c) for c in value]
     best = [0.0] + [math.inf] * n  # cheapest cover of the first i characters
-    by_run: list[set] = [set() for _ in range(n + 1)]  # runs whose repeats reach that price
+    by_run: dict[int, set] = {}  # runs whose repeats reach that price
     brute = math.inf  # the same, ending inside a brute-force span
     ways: dict[int, int] = {}  # line and direction -> where the walk that goes on along it began
-    units: dict[str, float] = {}
+    units: dict[object, float] = {}
     opening: dict[int, list[tuple[int, int, int]]] = {}
     for run in runs_of(value) if n >= MIN_RUN else ():
         opens = run[1] + max(2, -(-MIN_RUN // run[0])) * run[0]
         if opens <= run[2]:
             opening.setdefault(opens, []).append(run)
     running: list[tuple[int, int, int]] = []
+    covers: dict[tuple[int, int], list[tuple[int, list[float]]]] = {}  # unit length, run -> places in it and the costs from there on
     starts: dict[tuple[int, int, int], list[int]] = {}  # unit length, run, rotation -> the starts that can still win
 
     for i in range(n):
@@ -233,30 +283,42 @@ def guess_bits(value: str, words: Words = COMMON) -> float:
                     cost = price
         cost = min(cost, best[i + 1])
         if running or i + 1 in opening:
-            running = [r for r in running if r[2] > i] + opening.get(i + 1, [])
+            running = [r for r in running if r[2] > i]
+            if i + 1 in opening:
+                running = sorted(running + opening[i + 1])  # short units first: their prices spare long ones
         for run in running:
             u, begun, _ = run
             rotation = (i + 1 - begun) % u
-            if u > MAX_UNIT and rotation:
-                continue
             open_at = starts.setdefault((u, begun, rotation), [])
             start = i + 1 - max(2, -(-MIN_RUN // u)) * u
             # a start that a repeat of this run reached loses to that repeat's own start, and a dearer one to a later start
-            if run not in by_run[start]:
+            if run not in by_run.get(start, ()):
                 while open_at and best[open_at[-1]] >= best[start]:
                     open_at.pop()
                 open_at.append(start)
-            unit = value[i + 1 - u:i + 1]
+            unit: object = (u, begun, rotation)
+            if u <= MAX_UNIT or not rotation:
+                unit = value[i + 1 - u:i + 1]
+            elif unit not in units and alike:
+                # least price of the unit, from covers that begin before it; a start and its unit cost no less than the cover up to their end
+                at, behind = begun + rotation, covers.setdefault((u, begun), [])
+                least = max((min(c[at + u - q], DEAR) - c[at - q] for q, c in behind if q <= at < q + u), default=0.0)
+                tried = (max(best[s] + least, best[s + u]) + math.log2((i + 1 - s) // u) for s in open_at)
+                if min(tried, default=math.inf) + SEGMENT_BITS >= min(cost, DEAR) - 1e-9:
+                    continue
+                behind.append((at, guess_costs(value[at:min(at + 2 * u - 1, run[2])], words)))
+                units[unit] = behind[-1][1][u]
+                del behind[:-COVERS]
             if unit not in units:
-                units[unit] = bits[i] if u == 1 else guess_bits(unit, words)
+                units[unit] = bits[i] if u == 1 else guess_bits(value[i + 1 - u:i + 1], words)
             for start in open_at:
                 price = best[start] + units[unit] + math.log2((i + 1 - start) // u) + SEGMENT_BITS
                 if price < cost:
                     cost, by_run[i + 1] = price, {run}
                 elif price == cost:
-                    by_run[i + 1].add(run)
+                    by_run.setdefault(i + 1, set()).add(run)
         best[i + 1] = cost
-    return best[n]
+    return best
 
 
 def value_bits(value: str, words: Words = COMMON) -> float:

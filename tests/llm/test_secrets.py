@@ -7,6 +7,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,40 @@ def test_repeats_against_brute_force():
         assert secrets.guess_bits(v) == pytest.approx(brute_bits(v, secrets.COMMON)), v
 
 
+def test_repeats_of_long_units_in_long_values():
+    unit = "a" * 1_500 + "b" * 1_500
+    assert secrets.guess_bits(unit * 2) < 36 and secrets.guess_bits(unit * 3) < 37  # 6,000 and 9,000 characters
+    assert secrets.priced_values("token: " + unit * 2)[0][3] is False
+    began = time.time()
+    secrets.guess_bits(("".join(random.Random(2).choices("abcdefgh0123", k=20_000)) * 3)[:50_000])
+    secrets.guess_bits(("a" * 5_000 + "b" * 5_000) * 3)
+    assert time.time() - began < 60
+
+
+def test_runs_of_long_values():
+    rng = random.Random(6)
+    for n in range(80):
+        unit = "".join(rng.choices("abc"[: 2 + n % 2], k=rng.randint(1, 30)))
+        value = "".join(rng.choices(["a", "b", unit, unit[:5]], k=rng.randint(3, 12)))
+        codes = np.array([ord(c) for c in value], np.int32)
+        runs = sorted((u, s, e) for u in range(1, len(value) // 2 + 1) for s in range(len(value) - 2 * u + 1) for e in [next((k for k in range(s + u, len(value)) if value[k] != value[k - u]), len(value))]
+                      if e - s >= 2 * u and (not s or value[s - 1] != value[s - 1 + u]) and not any(value[s:s + u] == value[s:s + d] * (u // d) for d in range(1, u) if u % d == 0))
+        assert secrets.long_runs(codes) == runs == sorted(secrets.few_runs(codes, value)) if len(value) > 1 else True
+
+
+def test_every_rotation_of_a_long_unit(monkeypatch):
+    rng, values = random.Random(8), ["onkey2019" + "a" * 60 + "b" * 60 + ("monkey2019" + "a" * 60 + "b" * 60) * 3]
+    for _ in range(60):
+        unit = "".join(rng.choices(["password", "Monkey", "2019", "aaaaaaa", "bbbbbbbbbb", "q", "Zq"], k=rng.randint(2, 6)))
+        values.append(rng.choice(["", "x", "ssword"]) + unit * rng.randint(2, 3) + unit[: rng.randint(0, len(unit))])
+    monkeypatch.setattr(secrets, "MAX_UNIT", 4)
+    got = [secrets.guess_bits(v) for v in values]
+    monkeypatch.setattr(secrets, "MAX_UNIT", 10**6)  # every rotation priced
+    want = [secrets.guess_bits(v) for v in values]
+    for v, g, w in zip(values, got, want):
+        assert g == pytest.approx(w) if w < secrets.DEAR else g >= w - 1e-6, v
+
+
 def test_contexts():
     words = secrets.load_words(PATH)
     strong = "Zq8#vT!p2LmX0"
